@@ -1,0 +1,5 @@
+"""No operator of this package needs a stream: every input is a finite snapshot.
+
+The arrival histogram (`operators.arrival`) is written on plain columns, so a
+streaming DataFrame of check-ins can be passed to the same projection.
+"""
