@@ -110,11 +110,10 @@ def local_core(local: Column) -> Column:
 
 def norm_phone(phone: Column) -> Column:
     """Last ten digits without the country prefix; empty when there are fewer."""
-    d = F.regexp_replace(F.coalesce(phone, F.lit("")), r"[^0-9]", "")
-    d = F.when(
-        (F.length(d) > 10) & d.startswith(COUNTRY_PREFIX), F.substr(d, F.lit(3))
-    ).otherwise(d)
-    return F.when(F.length(d) >= 10, F.right(d, F.lit(10))).otherwise(F.lit(""))
+    digits = F.regexp_replace(F.coalesce(phone, F.lit("")), r"[^0-9]", "")
+    # the prefix goes only from numbers longer than ten digits
+    national = F.regexp_replace(digits, f"^{COUNTRY_PREFIX}(?=[0-9]{{9}})", "")
+    return F.regexp_extract(national, r"([0-9]{10})$", 1)
 
 
 def adjacent_swaps(s: Column) -> Column:
@@ -182,7 +181,10 @@ def name_similarity(sale: Column, user: Column) -> Column:
         return F.exists(rest_sale, lambda ts: (F.length(ts) == 1) & tu.startswith(ts))
 
     n_typo = F.size(F.filter(rest_user, typo))
-    n_initial = F.size(F.filter(rest_user, lambda t: ~typo(t) & initial(t)))
+    has_initial = F.exists(sale, lambda t: F.length(t) == 1)
+    n_initial = F.when(
+        has_initial, F.size(F.filter(rest_user, lambda t: ~typo(t) & initial(t)))
+    ).otherwise(F.lit(0))
     n_equal = F.size(user) - F.size(rest_user)
     covered = n_equal + F.lit(0.9) * n_typo + F.lit(0.5) * n_initial
     surplus = F.greatest(F.lit(0), F.size(sale) - F.size(user) - 1)
@@ -197,12 +199,23 @@ def name_similarity(sale: Column, user: Column) -> Column:
 
 
 def name_block_keys(tokens: Column, side: str) -> Column:
-    """Keys that two token sets share whenever their similarity is above zero."""
+    """Keys (with the token behind each) that two token sets share whenever their
+    similarity is above zero: "t:" equal token, "d:" one edit apart, "1:" initial."""
+
+    def entry(kind: str, text: Column, token: Column) -> Column:
+        return F.struct(F.concat(F.lit(kind), text).alias("sub"), token.alias("tok"))
+
+    equal = F.transform(tokens, lambda t: entry("t:", t, t))
+    edits = F.flatten(
+        F.transform(
+            tokens,
+            lambda t: F.transform(F.concat(F.array(t), deletions(t)), lambda d: entry("d:", d, t)),
+        )
+    )
     if side == "user":
-        initials = F.transform(tokens, lambda t: F.concat(F.lit("1:"), F.substr(t, F.lit(1), F.lit(1))))
+        initials = F.transform(tokens, lambda t: entry("1:", F.substr(t, F.lit(1), F.lit(1)), t))
     else:
         initials = F.transform(
-            F.filter(tokens, lambda t: F.length(t) == 1), lambda t: F.concat(F.lit("1:"), t)
+            F.filter(tokens, lambda t: F.length(t) == 1), lambda t: entry("1:", t, t)
         )
-    edits = F.flatten(F.transform(tokens, deletions))
-    return F.array_distinct(F.concat(tokens, edits, initials))
+    return F.concat(equal, edits, initials)
