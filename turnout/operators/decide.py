@@ -13,7 +13,8 @@ from turnout.functions.scalars import logit, sigmoid
 from turnout.operators import history as H
 from turnout.operators.ordered import running
 from turnout.operators.rates import observed_rates
-from turnout.operators.simulate import SALTS, SEED, _draw, count_entries, expand, expected, show_normal
+from turnout.operators.simulate import SEED, _draw, count_entries, expand, expected, show_normal, spread_draws
+from turnout.session import frozen
 
 # Fixed values of the levers.
 INVITE_MIN_HISTORY = 2
@@ -70,13 +71,14 @@ def invite_candidates(
     held: DataFrame,
     score: Callable[[DataFrame], DataFrame],
     user_order: Column | None = None,
+    min_p: float = INVITE_MIN_P,
 ) -> DataFrame:
     """The people to invite to each show, best first, just enough to fill its free seats.
 
     `shows` has event_id, city, free. `score` adds `p` to (event_id, user_id) pairs.
     Within a city a show ranks its users by `user_order`, the user's own part of the
     score (any score that is monotone in it), so only a prefix of the city's ranking
-    can be invited: every invitation counts at least one half, hence 2 x free + 1
+    can be invited: every invitation counts at least `min_p`, hence free / min_p + 1
     invitations always suffice, plus as many as there are local ticket holders to
     skip. Pairs beyond that prefix are never formed, and none that could be chosen
     is missing.
@@ -93,7 +95,7 @@ def invite_candidates(
     )
     need = shows.filter("free > 0").join(local_held, "event_id", "left").select(
         "event_id", "city", "free",
-        (F.ceil(F.col("free") / F.lit(INVITE_MIN_P)) + 1 + F.coalesce("n_held", F.lit(0))).alias("need"),
+        (F.ceil(F.col("free") / F.lit(min_p)) + 1 + F.coalesce("n_held", F.lit(0))).alias("need"),
     )
     blocks = need.withColumn(
         "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("need") / _RANK_BLOCK)))
@@ -105,7 +107,7 @@ def invite_candidates(
         .select("event_id", "user_id", "free")
         .join(held, ["event_id", "user_id"], "left_anti")
     )
-    good = score(pairs).select("event_id", "user_id", "free", "p").filter(F.col("p") >= INVITE_MIN_P)
+    good = score(pairs).select("event_id", "user_id", "free", "p").filter(F.col("p") >= min_p)
     taken = running(good, [F.desc("p"), F.col("user_id")], by=["event_id"], rank="place", sums={"cum": "p"})
     return taken.filter(F.col("cum") - F.col("p") < F.col("free")).select(
         "event_id", "user_id", "free", "p", "place", "cum"
@@ -207,7 +209,7 @@ def overbooking(
     live = expected(tickets).join(cap, "event_id").join(sigmas.select("event_id", "sigma"), "event_id")
     usable = live.filter("capacity > 0")
     base = count_entries(tickets.join(usable.select("event_id"), "event_id", "left_semi"), sigmas, n_sim, seed)
-    base = base.join(usable.select("event_id", "capacity", "expected"), "event_id")
+    base = frozen(base.join(usable.select("event_id", "capacity", "expected"), "event_id"))
 
     def risks(counts: DataFrame, *by: str) -> DataFrame:
         """Share of simulations over capacity after recentring, per show (and level)."""
@@ -234,7 +236,7 @@ def overbooking(
     )
 
     def entries(rows: DataFrame, level: str) -> DataFrame:
-        placed = rows.repartition("event_id", F.col("h") % SALTS)
+        placed = spread_draws(rows)
         enters = (_draw("t", F.col("h")) < sigmoid(F.col("lp") + F.col("sigma") * show_normal(F.col("eh")))).cast("int")
         return expand(placed, n_sim, seed).groupBy("event_id", "sim", level).agg(F.sum(enters).alias("d"))
 
@@ -256,8 +258,10 @@ def overbooking(
             )
         )
 
-    coarse = cumulated(extra, "block", base)
-    crossing = risks(coarse, "block").filter(F.col("risk") > risk).groupBy("event_id").agg(F.min("block").alias("hit"))
+    extra = frozen(extra)
+    coarse = frozen(cumulated(extra, "block", base))
+    coarse_risk = frozen(risks(coarse, "block"))
+    crossing = coarse_risk.filter(F.col("risk") > risk).groupBy("event_id").agg(F.min("block").alias("hit"))
     before = (
         coarse.join(crossing, "event_id").filter(F.col("block") == F.col("hit") - 1)
         .select("event_id", "sim", "capacity", "cnt", F.col("mean_to").alias("expected"))
@@ -267,9 +271,13 @@ def overbooking(
     fine = risks(cumulated(inside, "j", before.unionByName(first_block)), "j")
     stop = fine.filter(F.col("risk") > risk).groupBy("event_id").agg(F.min("j").alias("stop"))
     at = fine.join(stop, "event_id").groupBy("event_id", "stop").agg(
-        F.max(F.when(F.col("j") == F.col("stop") - 1, F.col("risk"))).alias("risk_at_extra"),
+        F.max(F.when(F.col("j") == F.col("stop") - 1, F.col("risk"))).alias("risk_inside"),
         F.max(F.when(F.col("j") == F.col("stop"), F.col("risk"))).alias("risk_at_next"),
     )
+    # the last accepted level may be the end of the block before
+    at_end = coarse_risk.join(crossing, "event_id").filter(F.col("block") == F.col("hit") - 1).select(
+        "event_id", F.col("risk").alias("risk_before")
+    )
     facts = tickets.groupBy("event_id").agg(
         F.first("artist_name").alias("artist_name"),
         F.bround(F.avg(F.col("is_courtesy").cast("int")), 3).alias("courtesy_share"),
@@ -280,13 +288,15 @@ def overbooking(
         .otherwise(F.lit(max_extra))
     )
     return (
-        live.join(facts, "event_id").join(now, "event_id", "left").join(at, "event_id", "left")
+        live.join(facts, "event_id").join(now, "event_id", "left")
+        .join(at.join(at_end, "event_id", "left"), "event_id", "left")
         .select(
             "event_id", "artist_name", "capacity", F.col("n").alias("n_tickets"),
             F.bround("expected", 0).cast("int").alias("expected_attendance"),
             "courtesy_share", extra_n.cast("int").alias("extra"),
             F.bround(F.coalesce("risk_now", F.lit(0.0)), 4).alias("risk_now"),
-            F.bround("risk_at_extra", 4).alias("risk_at_extra"), F.bround("risk_at_next", 4).alias("risk_at_next"),
+            F.when(F.col("stop").isNotNull(), F.bround(F.coalesce("risk_inside", "risk_before", "risk_now"), 4)).alias("risk_at_extra"),
+            F.bround("risk_at_next", 4).alias("risk_at_next"),
         )
     )
 

@@ -445,7 +445,7 @@ def block_sizes(sales: DataFrame, users: DataFrame) -> DataFrame:
 
     The pairs are counted as products of group sizes; none is formed.
     """
-    s, u = normalise_sales(sales), normalise_users(users)
+    s, u = frozen(normalise_sales(sales)), frozen(normalise_users(users))
     out = None
     for kind in ("email", "local", "core", "phone"):
         a = s.filter(F.col(kind) != "").groupBy(F.col(kind).alias("key")).agg(F.count(F.lit(1)).alias("ns"))

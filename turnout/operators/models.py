@@ -107,7 +107,7 @@ def _weighted_rows(cells: DataFrame) -> DataFrame:
 
 def _solve(rows: DataFrame, total: float):
     return LogisticRegression(
-        featuresCol="features", labelCol="label", weightCol="weight", maxIter=100, tol=1e-10,
+        featuresCol="features", labelCol="label", weightCol="weight", maxIter=100, tol=1e-7,
         regParam=L2_BASE / max(total, 1.0), elasticNetParam=0.0, standardization=False, fitIntercept=True,
     ).fit(rows)
 

@@ -13,6 +13,7 @@ from turnout.functions.hashing import coefficients, hash31, normal, poly_uniform
 from turnout.functions.scalars import band, clip, logit, sigmoid
 from turnout.operators.ordered import quantiles
 from turnout.operators.rates import MIX_BANDS
+from turnout.session import compute_partitions
 
 SEED = 20260801
 SALTS = 16  # tasks that may share one hot show
@@ -46,6 +47,11 @@ def expand(tickets: DataFrame, n_sim: int, seed: int = SEED) -> DataFrame:
     return spread.join(F.broadcast(sims), "sim")  # n_sim rows, a fixed number
 
 
+def spread_draws(rows: DataFrame) -> DataFrame:
+    n = compute_partitions(rows.sparkSession)
+    return rows.repartition(n, F.col("event_id"), F.col("h") % SALTS)
+
+
 def count_entries(tickets: DataFrame, sigmas: DataFrame, n_sim: int, seed: int = SEED,
                   sigma_group: float = 0.0) -> DataFrame:
     """(event_id, sim, cnt): raw simulated counts.
@@ -59,7 +65,7 @@ def count_entries(tickets: DataFrame, sigmas: DataFrame, n_sim: int, seed: int =
         hash31(F.lit("sale"), F.col("event_id"), F.col("sale_id")).alias("gh"),
     ).join(sigmas.select("event_id", "sigma", hash31(F.lit("show"), F.col("event_id")).alias("eh")), "event_id")
     # few shows per task, so partial counts combine well; a hot show spans SALTS tasks
-    placed = keyed.repartition("event_id", F.col("h") % SALTS)
+    placed = spread_draws(keyed)
     z = F.col("lp") + F.col("sigma") * show_normal(F.col("eh"))
     if sigma_group > 0:
         z = z + F.lit(float(sigma_group)) * group_normal(F.col("gh"))
@@ -198,17 +204,23 @@ def group_shock(tickets: DataFrame, grid: list[float] | None = None, n_sim: int
     members = tickets.join(classes.select("sale_id"), "sale_id", "left_semi").groupBy("sale_id", "p").agg(
         F.count(F.lit(1)).alias("k")
     )
-    keyed = members.select("sale_id", "k", logit(F.col("p")).alias("lp"), hash31(F.lit("group"), F.col("sale_id")).alias("gh"))
+    # placed by sale once: the products per (sale, simulation) need no further shuffle
+    keyed = members.select(
+        "sale_id", "k", logit(F.col("p")).alias("lp"), hash31(F.lit("group"), F.col("sale_id")).alias("gh")
+    ).repartition(compute_partitions(tickets.sparkSession), "sale_id")
     sims = expand(keyed, n_sim, seed).select("sale_id", "sim", "k", "lp", group_normal(F.col("gh")).alias("z"))
-    steps = F.explode(F.array(*[F.lit(float(s)) for s in grid]))
-    stay = sims.withColumn("sigma", steps).withColumn(
-        "ls", F.col("k") * F.log1p(-sigmoid(F.col("lp") + F.col("sigma") * F.col("z")))
-    )
-    per_sim = stay.groupBy("sale_id", "sigma", "sim").agg(F.exp(F.sum("ls")).alias("none"))
-    per_sale = per_sim.groupBy("sale_id", "sigma").agg(F.avg("none").alias("none"))
-    rates = per_sale.join(classes, "sale_id").groupBy("sigma").agg(
-        (F.sum(F.col("none") * F.col("weight")) / F.sum("weight")).alias("zero_rate")
+    # the whole grid side by side, so a draw is made once
+    stay = [
+        F.exp(F.sum(F.col("k") * F.log1p(-sigmoid(F.col("lp") + F.lit(float(s)) * F.col("z"))))).alias(f"g{i}")
+        for i, s in enumerate(grid)
+    ]
+    per_sim = sims.groupBy("sale_id", "sim").agg(*stay)
+    per_sale = per_sim.groupBy("sale_id").agg(*[F.avg(f"g{i}").alias(f"g{i}") for i in range(len(grid))])
+    weighted = per_sale.join(classes.select("sale_id", "weight"), "sale_id").agg(
+        *[(F.sum(F.col(f"g{i}") * F.col("weight")) / F.sum("weight")).alias(f"g{i}") for i in range(len(grid))]
     )
+    pairs = F.array(*[F.struct(F.lit(float(s)).alias("sigma"), F.col(f"g{i}").alias("zero_rate")) for i, s in enumerate(grid)])
+    rates = weighted.select(F.explode(pairs).alias("r")).select("r.*").filter(F.col("zero_rate").isNotNull())
     return rates.withColumn("gap", F.abs(F.col("zero_rate") - observed)).orderBy(F.round("gap", 12), "sigma")
 
 

@@ -55,3 +55,11 @@ def frozen(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def compute_partitions(spark: SparkSession) -> int:
+    """Partitions for small inputs that expand into much computation.
+
+    An explicit number keeps AQE from coalescing them by their (small) input size.
+    """
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
