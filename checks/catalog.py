@@ -880,7 +880,7 @@ def _shows(i: Inputs) -> DataFrame:
 
 
 _SHOW = """select f.event_id, s.title, f.artist_name, strftime(s.starts_at, '%Y-%m-%d %H:%M') as starts_at, s.capacity, f.expected_attendance,
-   case when s.capacity > 0 then round_even(f.expected_attendance / s.capacity, 4) end as fill_rate,
+   case when s.capacity > 0 then round_even(f.expected_attendance * 10000.0::double / s.capacity, 0) / 10000 end as fill_rate,
    case when s.capacity > 0 then greatest(0, s.capacity - f.expected_attendance) end as free_seats, s.starts_at as k
    from fc3 f join shows s on s.event_id = f.event_id"""
 _SHOWC = ["event_id", "title", "artist_name", "capacity", "expected_attendance", "fill_rate", "free_seats"]
