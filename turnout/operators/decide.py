@@ -136,7 +136,7 @@ def invite_lever(chosen: DataFrame, shows: DataFrame, events: DataFrame, as_of:
 
 def channel_lever(tickets: DataFrame, shows: DataFrame, labelled: DataFrame) -> DataFrame:
     """Upper bound of moving weak-channel courtesies to the box office."""
-    rates = observed_rates(labelled)
+    rates = frozen(observed_rates(labelled))  # a handful of rows, read several times
     pick = lambda k: rates.filter(F.col("rate_key") == k).select("rate").scalar()
     weak = (
         tickets.filter(F.col("is_courtesy") & F.col("channel").isin(WEAK_CHANNELS))
@@ -156,7 +156,7 @@ def channel_lever(tickets: DataFrame, shows: DataFrame, labelled: DataFrame) ->
 
 def convert_lever(tickets: DataFrame, shows: DataFrame, labelled: DataFrame) -> DataFrame:
     """Turning up to 100 courtesies into paid tickets, keeping 70 % of the observed gap."""
-    rates = observed_rates(labelled)
+    rates = frozen(observed_rates(labelled))  # a handful of rows, read several times
     pick = lambda k: rates.filter(F.col("rate_key") == k).select("rate").scalar()
     n = tickets.filter("is_courtesy").groupBy("event_id").agg(
         F.least(F.count(F.lit(1)), F.lit(CONVERT_MAX)).alias("reach")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnout.functions import keys as K
-from turnout.session import frozen
+from turnout.session import frozen, spread_small
 
 
 @dataclass(frozen=True)
@@ -401,10 +401,10 @@ def link(sales: DataFrame, users: DataFrame, cfg: LinkConfig | None = None) -> D
     """Linkage with evidence: one row per sale; `user_id` is NULL without a match."""
     cfg = cfg or LinkConfig()
     cfg.check()
-    s = normalise_sales(sales)
     # both sides feed many joins: normalise once, and keep filters out of the expressions
+    s = frozen(normalise_sales(spread_small(sales)))
     profiles = frozen(buyer_profiles(s))
-    u = frozen(user_profiles(normalise_users(users)))
+    u = frozen(user_profiles(normalise_users(spread_small(users))))
     # propagation reads the decisions twice
     decided = frozen(decide(profiles, candidates(profiles, u, cfg), cfg))
     result = propagate(decided, cfg)
@@ -494,10 +494,14 @@ def permutation_gap(linked: DataFrame, label: str, rate: str, reps: int, seed: i
         "ticket_id", F.col(rate).alias("r"), F.col(label).cast("int").alias("y")
     )
     spark = linked.sparkSession
-    rep = spark.range(1, reps + 1).select(F.col("id").alias("rep"))
-    rep = rep.withColumns({f"c{i}": c for i, c in enumerate(coefficients(F.lit(seed), F.col("rep")))})
-    # hash order of the tickets in each replicate; ranks within (rep) are distributed
-    spread = base.select("ticket_id", "y", "r", hash31(F.col("ticket_id")).alias("h")).join(F.broadcast(rep))
+    rep = spark.range(1, reps + 1).select(
+        F.col("id").alias("rep"), *[c.alias(f"c{i}") for i, c in enumerate(coefficients(F.lit(seed), F.col("id")))]
+    )
+    # hash order of the tickets in each replicate; ranks within a replicate are distributed
+    spread = base.select(
+        "ticket_id", "y", hash31(F.col("ticket_id")).alias("h"),
+        F.explode(F.sequence(F.lit(1), F.lit(reps)).cast("array<bigint>")).alias("rep"),
+    ).join(F.broadcast(rep), "rep")  # `reps` rows, a fixed number
     shuffled = spread.select(
         "rep", "ticket_id", "y", poly_uniform([F.col(f"c{i}") for i in range(4)], F.col("h")).alias("u")
     )

@@ -23,6 +23,7 @@ L2_BASE = 1e-3
 L2_ARTIST = 12.0
 SEED = 20260801
 PARALLEL_FITS = 8
+ROWS_PER_FIT_TASK = 200_000
 
 CHANNELS = [("ch_box", "BOX_OFFICE"), ("ch_admin", "ADMIN"), ("ch_rrpp", "RRPP")]
 COURTESY_DESIGN = ["linked_f", "has_rate", "rate_c", "log_n", "member", "city_f", "last_day"] + [c for c, _ in CHANNELS]
@@ -167,13 +168,20 @@ def held_out_scores(df: DataFrame, groups: DataFrame) -> DataFrame:
     """
     lab = df.filter(F.col("y").isNotNull()).join(groups, "event_id")
     names = [r["fold"] for r in groups.select("fold").distinct().orderBy("fold").collect()]
+    fold_type = dict(groups.dtypes)["fold"]
+    spark = df.sparkSession
     out = None
     for segment, cols in SEGMENTS.items():
         cells = frozen(design_cells(lab, segment, "fold"))
-        encoder, _, _ = _encoder(cells, cols)
-        rows = encoder.transform(_keyed(_weighted_rows(cells))).select("fold", "features", "label", "weight").coalesce(1).persist()
-        totals = {r["fold"]: r["t"] for r in cells.groupBy("fold").agg(F.sum(F.col("pos") + F.col("neg")).alias("t")).collect()}
+        encoder, labels, scale = _encoder(cells, cols)
+        sizes = cells.groupBy("fold").agg(
+            F.sum(F.col("pos") + F.col("neg")).alias("t"), F.count(F.lit(1)).alias("n")
+        ).collect()
+        totals = {r["fold"]: r["t"] for r in sizes}
         grand = sum(totals.values())
+        rows = encoder.transform(_keyed(_weighted_rows(cells))).select("fold", "features", "label", "weight")
+        # the solver runs one short job per iteration: few partitions while the table is small
+        rows = rows.coalesce(1 + sum(r["n"] for r in sizes) // ROWS_PER_FIT_TASK).persist()
 
         def one(fold):
             return fold, _solve(rows.filter(F.col("fold") != fold), grand - totals.get(fold, 0.0))
@@ -182,16 +190,18 @@ def held_out_scores(df: DataFrame, groups: DataFrame) -> DataFrame:
             fitted = list(pool.map(one, names))
         rows.unpersist()
         # all folds scored in one join on the fold: coefficients travel as rows
-        spark = df.sparkSession
+        k = len(cols)
         coeff = spark.createDataFrame(
-            [(f, float(m.intercept), [float(x) for x in m.coefficients.toArray()]) for f, m in fitted],
-            f"fold {dict(groups.dtypes)['fold']}, b0 double, b array<double>",
+            [(f, float(m.intercept), [float(x) for x in m.coefficients.toArray()[:k]],
+              [float(x * scale) for x in m.coefficients.toArray()[k:]]) for f, m in fitted],
+            f"fold {fold_type}, b0 double, b array<double>, b_artist array<double>",
         )
-        x = encoder.transform(_keyed(design(lab, segment))).withColumn("x", vector_to_array("features"))
-        z = F.col("b0") + F.aggregate(
-            F.zip_with("x", "b", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v
-        )
-        one_seg = x.join(coeff, "fold").withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).select(*lab.columns, "p")
+        x = encoder.stages[0].transform(_keyed(design(lab, segment))).join(coeff, "fold")
+        z = F.col("b0")
+        for i, c in enumerate(cols):
+            z = z + F.col("b")[i] * F.col(c)
+        z = z + F.coalesce(F.get("b_artist", F.col("artist_ix").cast("int")), F.lit(0.0))
+        one_seg = x.withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).select(*lab.columns, "p")
         out = one_seg if out is None else out.unionByName(one_seg)
     return out
 
@@ -256,10 +266,11 @@ class _Prepared:
             m = filled.agg(*[F.avg(f"n_{c}").alias(f"m_{c}") for c in numbers], *[F.stddev_pop(f"n_{c}").alias(f"s_{c}") for c in numbers]).first()
             self.moments = {c: (float(m[f"m_{c}"]), float(m[f"s_{c}"]) or 1.0) for c in numbers}
         coded = self._codes(self._numbers(x))
-        stages = []
-        for c in CATEGORICAL:
-            stages.append(StringIndexer(inputCol=f"e_{c}", outputCol=f"i_{c}", handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=[f"i_{c}" for c in CATEGORICAL], outputCols=[f"h_{c}" for c in CATEGORICAL], dropLast=True))
+        # one indexer for all columns: their values are counted in a single pass
+        stages = [
+            StringIndexer(inputCols=[f"e_{c}" for c in CATEGORICAL], outputCols=[f"i_{c}" for c in CATEGORICAL], handleInvalid="keep"),
+            OneHotEncoder(inputCols=[f"i_{c}" for c in CATEGORICAL], outputCols=[f"h_{c}" for c in CATEGORICAL], dropLast=True),
+        ]
         stages.append(VectorAssembler(inputCols=[*[f"h_{c}" for c in CATEGORICAL], *[f"n_{c}" for c in numbers]], outputCol="features"))
         self.pipeline = Pipeline(stages=stages).fit(coded)
 

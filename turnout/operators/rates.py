@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnout.functions.scalars import band, clip
+from turnout.session import frozen
 
 # Fixed values of the analysis.
 MIN_SAMPLE = 25
@@ -89,25 +90,36 @@ def history_rate_by_type(history: DataFrame) -> DataFrame:
     )
 
 
+def cells(train: DataFrame) -> DataFrame:
+    """Tickets and entries per (artist, type): all that the rate models need to know."""
+    return train.groupBy("artist_id", "ticket_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(y_num()).alias("obs")
+    )
+
+
+def rates_of(cell: DataFrame) -> DataFrame:
+    return cell.groupBy("ticket_type").agg((F.sum("obs") / F.sum("n")).alias("type_rate"))
+
+
+def overall_of(cell: DataFrame):
+    return cell.agg(F.sum("obs") / F.sum("n")).scalar()
+
+
 def type_rates(train: DataFrame) -> DataFrame:
-    return train.groupBy("ticket_type").agg(F.avg(y_num()).alias("type_rate"))
+    return rates_of(cells(train))
 
 
-def with_type_rate(df: DataFrame, train: DataFrame) -> DataFrame:
-    """Rate of the ticket type in `train`; the overall rate for unseen types."""
-    overall = train.agg(F.avg(y_num())).scalar()
-    return df.join(type_rates(train), "ticket_type", "left").withColumn(
-        "type_rate", F.coalesce("type_rate", overall)
+def with_type_rate(df: DataFrame, cell: DataFrame) -> DataFrame:
+    """Rate of the ticket type in `cell`; the overall rate for unseen types."""
+    return df.join(rates_of(cell), "ticket_type", "left").withColumn(
+        "type_rate", F.coalesce("type_rate", overall_of(cell))
     )
 
 
-def artist_factors(train: DataFrame, shrink: float = SHRINK) -> DataFrame:
+def artist_factors(cell: DataFrame, shrink: float = SHRINK) -> DataFrame:
     """Observed over expected attendance per artist, pulled towards 1 by `shrink` tickets."""
-    cells = train.groupBy("artist_id", "ticket_type").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(y_num()).alias("obs")
-    )
     return (
-        cells.join(type_rates(train), "ticket_type")
+        cell.join(rates_of(cell), "ticket_type")
         .groupBy("artist_id")
         .agg(F.sum("obs").alias("obs"), F.sum(F.col("n") * F.col("type_rate")).alias("expected"))
         .select("artist_id", ((F.col("obs") + shrink) / (F.col("expected") + shrink)).alias("factor"))
@@ -120,7 +132,8 @@ class Baseline:
     name = "baseline"
 
     def fit(self, train: DataFrame) -> "Baseline":
-        self.train = train
+        # one pass over the tickets; what is kept has one row per (artist, type)
+        self.cell = frozen(cells(train))
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -130,6 +143,9 @@ class Baseline:
 class AllEnter(Baseline):
     name = "B0"
 
+    def fit(self, train):
+        return self
+
     def predict(self, df):
         return df.withColumn("p", F.lit(1.0))
 
@@ -138,21 +154,21 @@ class GlobalRate(Baseline):
     name = "B1"
 
     def predict(self, df):
-        return df.withColumn("p", self.train.agg(F.avg(y_num())).scalar())
+        return df.withColumn("p", overall_of(self.cell))
 
 
 class TypeRate(Baseline):
     name = "B2"
 
     def predict(self, df):
-        return with_type_rate(df, self.train).withColumnRenamed("type_rate", "p")
+        return with_type_rate(df, self.cell).withColumnRenamed("type_rate", "p")
 
 
 class TypeArtistRate(Baseline):
     name = "B3"
 
     def predict(self, df):
-        rated = with_type_rate(df, self.train).join(artist_factors(self.train), "artist_id", "left")
+        rated = with_type_rate(df, self.cell).join(artist_factors(self.cell), "artist_id", "left")
         p = clip(F.col("type_rate") * F.coalesce("factor", F.lit(1.0)), 1e-6, 1 - 1e-6)
         return rated.withColumn("p", p).drop("type_rate", "factor")
 
@@ -174,7 +190,7 @@ def observed_rates(df: DataFrame) -> DataFrame:
 def show_residuals(df: DataFrame) -> DataFrame:
     """Per past show: observed, expected from the type mix, and the relative residual."""
     lab = df.filter(F.col("y").isNotNull())
-    scored = with_type_rate(lab, lab)
+    scored = with_type_rate(lab, cells(lab))
     return (
         scored.groupBy("event_id", "artist_name")
         .agg(

@@ -63,3 +63,14 @@ def compute_partitions(spark: SparkSession) -> int:
     An explicit number keeps AQE from coalescing them by their (small) input size.
     """
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Use all cores on a scan of few splits that heavy expressions follow.
+
+    A scan with at least as many splits as cores, the normal case on a cluster, is
+    returned unchanged and not shuffled. Only for plans without a shuffle: asking
+    for their partitions runs no job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
