@@ -476,8 +476,9 @@ def key_quality(sales: DataFrame, users: DataFrame) -> DataFrame:
         F.count_if(F.col("count") > 1).alias("names_repeated"),
         F.count_if(F.col("count") > 3).alias("names_over_three"),
     )
-    # two one-row aggregates side by side
-    return sale_side.select(F.lit(1).alias("one"), "*").join(user_side.select(F.lit(1).alias("one"), "*"), "one").drop("one")
+    return sale_side.select(
+        "*", *[user_side.select(c).scalar().alias(c) for c in ("names_repeated", "names_over_three")]
+    )
 
 
 def permutation_gap(linked: DataFrame, label: str, rate: str, reps: int, seed: int, low: float, high: float) -> DataFrame:

@@ -158,12 +158,11 @@ def show_shock(residuals: DataFrame) -> DataFrame:
 def show_sigmas(tickets: DataFrame, shock: DataFrame) -> DataFrame:
     """(event_id, courtesy_share, sigma) for every show of `tickets`."""
     share = tickets.groupBy("event_id").agg(F.avg(F.col("is_courtesy").cast("int")).alias("courtesy_share"))
-    line = F.broadcast(shock.select("intercept", "slope", "floor", F.lit(1).alias("one")))
-    var = F.col("intercept") + F.col("slope") * F.col("courtesy_share")
-    return (
-        share.withColumn("one", F.lit(1))
-        .join(line, "one")
-        .select("event_id", "courtesy_share", F.sqrt(F.greatest(var, F.col("floor"))).alias("sigma"))
+    intercept, slope, floor = (shock.select(c).scalar() for c in ("intercept", "slope", "floor"))
+    return share.select(
+        "event_id",
+        "courtesy_share",
+        F.sqrt(F.greatest(intercept + slope * F.col("courtesy_share"), floor)).alias("sigma"),
     )
 
 
