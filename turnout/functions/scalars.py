@@ -63,3 +63,9 @@ def band(c: Column, edges: list[float], labels: list[str]) -> Column:
 
 def iso_week(ts: Column) -> Column:
     return F.weekofyear(ts)
+
+
+def round_binary(c: Column, places: int) -> Column:
+    """Half-even rounding of the binary value, as floating-point languages round."""
+    unit = F.lit(10.0**places)
+    return F.rint(c * unit) / unit
