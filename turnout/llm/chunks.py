@@ -1,0 +1,57 @@
+"""Places where a text can be cut without changing its byte-level BPE ids.
+
+The splitting pattern of byte-level vocabularies starts a new match at every single
+space between two non-blank characters, and makes a single line feed between two such
+characters a match of its own. A text whose only white space is of these two kinds is
+therefore a sequence of lines, each a bare first word and words led by a space, whose
+ids are simply joined. Any other text is cut at safe single spaces only.
+"""
+
+from __future__ import annotations
+
+import re
+
+_SAFE = re.compile(r"(?<=[^\s᠎​﻿]) (?=[^\s᠎​﻿])")
+
+
+def lines(text: str) -> list[list[str]] | None:
+    """Words of each line, or None if other white space occurs."""
+    words = text.replace("\n", " ").split(" ")
+    if words != text.split() or "᠎" in text or "​" in text or "﻿" in text:
+        return None
+    return [line.split(" ") for line in text.split("\n")]
+
+
+def parts(text: str, limit: int) -> list[str]:
+    """Parts of about `limit` characters, cut before safe spaces; a part without one stays whole."""
+    if len(text) <= limit:
+        return [text]
+    out, lo = [], 0
+    while len(text) - lo > limit:
+        m = _SAFE.search(text, lo + limit)
+        if m is None:
+            break
+        out.append(text[lo : m.start()])
+        lo = m.start()
+    out.append(text[lo:])
+    return out
+
+
+class Known:
+    """What is known of chunks, kept between batches of a worker: at most `limit` entries of each kind."""
+
+    def __init__(self, limit: int = 400_000):
+        self.limit = limit
+        self.bare: dict = {}
+        self.spaced: dict = {}
+
+    def unknown(self, texts: list[list[list[str]]]) -> tuple[list[str], list[str]]:
+        """Bare and spaced words of the lines that are not known yet."""
+        if len(self.bare) + len(self.spaced) > self.limit:
+            self.bare, self.spaced = {}, {}
+        bare, spaced = set(), set()
+        for ls in texts:
+            bare.update(ws[0] for ws in ls)
+            for ws in ls:
+                spaced.update(ws[1:])
+        return [w for w in bare if w not in self.bare], [w for w in spaced if w not in self.spaced]

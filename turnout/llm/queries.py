@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from turnout.llm.byte_bpe import digests
 from turnout.llm.common import table
+from turnout.llm.packing import pack
 from turnout.llm.substring_dedup import repeated_spans
+from turnout.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,7 +29,7 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL["op1_substring_dedup"] = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
 ), win AS (
   SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 49), ' ') AS k
   FROM w, unnest(range(1, len(ws) - 48)) AS u(i) WHERE len(ws) >= 50
@@ -35,6 +39,22 @@ WITH w AS (
 ), gl AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
   sha256(CASE WHEN ps IS NULL THEN array_to_string(ws, ' ')
-    ELSE array_to_string(list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), x -> NOT list_contains(ps, x[2])), x -> x[1]), ' ') END) AS kept_sha256
+    ELSE array_to_string(list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda x: NOT list_contains(ps, x[2])), lambda x: x[1]), ' ') END) AS kept_sha256
 FROM w LEFT JOIN gl USING (doc_id)
 """
+
+
+@query
+def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return digests(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
