@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from turnout.llm.byte_bpe import digests
-from turnout.llm.common import table
+from turnout.llm.common import saved, table
+from turnout.llm.licenses import scan
+from turnout.llm.near_duplicates import near_duplicates
 from turnout.llm.packing import pack
+from turnout.llm.quality_rules import rated, verdicts
 from turnout.llm.substring_dedup import repeated_spans
 from turnout.llm.token_counts import token_counts
+from turnout.llm.toxicity import fit, score
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,6 +48,11 @@ FROM w LEFT JOIN gl USING (doc_id)
 """
 
 
+@query
+def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return scan(table(spark, folder, "documents"))
+
+
 @query
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -58,3 +67,21 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    found = verdicts(saved(rated(docs).drop("text")))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return score(docs, fit(docs, table(spark, folder, "labels"))).select("doc_id", "held_out", "score", "predicted")

@@ -31,6 +31,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def mix_light(x: np.ndarray, factor: np.uint64, shift: np.uint64) -> np.ndarray:
+    """A seeded permutation of values that are scrambled already."""
+    x = x * factor
+    x += shift
+    return x
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_tables.get("up", ())) < n:
         size = max(n, SEGMENT + 4096)
