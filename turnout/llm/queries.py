@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from turnout.llm.binary_codes import search
 from turnout.llm.byte_bpe import digests
 from turnout.llm.common import saved, table
 from turnout.llm.licenses import scan
@@ -53,6 +54,11 @@ def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return scan(table(spark, folder, "documents"))
 
 
+@query
+def op4_binary_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return search(table(spark, folder, "embeddings"))
+
+
 @query
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
