@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from turnout.llm.binary_codes import search
 from turnout.llm.byte_bpe import digests
 from turnout.llm.common import saved, table
+from turnout.llm.html_text import extract
 from turnout.llm.licenses import scan
 from turnout.llm.near_duplicates import near_duplicates
 from turnout.llm.packing import pack
@@ -54,6 +55,11 @@ def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return scan(table(spark, folder, "documents"))
 
 
+@query
+def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages"))
+
+
 @query
 def op4_binary_codes(spark: SparkSession, folder: str) -> DataFrame:
     return search(table(spark, folder, "embeddings"))
