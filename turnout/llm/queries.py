@@ -14,7 +14,7 @@ from turnout.llm.html_text import extract
 from turnout.llm.licenses import scan
 from turnout.llm.near_duplicates import near_duplicates
 from turnout.llm.packing import pack
-from turnout.llm.quality_rules import rated, verdicts
+from turnout.llm.quality_rules import ENOUGH, FENCE, MAX_REPEATED, MIN_WORDS, OUTER, STEPS, rated, verdicts
 from turnout.llm.substring_dedup import repeated_spans
 from turnout.llm.token_counts import token_counts
 from turnout.llm.toxicity import fit, score
@@ -97,3 +97,56 @@ def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return score(docs, fit(docs, table(spark, folder, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
+SQL["op4_binary_codes"] = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) AS rank
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+) WHERE rank <= 20
+"""
+
+_SHARES = {"mean_word": "word_chars / w1", "symbol_share": "n_symbols / c1", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
+           "repeat_share": "n_repeat_words / w1", "caps_share": "n_caps / c1"}
+
+
+def _fences(keys: str, name: str) -> str:
+    """Exact quantiles, as the sketches have up to SKETCH_K documents."""
+    cols = ", ".join(
+        f"round(quantile_disc({m}, 0.5) + {FENCE} * greatest(quantile_disc({m}, {OUTER}) - quantile_disc({m}, 0.5), {least}), 2) AS f_{m}"
+        for m, least in STEPS.items()
+    )
+    return f"{name} AS (SELECT {keys + ', ' if keys else ''}count(*) AS n, {cols} FROM rated WHERE NOT base_failed {'GROUP BY ' + keys if keys else ''})"
+
+
+SQL["op9_quality_rules"] = rf"""
+WITH t AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS x,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS k FROM t, unnest(range(1, len(ws) - 6)) AS u(i) WHERE len(ws) >= 8
+), twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1
+), rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, unnest(range(0, 8)) AS u(j) GROUP BY doc_id
+), base AS (
+  SELECT t.doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(x, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines,
+    coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(regexp_extract_all(x, '\p{{Lu}}')) AS n_caps
+  FROM t LEFT JOIN rep USING (doc_id)
+), failed AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed,
+    greatest(n_words, 1)::DOUBLE AS w1, greatest(word_chars, 1)::DOUBLE AS c1 FROM base
+), rated AS (SELECT *, {", ".join(f"({e})::DOUBLE AS {m}" for m, e in _SHARES.items())} FROM failed
+), {_fences("lang, source", "own")}, {_fences("lang", "by_lang")}, {_fences("", "whole")}
+SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND {" AND ".join(f"{m} <= CASE WHEN own.n >= {ENOUGH} THEN own.f_{m} WHEN by_lang.n >= {ENOUGH} THEN by_lang.f_{m} ELSE whole.f_{m} END" for m in STEPS)} AS kept
+FROM rated r LEFT JOIN own ON own.lang IS NOT DISTINCT FROM r.lang AND own.source IS NOT DISTINCT FROM r.source
+LEFT JOIN by_lang ON by_lang.lang IS NOT DISTINCT FROM r.lang, whole
+"""
