@@ -50,10 +50,29 @@ class WordIds:
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
         self.limit = limit
+        ends = [i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[ends] = True
 
     def _learn(self, words: list[bytes]) -> None:
-        for lo in range(0, len(words), 8192):
-            some = words[lo : lo + 8192]
+        """Words of letters go to the library many at a time; each ends with a token that ends a word."""
+        plain, odd = [], []
+        for w in words:
+            (plain if w.decode().isalpha() else odd).append(w)
+        groups = [plain[lo : lo + 64] for lo in range(0, len(plain), 64)]
+        for lo in range(0, len(groups), 64):
+            some = groups[lo : lo + 64]
+            found = self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in some], add_special_tokens=False)
+            for group, e in zip(some, found, strict=True):
+                ids = np.array(e.ids, "<u4")
+                edges = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+                if len(edges) != len(group) + 1 or edges[-1] != 4 * len(ids):  # a letter whose lower case has marks
+                    odd += group
+                    continue
+                flat = ids.tobytes()
+                self.known.update((w, flat[x:y]) for w, x, y in zip(group, edges[:-1], edges[1:], strict=True))
+        for lo in range(0, len(odd), 4096):
+            some = odd[lo : lo + 4096]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
             self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
 
