@@ -64,7 +64,7 @@ class Scanner:
         import ahocorasick
 
         self.notices = NOTICES if notices is None else notices
-        self.patterns = {n: regex.compile(rf"(?b)(?:{regex.escape(n, literal_spaces=True)}){{e<={errors_of(n)}}}".encode()) for n in self.notices}
+        self.patterns = {n: regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n, literal_spaces=True)}){{e<={errors_of(n)}}}(?![^ ])".encode()) for n in self.notices}
         where: dict[str, list[tuple[str, int]]] = {}
         for n in self.notices:
             for at, seed in seeds(n):
@@ -97,8 +97,7 @@ class Scanner:
             for lo, hi in ws:
                 for m in find(norm, lo, min(hi, len(norm))):
                     a, b = m.span()
-                    whole = (a == 0 or norm[a - 1] == 0x20 or norm[a] == 0x20) and (b == len(norm) or norm[b] == 0x20 or norm[b - 1] == 0x20)
-                    if whole and b > a:
+                    if b > a:
                         out.append((a, b, notice, sum(m.fuzzy_counts)))
         return sorted(out)
 
