@@ -654,7 +654,7 @@ def bootstrap_mae(spark, d):
 
 
 @query("paired_bootstrap", q("""select model, round((select avg(dif) from evs), 6) as mean_dif, round(quantile_cont(m, 0.025), 6) as ci_low,
-   round(quantile_cont(m, 0.975), 6) as ci_high, quantile_cont(m, 0.025) > 0 or quantile_cont(m, 0.975) < 0 as conclusive from means group by 1""",
+   round(quantile_cont(m, 0.975), 6) as ci_high, round(quantile_cont(m, 0.025), 9) > 0 or round(quantile_cont(m, 0.975), 9) < 0 as conclusive from means group by 1""",
    **_boot("dif", f"""select a.model, a.event_id, abs(a.pred - a.obs) - abs(b.pred - b.obs) as dif from ({_EV}) a join ({_EV}) b
      on a.event_id = b.event_id and a.model = 'B3' and b.model = 'B2'""")))
 def paired_bootstrap(spark, d):

@@ -16,12 +16,16 @@ def lev(a, b):
     return row[-1]
 
 
-def swapped(s):
-    return {s[:i] + s[i + 1] + s[i] + s[i + 2:] for i in range(len(s) - 1) if s[i] != s[i + 1]}
+def swapped(a, b):
+    """Equal but for two neighbouring positions, which are exchanged."""
+    off = [i for i in range(len(a)) if a[i] != b[i]] if len(a) == len(b) else []
+    return len(off) == 2 and off[1] == off[0] + 1 and (a[off[0]], a[off[1]]) == (b[off[1]], b[off[0]])
 
 
-def cut(s):
-    return {s} | {s[:i] + s[i + 1:] for i in range(len(s))}
+def alike(a, b):
+    """Equal after leaving out at most one position of each."""
+    shorter = lambda t: [t] + ["".join(c for j, c in enumerate(t) if j != i) for i in range(len(t))]
+    return any(x == y for x in shorter(a) for y in shorter(b))
 
 
 def similarity(a, b):
@@ -45,8 +49,8 @@ def brute(sales, users, cfg):
     for s in sales:
         best = []
         for u in users:
-            near = s["core"] and u["core"] and cut(s["core"]) & cut(u["core"])
-            phone = s["phone"] and (s["phone"] == u["phone"] or u["phone"] in swapped(s["phone"]))
+            near = s["core"] and u["core"] and alike(s["core"], u["core"])
+            phone = s["phone"] and (s["phone"] == u["phone"] or swapped(s["phone"], u["phone"]))
             if not ((s["email"] and s["email"] == u["email"]) or (s["local"] and s["local"] == u["local"]) or near or phone):
                 continue
             if s["email"] and s["email"] == u["email"]:
@@ -57,7 +61,7 @@ def brute(sales, users, cfg):
                 e = 0.85 if s["dom"] and s["dom"] == u["dom"] else 0.65
             else:
                 e = 0.25 if s["core"] and s["core"] == u["core"] else 0.0
-            p = 0.0 if not s["phone"] or not u["phone"] else 1.0 if s["phone"] == u["phone"] else 0.75 if s["phone"] in swapped(u["phone"]) else 0.0
+            p = 0.0 if not s["phone"] or not u["phone"] else 1.0 if s["phone"] == u["phone"] else 0.75 if swapped(s["phone"], u["phone"]) else 0.0
             n = similarity(s["names"], u["names"])
             best.append((cfg.w_email * e + cfg.w_phone * p + cfg.w_name * n, u["user_id"], e, p, n))
         best.sort(reverse=True)
@@ -75,9 +79,15 @@ def fixture(spark, inputs):
     extra = spark.createDataFrame(
         [(9001 + i, f"caja{i}@gmail.com", "3000000000", n, l, 1, False) for i, (n, l) in enumerate(
             [("Ana", "Ruiz"), ("Luis", "Torres"), ("Ana", "Torres"), ("Jose", "Ruiz"), ("Ana", "Ruiz")])]
-        + [(9101, "ana.ruiz@gmail.com", "3000012345", "Ana", "Ruiz", 1, False)],
+        + [(9101, "ana.ruiz@gmail.com", "3000012345", "Ana", "Ruiz", 1, False)]
+        # a near mailbox with a shared phone, where both are in blocks of several users and no name agrees
+        + [(9201, "contacto@gmail.com", "3015550000", "Eva", "Mora", 1, False)]
+        + [(9202 + i, f"contacto@{d}", "3015550000" if i % 2 else "3015550001", "Iris", "Vega", 1, False) for i, d in enumerate(("hotmail.com", "outlook.com", "yahoo.com", "gmail.com"))],
         inputs.t.users.schema,
     )
+    base = sales.orderBy("sale_id").limit(2)
+    odd = base.withColumns({"sale_id": F.col("sale_id") + 900000, "buyer_email": F.lit("contact@gmail.com"), "buyer_phone": F.when(F.col("sale_id") % 2 == 0, "3015550000").otherwise("3015550001"), "buyer_name": F.lit("Zulma Pardo")})
+    sales = sales.unionByName(odd.select(sales.columns))
     return sales, inputs.t.users.unionByName(extra)
 
 

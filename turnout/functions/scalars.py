@@ -6,11 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def is_absent(c: Column) -> Column:
-    """NULL and NaN both mean "no value", which is not zero."""
-    return c.isNull() | F.isnan(c)
-
-
 def denan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 

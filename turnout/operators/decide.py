@@ -70,45 +70,50 @@ def invite_candidates(
     shows: DataFrame,
     held: DataFrame,
     score: Callable[[DataFrame], DataFrame],
-    user_order: Column | None = None,
     min_p: float = INVITE_MIN_P,
 ) -> DataFrame:
     """The people to invite to each show, best first, just enough to fill its free seats.
 
-    `shows` has event_id, city, free. `score` adds `p` to (event_id, user_id) pairs.
-    Within a city a show ranks its users by `user_order`, the user's own part of the
-    score (any score that is monotone in it), so only a prefix of the city's ranking
-    can be invited: every invitation counts at least `min_p`, hence free / min_p + 1
-    invitations always suffice, plus as many as there are local ticket holders to
-    skip. Pairs beyond that prefix are never formed, and none that could be chosen
-    is missing.
+    `shows` has event_id, city, free. `score` adds `p` to (event_id, user_id) pairs, where
+    p may depend on the show and on any column of `eligible` but user_id, in any way.
+    Users of a city with the same such columns form a cell, and one of them is scored for
+    it. A show takes its cells by falling p. Every invitation counts at least `min_p`, so
+    free / min_p + 1 of them suffice, plus as many as there are local ticket holders to
+    skip: no cell has to give more of its users, and none is read after the cells before
+    it have filled the show. What is left is ranked one by one.
     """
-    ranked = running(
-        eligible.select("user_id", "city", (user_order if user_order is not None else F.lit(0.0)).alias("u_score")),
-        [F.desc("u_score"), F.col("user_id")], by=["city"], rank="city_rank",
-    )
+    traits = [c for c in eligible.columns if c != "user_id"]
+    members = frozen(eligible.select("user_id", F.xxhash64(*traits).alias("cell"), "city"))
+    ranked = running(members, [F.col("user_id")], by=["cell"], rank="cell_rank")
+    cells = members.groupBy("cell").agg(F.min("user_id").alias("user_id"), F.first("city").alias("city"), F.count(F.lit(1)).alias("n"))
     local_held = (
-        held.join(eligible.select("user_id", "city"), "user_id")
+        held.join(members, "user_id")
         .join(shows.select("event_id", "city"), ["event_id", "city"])
         .groupBy("event_id")
         .agg(F.count(F.lit(1)).alias("n_held"))
     )
     need = shows.filter("free > 0").join(local_held, "event_id", "left").select(
-        "event_id", "city", "free",
+        "event_id", "city", "free", F.coalesce("n_held", F.lit(0)).alias("n_held"),
         (F.ceil(F.col("free") / F.lit(min_p)) + 1 + F.coalesce("n_held", F.lit(0))).alias("need"),
     )
-    blocks = need.withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("need") / _RANK_BLOCK)))
+    tried = need.join(cells, "city").select("event_id", "user_id", "cell", "n", "free", "n_held", "need")
+    p = score(tried.select("event_id", "user_id")).select("event_id", "user_id", "p")
+    good = frozen(tried.join(p, ["event_id", "user_id"]).filter(F.col("p") >= min_p).drop("user_id"))
+    # all users of a level may be invited before those of the next; holders among them don't fill seats
+    levels = good.groupBy("event_id", "p").agg(F.sum("n").alias("level_n"), F.first("need").alias("need"))
+    upto = running(levels, [F.desc("p")], by=["event_id"], sums={"upto": "level_n"})
+    open_levels = upto.filter(F.col("upto") - F.col("level_n") < F.col("need")).select("event_id", "p")
+    blocks = good.join(open_levels, ["event_id", "p"]).withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.least("need", "n") / _RANK_BLOCK)))
     )
-    by_block = ranked.withColumn("block", F.floor((F.col("city_rank") - 1) / _RANK_BLOCK))
+    by_block = ranked.withColumn("block", F.floor((F.col("cell_rank") - 1) / _RANK_BLOCK)).drop("city")
     pairs = (
-        blocks.join(by_block, ["city", "block"])
-        .filter(F.col("city_rank") <= F.col("need"))
-        .select("event_id", "user_id", "free")
+        blocks.join(by_block, ["cell", "block"])
+        .filter(F.col("cell_rank") <= F.col("need"))
+        .select("event_id", "user_id", "free", "p")
         .join(held, ["event_id", "user_id"], "left_anti")
     )
-    good = score(pairs).select("event_id", "user_id", "free", "p").filter(F.col("p") >= min_p)
-    taken = running(good, [F.desc("p"), F.col("user_id")], by=["event_id"], rank="place", sums={"cum": "p"})
+    taken = running(pairs, [F.desc("p"), F.col("user_id")], by=["event_id"], rank="place", sums={"cum": "p"})
     return taken.filter(F.col("cum") - F.col("p") < F.col("free")).select(
         "event_id", "user_id", "free", "p", "place", "cum"
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from turnout.functions.hashing import coefficients, poly_uniform
 from turnout.functions.scalars import clip
 from turnout.operators.ordered import equal_count_bins, quantiles, running
+from turnout.session import frozen
 
 SEED = 20260801
 
@@ -121,20 +122,20 @@ def bootstrap_mean(ev: DataFrame, value: str, reps: int = 4000, seed: int = SEED
 
 
 def bootstrap_mae(df: DataFrame, reps: int = 4000, seed: int = SEED) -> DataFrame:
-    ev = by_event(df).withColumn("ae", F.abs(F.col("pred") - F.col("obs")))
+    ev = frozen(by_event(df).withColumn("ae", F.abs(F.col("pred") - F.col("obs"))))
     mae = ev.groupBy("model").agg(F.avg("ae").alias("mae"))
     return mae.join(bootstrap_mean(ev, "ae", reps, seed), "model")
 
 
 def paired_difference(df: DataFrame, rival: str, reps: int = 4000, seed: int = SEED) -> DataFrame:
     """Per model: mean difference of absolute event errors against `rival` on the same events."""
-    ev = by_event(df).withColumn("ae", F.abs(F.col("pred") - F.col("obs")))
+    ev = frozen(by_event(df).withColumn("ae", F.abs(F.col("pred") - F.col("obs"))))
     base = ev.filter(F.col("model") == rival).select("event_id", F.col("ae").alias("rival_ae"))
     dif = ev.filter(F.col("model") != rival).join(base, "event_id").withColumn("dif", F.col("ae") - F.col("rival_ae"))
     mean = dif.groupBy("model").agg(F.avg("dif").alias("mean_dif"))
     ci = bootstrap_mean(dif, "dif", reps, seed)
     return mean.join(ci, "model").withColumn(
-        "conclusive", (F.col("ci_low") > 0) | (F.col("ci_high") < 0)
+        "conclusive", (F.round("ci_low", 9) > 0) | (F.round("ci_high", 9) < 0)  # a zero may come as its last bit
     )
 
 

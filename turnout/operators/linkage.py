@@ -241,21 +241,33 @@ _SALE_SIDE = ["email", "local", "dom", "core", "phone", "names"]
 
 
 def _join_blocks(s_keys: DataFrame, u_keys: DataFrame, cfg: LinkConfig) -> DataFrame:
+    """Pairs of a key. In a block of very many users pairs meet under a second thing they share.
+
+    That is a name token (or one an edit away), the core, the mailbox or another key. A
+    pair that shares nothing but this key scores by the domains alone besides the key, so
+    one user of the buyer's domain and one of any stand for all of them.
+    """
     sizes = u_keys.groupBy("key").agg(F.count(F.lit(1)).alias("block"))
     hot = sizes.filter(F.col("block") > cfg.hot_block).select("key", F.lit(True).alias("hot"))
     u_marked = u_keys.join(hot, "key", "left")
-    stand_in = u_keys.join(hot, "key", "left_semi").groupBy("key").agg(
-        F.max(F.struct("uid", "uid_low", *_SALE_SIDE, "alone")).alias("stand_in")
-    )
+    hot_users = u_keys.join(hot, "key", "left_semi")
+    one = F.max(F.struct("uid", "uid_low", *_SALE_SIDE, "alone"))
+    by_domain = hot_users.groupBy("key", "dom").agg(one.alias("near_in"))
+    stand_in = hot_users.groupBy("key").agg(one.alias("stand_in"))
     s_marked = s_keys.join(stand_in, "key", "left")
 
+    def with_keys(df: DataFrame, keys: DataFrame, owner: str) -> DataFrame:
+        return df.join(keys.groupBy(owner).agg(F.collect_set("key").alias("keys")), owner)
+
     def entry(sub: Column, tok: Column) -> Column:
         return F.struct(sub.alias("sub"), tok.alias("tok"))
 
     def exploded(df: DataFrame, hot_flag: Column, side: str) -> DataFrame:
+        others = F.transform(F.filter("keys", lambda k: k != F.col("key")), lambda k: entry(_tag("k:", k), F.lit("")))
         refined = F.concat(
             K.name_block_keys(F.col("names"), side),
             F.array(entry(_tag("c:", F.col("core")), F.lit("")), entry(_tag("l:", F.col("local")), F.lit(""))),
+            others,
         )
         # an ordinary block has the single empty sub-key, a hot one its refinement
         one = F.array(entry(F.lit(""), F.lit("")))
@@ -263,8 +275,8 @@ def _join_blocks(s_keys: DataFrame, u_keys: DataFrame, cfg: LinkConfig) -> DataF
             {"sub": F.col("sk.sub"), f"{side}_tok": F.col("sk.tok")}
         )
 
-    u_sub = exploded(u_marked, F.col("hot").isNotNull(), "user")
-    s_sub = exploded(s_marked, F.col("stand_in").isNotNull(), "sale")
+    u_sub = exploded(with_keys(u_marked, u_keys, "uid"), F.col("hot").isNotNull(), "user")
+    s_sub = exploded(with_keys(s_marked, s_keys, "pid"), F.col("stand_in").isNotNull(), "sale")
     s_cols = ["pid", *[F.col(c).alias(f"s_{c}") for c in _SALE_SIDE]]
     u_cols = ["uid", "uid_low", *[F.col(c).alias(f"u_{c}") for c in _SALE_SIDE], F.col("alone").alias("u_alone")]
     # equal tokens meet under "t:" only, so "d:" keeps the pairs exactly one edit apart
@@ -275,14 +287,14 @@ def _join_blocks(s_keys: DataFrame, u_keys: DataFrame, cfg: LinkConfig) -> DataF
         .filter(~F.col("sub").startswith("d:") | one_edit)
         .drop("key", "sub", "sale_tok", "user_tok")
     )
-    stand_ins = s_marked.filter(F.col("stand_in").isNotNull()).select(
-        *s_cols,
-        "stand_in.uid",
-        "stand_in.uid_low",
-        *[F.col(f"stand_in.{c}").alias(f"u_{c}") for c in _SALE_SIDE],
-        F.col("stand_in.alone").alias("u_alone"),
-    )
-    return joined.unionByName(stand_ins)
+
+    def standing(df: DataFrame, name: str) -> DataFrame:
+        return df.filter(F.col(name).isNotNull()).select(
+            *s_cols, f"{name}.uid", f"{name}.uid_low",
+            *[F.col(f"{name}.{c}").alias(f"u_{c}") for c in _SALE_SIDE], F.col(f"{name}.alone").alias("u_alone"),
+        )
+
+    return joined.unionByName(standing(s_marked, "stand_in")).unionByName(standing(s_keys.join(by_domain, ["key", "dom"]), "near_in"))
 
 
 def scored_strong(pairs: DataFrame, cfg: LinkConfig) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnout.operators.ordered import quantiles
 from turnout.operators.rates import Baseline
 from turnout.operators.splits import event_folds
 from turnout.session import frozen
@@ -206,17 +207,11 @@ def held_out_scores(df: DataFrame, groups: DataFrame) -> DataFrame:
     return out
 
 
-MAX_LEAVE_ONE_OUT = 200
-
-
-def leave_show_out(df: DataFrame, max_fits: int = MAX_LEAVE_ONE_OUT) -> DataFrame:
-    """Held-out scores: one fit per show up to `max_fits` shows, else that many hashed
-    groups of shows. Either way no show is scored by a model that saw it."""
+def leave_show_out(df: DataFrame, folds: int | None = None) -> DataFrame:
+    """Held-out scores by one fit per show, whatever their number; with `folds`, by that
+    many groups of shows. Either way no show is scored by a model that saw it."""
     shows = df.filter(F.col("y").isNotNull()).select("event_id").distinct()
-    if shows.count() <= max_fits:
-        groups = shows.withColumn("fold", F.col("event_id"))
-    else:
-        groups = event_folds(shows, k=20)
+    groups = shows.withColumn("fold", F.col("event_id")) if folds is None else event_folds(shows, k=folds)
     return held_out_scores(df, frozen(groups))
 
 
@@ -257,9 +252,10 @@ class _Prepared:
             .select("col", "val", F.when(F.col("count") >= MIN_FREQUENCY, F.concat(F.lit("v:"), "val")).otherwise(F.lit("rare")).alias("enc"))
         )
         self.vocabulary = frozen(counts)
-        # sketch with a fixed number of centroids; one pass for all medians
-        med = x.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 100000).alias(c) for c in numbers]).first()
-        self.fill = {c: float(med[c]) if med[c] is not None else 0.0 for c in numbers}
+        # exact medians of all columns in one pass: (column, value) rows ranked across partitions
+        values = x.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in numbers])).alias("k")).select("k.*")
+        med = {r["col"]: r["m"] for r in quantiles(values, "v", {"m": 0.5}, by=["col"]).collect()}  # a row per column
+        self.fill = {c: float(med.get(c) or 0.0) for c in numbers}
         filled = self._numbers(x)
         self.moments = None
         if scale:

@@ -57,19 +57,6 @@ class Season:
     curve: DataFrame
 
 
-def user_part(model: models.SegmentedLogistic) -> Column:
-    """The part of the courtesy logit that depends on the user alone."""
-    _, fitted, _, _ = model.parts["courtesy"]
-    w = dict(zip(models.COURTESY_DESIGN, fitted.coefficients.toArray()))
-    rate = F.col("rate_minimum")
-    return (
-        F.lit(float(w["has_rate"])) * rate.isNotNull().cast("double")
-        + F.lit(float(w["rate_c"])) * F.coalesce(rate - F.lit(0.75), F.lit(0.0))
-        + F.lit(float(w["log_n"])) * F.log1p(F.col("n_history").cast("double")) / F.lit(3.0)
-        + F.lit(float(w["member"])) * F.col("has_membership").cast("double")
-    )
-
-
 def run_season(t: Tables, s: Settings, check_keys: bool = True) -> Season:
     if check_keys:
         require_no_dangling(t)
@@ -96,7 +83,7 @@ def run_season(t: Tables, s: Settings, check_keys: bool = True) -> Season:
 
     chosen = decide.invite_candidates(
         eligible, shows.join(t.events.select("event_id", "city"), "event_id"),
-        decide.holders(future), score, user_part(model),
+        decide.holders(future), score,
     )
     acts = frozen(decide.actions(
         decide.invite_lever(chosen, shows, t.events, s.as_of),

@@ -149,15 +149,3 @@ def require_no_dangling(t: Tables) -> None:
         bad = dangling(t[child], key, t[parent], pkey).limit(3).collect()
         if bad:
             raise ValueError(f"{child}.{key} without {parent}: {[r['key'] for r in bad]} ...")
-
-
-def past(df: DataFrame, label: str = "checked_in") -> DataFrame:
-    return df.filter(F.col(label).isNotNull())
-
-
-def future(df: DataFrame, label: str = "checked_in") -> DataFrame:
-    return df.filter(F.col(label).isNull())
-
-
-def as_double(c: Column) -> Column:
-    return c.cast("double")
