@@ -106,7 +106,7 @@ class Inputs:
 
     @property
     def past3(self):
-        return self.once("past3", lambda: frozen(R.TypeArtistRate().fit(self.lab).predict(self.lab)))
+        return self.once("past3", lambda: frozen(R.leave_show_out(self.lab)))
 
     @property
     def fut3(self):
@@ -633,7 +633,7 @@ def error_by_segment(spark, d):
     return rounded(E.error_by_segment(_both(Inputs.of(spark, d)), ["is_courtesy", "is_residency"]))
 
 
-_REPS = 1000
+_REPS = 4000
 
 
 def _boot(value, src):
@@ -683,7 +683,7 @@ def show_shock(spark, d):
     return rounded(Inputs.of(spark, d).shock)
 
 
-_NS = 200
+_NS, _NS_BACK = 20_000, 4_000
 
 
 def _counts(src, sig, n=_NS, with_group=""):
@@ -702,10 +702,10 @@ _IV = """select c.event_id, any_value(x.n) as n, any_value(x.expected) as expect
    on x.event_id = c.event_id group by 1"""
 
 
-@query("simulate_attendance", q("select event_id, sim, cnt::bigint as cnt from counts", **_counts("fut3", "sig_fut", 50)))
+@query("simulate_attendance", q("select event_id, sim, cnt::bigint as cnt from counts", **_counts("fut3", "sig_fut")))
 def simulate_attendance(spark, d):
     i = Inputs.of(spark, d)
-    return S.count_entries(i.fut3, S.show_sigmas(i.fut3, i.shock), 50)
+    return S.count_entries(i.fut3, S.show_sigmas(i.fut3, i.shock), _NS)
 
 
 @query("forecast_interval", q(f"select event_id, n, round(expected, 6) as expected, round(p10, 6) as p10, round(p90, 6) as p90 from ({_IV.format(src='fut3')})", **_counts("fut3", "sig_fut")))
@@ -721,10 +721,10 @@ _TESTED = f"""select i.*, f.obs, f.courtesy_share, f.obs between p10 and p90 as
 
 
 @query("coverage_by_band", q("""select coalesce(band, 'all') as band, count(*) as n_events, round(avg(cast(inside as int)), 6) as coverage, round(avg(width), 6) as width
-   from tested group by rollup (band)""", tested=_TESTED, **_counts("past3", "sig_past")))
+   from tested group by rollup (band)""", tested=_TESTED, **_counts("past3", "sig_past", _NS_BACK)))
 def coverage_by_band(spark, d):
     i = Inputs.of(spark, d)
-    return rounded(S.coverage_by_band(S.back_test(i.past3, i.shock, _NS)))
+    return rounded(S.coverage_by_band(S.back_test(i.past3, i.shock, _NS_BACK)))
 
 
 _W = "round(avg(cast(obs between lo and hi as int)), 6) as coverage, round(avg(hi - lo), 6) as width, round(avg(hi - lo + 10.0 * (greatest(lo - obs, 0) + greatest(obs - hi, 0))), 6) as winkler, count(*) as n"
@@ -732,10 +732,10 @@ _W = "round(avg(cast(obs between lo and hi as int)), 6) as coverage, round(avg(h
 
 @query("winkler", q(f"""select kind, {_W} from (select 'simulated' as kind, p10 as lo, p90 as hi, obs from tested union all select 'zero_to_sold', 0, n, obs from tested
    union all select 'half', expected * 0.5, expected * 1.5, obs from tested union all select 'fifth', expected * 0.8, expected * 1.2, obs from tested) group by 1""",
-   tested=_TESTED, **_counts("past3", "sig_past")))
+   tested=_TESTED, **_counts("past3", "sig_past", _NS_BACK)))
 def winkler(spark, d):
     i = Inputs.of(spark, d)
-    return rounded(E.interval_scores(S.interval_kinds(S.back_test(i.past3, i.shock, _NS))))
+    return rounded(E.interval_scores(S.interval_kinds(S.back_test(i.past3, i.shock, _NS_BACK))))
 
 
 @query("zero_show_rate", q("""select count(*) as n_sales, round(avg(cast(any_in = 0 as int)), 6) as observed_zero, round(avg(exp(log_none)), 6) as independent_zero
@@ -744,19 +744,19 @@ def zero_show_rate(spark, d):
     return rounded(S.zero_show_rate(Inputs.of(spark, d).past3))
 
 
-_GRID = [0.0, 0.5, 1.0, 1.5, 2.0]
+_GRID = [0.25 * i for i in range(13)]
 
 
 @query("group_shock", q("""select sigma::double as sigma, round(zero_rate, 6) as zero_rate, round(abs(zero_rate - (select avg(cast(any_in = 0 as int)) from sales_p)), 6) as gap from (
    select sigma, sum(none * weight) / sum(weight) as zero_rate from (select sale_id, sigma, avg(none) as none from per_sim group by 1, 2) join classes using (sale_id) group by 1)""",
    sales_p="select sale_id, max(yn) as any_in, list_sort(list(p)) as ps from past3 group by 1 having count(*) >= 2",
    classes="select min(sale_id) as sale_id, count(*) as weight from sales_p group by ps",
-   simc=O.sims(100, "gw"),
+   simc=O.sims(400, "gw"),
    members=f"select sale_id, {O.logit('p')} as lp, {O.h31(repr('group'), 'sale_id')} as gh from past3 where sale_id in (select sale_id from classes)",
    per_sim=f"""select sale_id, sigma, sim, exp(sum(ln(1 - {O.sigmoid('lp + sigma * z')}))) as none from (
        select sale_id, lp, sim, {O.normal('g', 'w', 'gh')} as z from members, simc), (select unnest({_GRID}) as sigma) group by 1, 2, 3"""))
 def group_shock(spark, d):
-    return rounded(S.group_shock(Inputs.of(spark, d).past3, _GRID, 100))
+    return rounded(S.group_shock(Inputs.of(spark, d).past3, _GRID, 400))
 
 
 # ------------------------------------------------------------- decisions

@@ -200,7 +200,17 @@ def _ctes():
     c["all_type"] = "select ticket_type, avg(yn) as r from lab group by 1"
     c["all_art"] = "select artist_id, (sum(yn) + 60.0) / (sum(r) + 60.0) as f from lab join all_type using (ticket_type) group by 1"
     b3a = clip.format("coalesce(r, (select avg(yn) from lab)) * coalesce(f, 1.0)")
-    c["past3"] = f"select x.*, {b3a} as p from lab x left join all_type using (ticket_type) left join all_art using (artist_id)"
+    # without the show's own tickets: totals less its own cells
+    c["own_cell"] = "select event_id, artist_id, ticket_type, count(*) as n, sum(yn) as o from lab group by 1, 2, 3"
+    c["loo_type"] = """select e.event_id, e.artist_id, a.ticket_type, a.n - coalesce(o.n, 0) as left_n, a.o - coalesce(o.o, 0) as left_o,
+        coalesce((t.o - coalesce(o.o, 0)) / nullif(t.n - coalesce(o.n, 0), 0)::double,
+          ((select sum(yn) from lab) - e.o) / ((select count(*) from lab) - e.n)::double) as r
+        from (select event_id, artist_id, sum(n) as n, sum(o) as o from own_cell group by 1, 2) e
+        join (select artist_id, ticket_type, sum(n) as n, sum(o) as o from own_cell group by 1, 2) a on a.artist_id = e.artist_id
+        join (select ticket_type, sum(n) as n, sum(o) as o from own_cell group by 1) t on t.ticket_type = a.ticket_type
+        left join own_cell o on o.event_id = e.event_id and o.artist_id = e.artist_id and o.ticket_type = a.ticket_type"""
+    c["loo_art"] = "select event_id, artist_id, (sum(left_o) + 60.0) / (sum(left_n * r) + 60.0) as f from loo_type group by 1, 2"
+    c["past3"] = f"""select x.*, {clip.format("r * f")} as p from lab x join loo_type using (event_id, artist_id, ticket_type) join loo_art using (event_id, artist_id)"""
     c["fut3"] = f"select x.*, {b3a} as p from fut x left join all_type using (ticket_type) left join all_art using (artist_id)"
     c["fut2"] = "select x.*, coalesce(r, (select avg(yn) from lab)) as p from fut x left join all_type using (ticket_type)"
     c["ev3"] = """select event_id, count(*) as n, sum(yn) as obs, sum(p) as pred, sum(p * (1 - p)) as var_sum,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnout.functions.scalars import band, clip
-from turnout.session import frozen
+from turnout.session import frozen, lookup
 
 # Fixed values of the analysis.
 MIN_SAMPLE = 25
@@ -111,7 +111,7 @@ def type_rates(train: DataFrame) -> DataFrame:
 
 def with_type_rate(df: DataFrame, cell: DataFrame) -> DataFrame:
     """Rate of the ticket type in `cell`; the overall rate for unseen types."""
-    return df.join(rates_of(cell), "ticket_type", "left").withColumn(
+    return df.join(lookup(rates_of(cell)), "ticket_type", "left").withColumn(
         "type_rate", F.coalesce("type_rate", overall_of(cell))
     )
 
@@ -168,11 +168,39 @@ class TypeArtistRate(Baseline):
     name = "B3"
 
     def predict(self, df):
-        rated = with_type_rate(df, self.cell).join(artist_factors(self.cell), "artist_id", "left")
+        rated = with_type_rate(df, self.cell).join(lookup(artist_factors(self.cell)), "artist_id", "left")
         p = clip(F.col("type_rate") * F.coalesce("factor", F.lit(1.0)), 1e-6, 1 - 1e-6)
         return rated.withColumn("p", p).drop("type_rate", "factor")
 
 
+def leave_show_out(df: DataFrame, shrink: float = SHRINK) -> DataFrame:
+    """`df` with p from the type-and-artist rate of all labelled tickets but those of the same show.
+
+    Exact in one pass: a show's own cells are taken from the totals. A type that only this
+    show has gets the overall rate of the others.
+    """
+    own = frozen(df.groupBy("event_id", "artist_id", "ticket_type").agg(F.count(F.lit(1)).alias("n"), F.sum(y_num()).alias("obs")))
+    by_type = own.groupBy("ticket_type").agg(F.sum("n").alias("t_n"), F.sum("obs").alias("t_obs"))
+    by_artist = own.groupBy("artist_id", "ticket_type").agg(F.sum("n").alias("a_n"), F.sum("obs").alias("a_obs"))
+    whole = own.agg(F.sum("n").alias("all_n"), F.sum("obs").alias("all_obs"))
+    shows = own.groupBy("event_id", "artist_id").agg(F.sum("n").alias("e_n"), F.sum("obs").alias("e_obs"))
+    # of every show all types of its artist, with what the show itself has of them
+    grid = (
+        shows.join(by_artist, "artist_id").join(by_type, "ticket_type")
+        .join(own.select("event_id", "artist_id", "ticket_type", "n", "obs"), ["event_id", "artist_id", "ticket_type"], "left")
+        .fillna(0, ["n", "obs"]).join(F.broadcast(whole), F.lit(True))  # one row
+    )
+    rest = F.col("t_n") - F.col("n")
+    others = (F.col("all_obs") - F.col("e_obs")) / (F.col("all_n") - F.col("e_n"))
+    grid = grid.withColumn("type_rate", F.when(rest > 0, (F.col("t_obs") - F.col("obs")) / rest).otherwise(others))
+    factors = grid.groupBy("event_id", "artist_id").agg(
+        ((F.sum(F.col("a_obs") - F.col("obs")) + shrink) / (F.sum((F.col("a_n") - F.col("n")) * F.col("type_rate")) + shrink)).alias("factor")
+    )
+    p = clip(F.col("type_rate") * F.col("factor"), 1e-6, 1 - 1e-6)
+    rated = frozen(grid.join(factors, ["event_id", "artist_id"]).select("event_id", "artist_id", "ticket_type", p.alias("p")))
+    return df.join(lookup(rated), ["event_id", "artist_id", "ticket_type"])
+
+
 BASELINES = [AllEnter, GlobalRate, TypeRate, TypeArtistRate]
 
 

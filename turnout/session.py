@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings that hold on a cluster as well as on one machine. The number of
 # shuffle partitions is left to the cluster: AQE coalesces small ones and splits
@@ -57,6 +58,19 @@ def frozen(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A lookup table is broadcast up to so many rows.
+BROADCAST_ROWS = 100_000
+
+
+def lookup(df: DataFrame) -> DataFrame:
+    """`df` with a broadcast hint if it has at most BROADCAST_ROWS rows, else unchanged.
+
+    For tables whose size the planner overrates, as those aggregated from joins. The rows
+    are counted, so `df` should be cheap to compute. Only the plan depends on the count.
+    """
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def compute_partitions(spark: SparkSession) -> int:
     """Partitions for small inputs that expand into much computation.
 
