@@ -940,18 +940,33 @@ def report_summary(spark, d):
                     F.size("j.curva_llegada.fracciones").cast("bigint").alias("n_bins"))
 
 
-_PERM = 20
+_PERM = 1000
 
 
-@query("linkage_permutation", q("""select rep, round(avg(yn) filter (r > 0.7) - avg(yn) filter (r <= 0.4), 9) as gap from every group by 1""",
+_PERMUTED = dict(
    pbase="select ticket_id, rate_minimum as r, yn from feat where labelled and is_courtesy and rate_minimum is not null",
    preps="select rep, " + ", ".join(f"{O.h31(SEED, 'rep', repr(f'c{k}'))} as c{k}" for k in range(4)) + f" from range(1, {_PERM + 1}) x(rep)",
    shuf=f"select rep, yn, row_number() over (partition by rep order by u, ticket_id) as k from (select rep, ticket_id, yn, {O.poly('c', 'h')} as u from (select *, {O.h31('ticket_id')} as h from pbase), preps)",
    fixed="select r, row_number() over (order by ticket_id) as k from pbase",
-   every="select rep, yn, r from shuf join fixed using (k) union all select 0, yn, r from pbase"))
+   every="select rep, yn, r from shuf join fixed using (k) union all select 0, yn, r from pbase",
+   gaps="select rep, avg(yn) filter (r > 0.7) - avg(yn) filter (r <= 0.4) as gap from every group by 1",
+)
+
+
+def _gaps(i):
+    courtesies = i.features.filter("is_courtesy and labelled")
+    return i.once("gaps", lambda: frozen(L.permutation_gap(courtesies, "y", "rate_minimum", _PERM, SEED, 0.4, 0.7)))
+
+
+@query("linkage_permutation", q("select rep, round(gap, 9) as gap from gaps", **_PERMUTED))
 def linkage_permutation(spark, d):
-    courtesies = Inputs.of(spark, d).features.filter("is_courtesy and labelled")
-    return L.permutation_gap(courtesies, "y", "rate_minimum", _PERM, SEED, 0.4, 0.7)
+    return _gaps(Inputs.of(spark, d))
+
+
+@query("linkage_p_value", q("""select round(o.gap, 6) as gap, count(*) as reps, round((count(*) filter (round(abs(g.gap), 9) >= round(abs(o.gap), 9)) + 1) / (count(*) + 1)::double, 6) as p_value
+   from gaps g, (select gap from gaps where rep = 0) o where g.rep > 0 group by o.gap""", **_PERMUTED))
+def linkage_p_value(spark, d):
+    return rounded(L.permutation_p(_gaps(Inputs.of(spark, d))))
 
 
 # ------------------------------------------------------------- fitted models (rows only)
@@ -967,6 +982,17 @@ def m1_coefficients(spark, d):
     return M.SegmentedLogistic().fit(Inputs.of(spark, d).features.filter("labelled")).coefficients(spark)
 
 
+_TERMS = " union all ".join(f"select '{seg}' as segment, unnest(['intercept', {', '.join(repr(c) for c in cols)}]) as term" for seg, cols in M.SEGMENTS.items())
+
+
+@query("m1_optimality", q(f"""select segment, term, true as optimal from ({_TERMS} union all
+   select distinct case when is_courtesy then 'courtesy' else 'paid' end, 'art:' || artist_id from feat where labelled)"""))
+def m1_optimality(spark, d):
+    """Whether the slope of the penalised likelihood vanishes at each weight of the real fit."""
+    past = Inputs.of(spark, d).features.filter("labelled")
+    return M.SegmentedLogistic().fit(past).slopes(past).select("segment", "term", (F.abs("slope") < 2e-4 * F.col("n") + 0.05).alias("optimal"))
+
+
 def _dev_test(i):
     f = SP.temporal_split(i.features, WEEKS)
     return f.filter("split <> 'test'").drop("split"), f.filter("split = 'test'").drop("split")
@@ -997,6 +1023,26 @@ def loo_residuals(spark, d):
 
 CV_MODELS = [R.AllEnter, R.GlobalRate, R.TypeRate, R.TypeArtistRate, M.SegmentedLogistic, M.InteractionLogistic]
 
+_CLIP = "least(0.999999::double, greatest(0.000001::double, {}))"
+_HELD = dict(
+    fold_of=f"select event_id, ntile(5) over (order by {O.h31(SEED, 'event_id')}, event_id) as fold from (select distinct event_id from dev)",
+    dv="select ticket_id, event_id, artist_id, ticket_type, is_courtesy, is_residency, yn, fold from dev join fold_of using (event_id)",
+    fit="select f.fold, artist_id, ticket_type, count(*) as n, sum(yn) as o from dv, (select distinct fold from dv) f where dv.fold <> f.fold group by 1, 2, 3",
+    f_all="select fold, sum(o)::double / sum(n) as r0 from fit group by 1",
+    f_type="select fold, ticket_type, sum(o)::double / sum(n) as r from fit group by 1, 2",
+    f_art="select fold, artist_id, (sum(o) + 60.0) / (sum(n * r) + 60.0) as f from fit join f_type using (fold, ticket_type) group by 1, 2",
+    held=f"""select m.model, x.*, case m.model when 'B0' then 1.0 when 'B1' then r0 when 'B2' then coalesce(r, r0) else {_CLIP.format("coalesce(r, r0) * coalesce(f, 1.0)")} end as p
+      from dv x join f_all using (fold) left join f_type using (fold, ticket_type) left join f_art using (fold, artist_id), (select unnest(['B0', 'B1', 'B2', 'B3']) as model) m""",
+)
+
+
+@query("oof_baselines", q("select model, cast(fold as int) as fold, ticket_id, round(p, 9) as p from held", **_HELD))
+def oof_baselines(spark, d):
+    """Out-of-fold predictions of the rate models, whole shows left out together."""
+    i = Inputs.of(spark, d)
+    out = i.once("oof_base", lambda: frozen(M.out_of_fold(R.BASELINES, SP.with_split(i.base, WEEKS).filter("split in ('train', 'val')"))))
+    return rounded(out.select("model", "fold", "ticket_id", "p"), 9)
+
 
 def _oof(i):
     return i.once("oof", lambda: frozen(M.out_of_fold(CV_MODELS, _dev_test(i)[0])))
@@ -1009,7 +1055,7 @@ def oof_predictions(spark, d):
 
 @query("cv_table")
 def cv_table(spark, d):
-    return E.cv_table(_oof(Inputs.of(spark, d)), 1000)
+    return E.cv_table(_oof(Inputs.of(spark, d)), _REPS)
 
 
 @query("experiment")

@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnout.operators.ordered import running
+from turnout.session import frozen
+
 # The two ticket types whose history counts.
 COUNTED_TYPES = {"minimum": "consumo_minimo", "membership": "membresia"}
 
@@ -21,22 +24,20 @@ def _slot(ts):
     return F.floor(F.unix_micros(ts) / F.lit(_STEP * 1_000_000)).cast("bigint")
 
 
-def cut_calendar(cuts: DataFrame) -> DataFrame:
-    """Hour by hour between the first and last cut: the cuts inside, and the next one after.
+def cut_calendar(cuts: DataFrame, changes: DataFrame) -> DataFrame:
+    """For each hour in which a change falls: the cuts inside it, and the next one after.
 
-    Its size is the number of hours covered, whatever the number of shows.
+    Only hours with a change or a cut appear, whatever time they span. The next cut is
+    found by its number: cuts are counted up to each hour by a distributed running sum.
     """
     at = cuts.select("cut").distinct().withColumn("slot", _slot(F.col("cut")))
-    inside = at.groupBy("slot").agg(F.sort_array(F.collect_set("cut")).alias("inside"))
-    hours = at.agg(F.min("slot").alias("lo"), F.max("slot").alias("hi")).select(
-        F.explode(F.sequence("lo", "hi")).alias("slot"), "lo"
-    )
-    # sequential over hours, which are bounded by the time span
-    later = Window.orderBy("slot").rowsBetween(1, Window.unboundedFollowing)
+    inside = frozen(at.groupBy("slot").agg(F.sort_array(F.collect_set("cut")).alias("inside")))
+    ordered = running(inside, [F.col("slot")], rank="ix").select(F.get("inside", F.lit(0)).alias("next"), "ix")
+    asked = changes.select(_slot(F.col("ts")).alias("slot")).distinct().withColumn("c", F.lit(0))
+    marks = running(asked.unionByName(inside.select("slot", F.lit(1).alias("c"))), [F.col("slot"), F.desc("c")], sums={"k": "c"})
     return (
-        hours.join(inside, "slot", "left")
-        .withColumn("next", F.first(F.get("inside", 0), ignorenulls=True).over(later))
-        .select("slot", "inside", "next")
+        marks.filter("c = 0").select("slot", (F.col("k") + 1).alias("ix"))
+        .join(ordered, "ix", "left").join(inside, "slot", "left").select("slot", "inside", "next")
     )
 
 
@@ -89,22 +90,19 @@ def as_of(probes: DataFrame, history: DataFrame, user: str = "user_id", cut: str
         F.col("user_id").isNotNull() & F.col("cut").isNotNull()
     ).distinct()
     cuts = probes.select(F.col(cut).cast("timestamp").alias("cut")).filter(F.col("cut").isNotNull())
-    calendar = cut_calendar(cuts)
-    first = calendar.agg(F.min("slot").alias("first"), F.max("slot").alias("last"))
-    changes = _changes(history)
-    lo = first.select("first").scalar()
-    hi = first.select("last").scalar()
+    ends = cuts.agg(F.min("cut").alias("first"), F.max("cut").alias("last"))
+    first, last = ends.select("first").scalar(), ends.select("last").scalar()
+    changes = _changes(history).filter(F.col("ts") <= last)
+    # most of a history is older than the first cut and needs no calendar
+    old = changes.filter(F.col("ts") <= first).withColumn("cut", first)
+    late = changes.filter(F.col("ts") > first)
     placed = (
-        changes.withColumn("slot", F.greatest(_slot(F.col("ts")), lo))
-        .filter(F.col("slot") <= hi)
-        .join(calendar, "slot")
-        .withColumn(
-            "cut",
-            F.coalesce(
-                F.get(F.filter(F.col("inside"), lambda c: c >= F.col("ts")), 0), F.col("next")
-            ),
-        )
+        late.withColumn("slot", _slot(F.col("ts")))
+        .join(cut_calendar(cuts, late), "slot")
+        .withColumn("cut", F.coalesce(F.get(F.filter(F.col("inside"), lambda c: c >= F.col("ts")), F.lit(0)), F.col("next")))
         .filter(F.col("cut").isNotNull())
+        .select(*old.columns)
+        .unionByName(old)
     )
     per_cut = placed.groupBy("user_id", "cut").agg(*_sums())
     zero = asked.select("user_id", "cut", *[F.lit(0).cast("bigint").alias(c) for c in _COUNTS])

@@ -528,3 +528,16 @@ def permutation_gap(linked: DataFrame, label: str, rate: str, reps: int, seed: i
             F.avg(F.when(F.col("r") > high, F.col("y"))) - F.avg(F.when(F.col("r") <= low, F.col("y"))), 9
         ).alias("gap")
     )
+
+
+def permutation_p(gaps: DataFrame) -> DataFrame:
+    """One row (observed gap, replicates, two-sided p-value) from `permutation_gap`.
+
+    The p-value counts the observed pairing among the replicates, so it is never zero.
+    """
+    seen = gaps.filter("rep = 0").select("gap").scalar()
+    extreme = F.round(F.abs(F.col("gap")), 9) >= F.round(F.abs(seen), 9)
+    return gaps.filter("rep > 0").agg(
+        F.max(seen).alias("gap"), F.count(F.lit(1)).alias("reps"),
+        ((F.sum(extreme.cast("long")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"),
+    )

@@ -160,6 +160,29 @@ class SegmentedLogistic(Baseline):
             rows += [(segment, f"art:{a}", float(w[len(base) + i] * scale)) for i, a in enumerate(labels)]
         return spark.createDataFrame(rows, "segment string, term string, weight double")
 
+    def slopes(self, df: DataFrame) -> DataFrame:
+        """(segment, term, slope, n): derivative of the penalised likelihood of `df` by each weight."""
+        weights = self.coefficients(df.sparkSession)
+        out = None
+        for segment, cols in SEGMENTS.items():
+            x = design(df.filter(F.col("y").isNotNull()), segment)
+            terms = F.array(
+                F.struct(F.lit("intercept").alias("term"), F.lit(1.0).alias("x")),
+                F.struct(F.concat(F.lit("art:"), F.col("artist_id").cast("string")).alias("term"), F.lit(1.0).alias("x")),
+                *[F.struct(F.lit(c).alias("term"), F.col(c).cast("double").alias("x")) for c in cols],
+            )
+            miss = F.col("y").cast("int") - F.col("p")
+            sums = (
+                self.predict(x).select(miss.alias("miss"), F.explode(terms).alias("t"))
+                .groupBy("t.term").agg(F.sum(F.col("miss") * F.col("t.x")).alias("s"))
+            )
+            n = x.agg(F.count(F.lit(1))).scalar()
+            w = weights.filter(F.col("segment") == segment)
+            pull = F.when(F.col("term") == "intercept", 0.0).when(F.col("term").startswith("art:"), L2_ARTIST).otherwise(L2_BASE)
+            one = w.join(sums, "term").select("segment", "term", (F.col("s") - pull * F.col("weight")).alias("slope"), n.alias("n"))
+            out = one if out is None else out.unionByName(one)
+        return out
+
 
 def held_out_scores(df: DataFrame, groups: DataFrame) -> DataFrame:
     """Score every labelled ticket with a segmented model that never saw its group.

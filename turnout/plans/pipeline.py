@@ -55,6 +55,7 @@ class Season:
     actions: DataFrame
     overbooking: DataFrame
     curve: DataFrame
+    back_test: DataFrame
 
 
 def run_season(t: Tables, s: Settings, check_keys: bool = True) -> Season:
@@ -66,6 +67,7 @@ def run_season(t: Tables, s: Settings, check_keys: bool = True) -> Season:
 
     held_out = frozen(models.leave_show_out(past))
     shock = frozen(simulate.show_shock(simulate.event_residuals(held_out)))
+    tested = frozen(simulate.back_test(held_out, shock, s.n_sim_back_test, s.seed))
     model = models.SegmentedLogistic().fit(past)
     scored_past = model.predict(past)
     sigma_group = simulate.chosen_group_sigma(scored_past, n_sim=s.n_sim_group, seed=s.seed)
@@ -91,7 +93,7 @@ def run_season(t: Tables, s: Settings, check_keys: bool = True) -> Season:
     ))
     over = frozen(decide.overbooking(scored, sigmas, t.events, s.n_sim_overbooking, max_extra=s.max_extra, seed=s.seed))
     curve = frozen(arrival.arrival_curve(t.tickets, t.events))
-    return Season(links, features, model, shock, sigma_group, held_out, scored, forecast, acts, over, curve)
+    return Season(links, features, model, shock, sigma_group, held_out, scored, forecast, acts, over, curve, tested)
 
 
 def deliver(season: Season, t: Tables, folder: str, generated_at: str, model_card: str = "{}") -> None:
