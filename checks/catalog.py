@@ -797,7 +797,7 @@ def top_invites(spark, d):
 
 
 # over-selling by the same two-level reading of the risk
-_OB_SIMS, _OB_MAX, _OB_STEP = 100, 1000, 50
+_OB_SIMS, _OB_MAX, _OB_STEP = 400, 1000, 64
 _Z = f"lp + sigma * {O.normal('s', 'v', 'eh')}"
 _OB = dict(
     _counts("(select * from fut3 join (select event_id, capacity from shows where capacity > 0) using (event_id))", "sig_fut", _OB_SIMS),
@@ -813,11 +813,11 @@ _OB = dict(
     upto="select event_id, j, sim, sum(d) over w as cd, sum(p) over w as cp from added window w as (partition by event_id, sim order by j)",
     risks="""select event_id, j, avg(cast(tot - m + expected + cp > capacity as int)) as risk from (
         select *, avg(tot) over (partition by event_id, j) as m from (select u.*, c.cnt + cd as tot from upto u join counts c using (event_id, sim))) join caps using (event_id) group by 1, 2""",
-    hits=f"select event_id, min(cast(ceil(j / {_OB_STEP}) as int)) as hit from risks where (j % {_OB_STEP} = 0 or j = {_OB_MAX}) and risk > 0.05 group by 1",
-    stops=f"select event_id, min(j) as stop from risks join hits using (event_id) where cast(ceil(j / {_OB_STEP}) as int) = hit and risk > 0.05 group by 1",
+    stops="select event_id, min(j) as stop from risks where risk > 0.05 group by 1",
     over="""select k.event_id, 'Act ' || (k.event_id % 14) as artist_name, k.capacity, k.n as n_tickets, cast(round_even(k.expected, 0) as int) as expected_attendance,
         cast(case when k.capacity <= 0 or r.risk_now > 0.05 then 0 when s.stop is not null then s.stop - 1 else """ + str(_OB_MAX) + """ end as int) as extra,
-        round(coalesce(r.risk_now, 0.0), 4) as risk_now, round(coalesce(a.risk, case when s.stop = 1 then r.risk_now end), 4) as risk_at_extra, round(b.risk, 4) as risk_at_next
+        round(coalesce(r.risk_now, 0.0), 4) as risk_now, round(coalesce(a.risk, case when s.stop = 1 then r.risk_now end), 4) as risk_at_extra, round(b.risk, 4) as risk_at_next,
+        s.stop is null and k.capacity > 0 and coalesce(r.risk_now, 1.0) <= 0.05 as capped
         from caps k left join risk0 r using (event_id) left join stops s using (event_id)
         left join risks a on a.event_id = k.event_id and a.j = s.stop - 1 left join risks b on b.event_id = k.event_id and b.j = s.stop""",
 )

@@ -206,9 +206,10 @@ def overbooking(
     """Extra tickets that keep P(attendance > capacity) within `risk`, for all shows at once.
 
     Extra ticket j of a show takes the probability of a hashed ticket of the same
-    show and keeps its draws, so adding tickets only adds arrivals. Risk is first
-    read every `step` tickets; inside the first block that ends above the limit it
-    is read ticket by ticket.
+    show and keeps its draws, so adding tickets only adds arrivals. The answer is one
+    less than the first level above the limit. Levels are read one by one in rounds of
+    `step`, then twice as many, and so on; a show leaves with its first crossing.
+    `capped` says that none came up to `max_extra`, which is then the answer.
     """
     cap = events.select("event_id", F.coalesce("capacity", F.lit(0)).alias("capacity"))
     live = expected(tickets).join(cap, "event_id").join(sigmas.select("event_id", "sigma"), "event_id")
@@ -216,13 +217,14 @@ def overbooking(
     base = count_entries(tickets.join(usable.select("event_id"), "event_id", "left_semi"), sigmas, n_sim, seed)
     base = frozen(base.join(usable.select("event_id", "capacity", "expected"), "event_id"))
 
-    def risks(counts: DataFrame, *by: str) -> DataFrame:
-        """Share of simulations over capacity after recentring, per show (and level)."""
-        mean = counts.groupBy("event_id", *by).agg(F.avg("cnt").alias("m"))
+    def risks(tally: DataFrame, *by: str) -> DataFrame:
+        """Share of simulations over capacity after recentring, per show (and level), from rows that stand for `sims`."""
+        mean = tally.groupBy("event_id", *by).agg((F.sum(F.col("cnt") * F.col("sims")) / F.sum("sims")).alias("m"))
         over = (F.col("cnt") - F.col("m") + F.col("mean_to") > F.col("capacity")).cast("double")
-        return counts.join(mean, ["event_id", *by]).groupBy("event_id", *by).agg(F.avg(over).alias("risk"))
+        return tally.join(mean, ["event_id", *by]).groupBy("event_id", *by).agg((F.sum(over * F.col("sims")) / F.sum("sims")).alias("risk"))
 
-    now = risks(base.withColumn("mean_to", F.col("expected"))).withColumnRenamed("risk", "risk_now")
+    now = risks(base.withColumn("mean_to", F.col("expected")).withColumn("sims", F.lit(1))).withColumnRenamed("risk", "risk_now")
+    now = frozen(now)
     open_shows = now.filter(F.col("risk_now") <= risk).select("event_id")
 
     # probabilities of the extra tickets
@@ -234,7 +236,6 @@ def overbooking(
         .join(ranked.select("event_id", "pos", "p"), ["event_id", "pos"])
         .select(
             "event_id", "j", "p", "sigma", logit(F.col("p")).alias("lp"),
-            F.ceil(F.col("j") / step).cast("int").alias("block"),
             hash31(F.lit("extra"), F.col("event_id"), F.col("j")).alias("h"),
             hash31(F.lit("show"), F.col("event_id")).alias("eh"),
         )
@@ -246,7 +247,7 @@ def overbooking(
         return expand(placed, n_sim, seed).groupBy("event_id", "sim", level).agg(F.sum(enters).alias("d"))
 
     def cumulated(rows: DataFrame, level: str, start: DataFrame) -> DataFrame:
-        """Counts and expected attendance after each level; at most `max(step, max_extra/step)` rows per window."""
+        """Counts and expected attendance after each level of a round, which bounds the windows."""
         upto = Window.partitionBy("event_id", "sim").orderBy(level).rowsBetween(Window.unboundedPreceding, 0)
         to = Window.partitionBy("event_id").orderBy(level).rowsBetween(Window.unboundedPreceding, 0)
         mean = rows.groupBy("event_id", level).agg(F.sum("p").alias("dp")).select(
@@ -264,25 +265,36 @@ def overbooking(
         )
 
     extra = frozen(extra)
-    coarse = frozen(cumulated(extra, "block", base))
-    coarse_risk = frozen(risks(coarse, "block"))
-    crossing = coarse_risk.filter(F.col("risk") > risk).groupBy("event_id").agg(F.min("block").alias("hit"))
-    before = (
-        coarse.join(crossing, "event_id").filter(F.col("block") == F.col("hit") - 1)
-        .select("event_id", "sim", "capacity", "cnt", F.col("mean_to").alias("expected"))
-    )
-    first_block = base.join(crossing.filter("hit = 1").select("event_id"), "event_id").select(before.columns)
-    inside = extra.join(crossing, "event_id").filter(F.col("block") == F.col("hit")).drop("hit")
-    fine = risks(cumulated(inside, "j", before.unionByName(first_block)), "j")
-    stop = fine.filter(F.col("risk") > risk).groupBy("event_id").agg(F.min("j").alias("stop"))
-    at = fine.join(stop, "event_id").groupBy("event_id", "stop").agg(
-        F.max(F.when(F.col("j") == F.col("stop") - 1, F.col("risk"))).alias("risk_inside"),
-        F.max(F.when(F.col("j") == F.col("stop"), F.col("risk"))).alias("risk_at_next"),
-    )
-    # the last accepted level may be the end of the block before
-    at_end = coarse_risk.join(crossing, "event_id").filter(F.col("block") == F.col("hit") - 1).select(
-        "event_id", F.col("risk").alias("risk_before")
-    )
+    begun = now.filter(F.col("risk_now") <= risk).select("event_id", F.col("risk_now").alias("risk_before"))
+    start = base.join(begun, "event_id").select("event_id", "sim", "capacity", "cnt", "expected")
+    at, low, size = None, 0, step
+    while low < max_extra:
+        high = min(low + size, max_extra)
+        block = extra.filter(F.col("j").between(low + 1, high))
+        # simulations with equal counts are one row; only these rows are written
+        tally = cumulated(block, "j", start).groupBy("event_id", "j", "capacity", "mean_to", "cnt").agg(F.count(F.lit(1)).alias("sims"))
+        read = frozen(risks(frozen(tally), "j"))
+        stop = read.filter(F.col("risk") > risk).groupBy("event_id").agg(F.min("j").alias("stop"))
+        found = (
+            read.join(stop, "event_id").join(begun, "event_id")
+            .groupBy("event_id", "stop")
+            .agg(
+                F.coalesce(F.max(F.when(F.col("j") == F.col("stop") - 1, F.col("risk"))), F.max("risk_before")).alias("risk_at_extra"),
+                F.max(F.when(F.col("j") == F.col("stop"), F.col("risk"))).alias("risk_at_next"),
+            )
+        )
+        at = found if at is None else at.unionByName(found)
+        left = start.join(stop, "event_id", "left_anti")
+        gained = entries(block.withColumn("round", F.lit(high)).join(stop, "event_id", "left_anti"), "round").select("event_id", "sim", "d")
+        sold = block.groupBy("event_id").agg(F.sum("p").alias("dp"))
+        start = frozen(
+            left.join(gained, ["event_id", "sim"]).join(sold, "event_id")
+            .select("event_id", "sim", "capacity", (F.col("cnt") + F.col("d")).alias("cnt"), (F.col("expected") + F.col("dp")).alias("expected"))
+        )
+        begun = read.filter(F.col("j") == high).join(stop, "event_id", "left_anti").select("event_id", F.col("risk").alias("risk_before"))
+        if start.isEmpty():
+            break
+        low, size = high, 2 * size
     facts = tickets.groupBy("event_id").agg(
         F.first("artist_name").alias("artist_name"),
         F.bround(F.avg(F.col("is_courtesy").cast("int")), 3).alias("courtesy_share"),
@@ -294,14 +306,15 @@ def overbooking(
     )
     return (
         live.join(facts, "event_id").join(now, "event_id", "left")
-        .join(at.join(at_end, "event_id", "left"), "event_id", "left")
+        .join(at, "event_id", "left")
         .select(
             "event_id", "artist_name", "capacity", F.col("n").alias("n_tickets"),
             F.bround("expected", 0).cast("int").alias("expected_attendance"),
             "courtesy_share", extra_n.cast("int").alias("extra"),
             F.bround(F.coalesce("risk_now", F.lit(0.0)), 4).alias("risk_now"),
-            F.when(F.col("stop").isNotNull(), F.bround(F.coalesce("risk_inside", "risk_before", "risk_now"), 4)).alias("risk_at_extra"),
+            F.bround("risk_at_extra", 4).alias("risk_at_extra"),
             F.bround("risk_at_next", 4).alias("risk_at_next"),
+            (F.col("stop").isNull() & (F.col("capacity") > 0) & (F.col("risk_now") <= risk)).alias("capped"),
         )
     )
 

@@ -119,7 +119,7 @@ def with_type_rate(df: DataFrame, cell: DataFrame) -> DataFrame:
 def artist_factors(cell: DataFrame, shrink: float = SHRINK) -> DataFrame:
     """Observed over expected attendance per artist, pulled towards 1 by `shrink` tickets."""
     return (
-        cell.join(rates_of(cell), "ticket_type")
+        cell.join(lookup(rates_of(cell)), "ticket_type")
         .groupBy("artist_id")
         .agg(F.sum("obs").alias("obs"), F.sum(F.col("n") * F.col("type_rate")).alias("expected"))
         .select("artist_id", ((F.col("obs") + shrink) / (F.col("expected") + shrink)).alias("factor"))
