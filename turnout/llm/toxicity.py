@@ -144,22 +144,31 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     n = marks.count()
     if n > sample:
         marks = marks.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(marks, "doc_id").select("text", "toxic", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("apart"))
+    # the sample's bound makes it fit for a broadcast, so that texts are not shuffled
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id").select("text", "toxic", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("apart"))
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each word and prefix, by label and by whether they are set apart, summed within a batch."""
+    """Documents with each word and prefix, by label and by whether they are set apart, summed within a task."""
     names = ["other", "toxic", "other_apart", "toxic_apart"]
+    sums: dict[str, list[int]] = {}
+
+    def flush() -> pa.RecordBatch:
+        cols = list(zip(*sums.values(), strict=True)) or [()] * 4
+        out = pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], ["token", *names])
+        sums.clear()
+        return out
+
     for b in by_bytes(batches, "text"):
-        sums: dict[str, list[int]] = {}
         for text, toxic, apart in zip(*(c.to_pylist() for c in b.columns), strict=True):
             tokens = set(_WORD.findall((text or "").lower()))
             for n in PREFIXES:
                 tokens |= {"*" + w[:n] for w in tokens if len(w) > n and w[0] != "*"}
             for w in tokens:
                 sums.setdefault(w, [0, 0, 0, 0])[2 * apart + (toxic > 0)] += 1
-        cols = list(zip(*sums.values(), strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], ["token", *names])
+        if len(sums) > 250_000:
+            yield flush()
+    yield flush()
 
 
 def _log_odds(tokens: list[str], other: np.ndarray, toxic: np.ndarray, rest: float) -> dict[str, float]:
