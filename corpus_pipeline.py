@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnout.llm.common import saved, table
+from turnout.llm.common import saved, table, without
 from turnout.llm.near_duplicates import near_duplicates
 from turnout.llm.packing import pack
 from turnout.llm.quality_rules import judge
@@ -29,26 +29,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted as not toxic; the model is fitted on those labelled among them."""
-    found = score(docs, fit(docs, table(spark, sf_dir, "labels"))).where("predicted = 1")
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    found = saved(score(docs, fit(docs, table(spark, sf_dir, "labels"))).where("predicted = 1").select("doc_id"))
+    return without(docs.select(*COLUMNS), found, "doc_id")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id."""
-    others = near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    others = saved(near_duplicates(docs).where("doc_id <> class_id").select("doc_id"))
+    return without(docs.select(*COLUMNS), others, "doc_id")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document has; a text with nothing left goes."""
-    cut = repeated_spans(docs).where("n_removed > 0").select("doc_id", "row_key", "kept_text").distinct()
-    both = docs.withColumn("row_key", F.xxhash64("text")).join(cut.hint("shuffle_hash"), ["doc_id", "row_key"], "left")
-    text = F.coalesce("kept_text", "text")
-    return (
-        both.where("kept_text is null or kept_text <> ''").withColumn("text", text)
-        .withColumn("n_chars", F.when(F.col("kept_text").isNotNull(), F.char_length(text).cast("long")).otherwise(F.col("n_chars")))
-        .select(*COLUMNS)
-    )
+    cut = repeated_spans(docs, carry=["lang", "source", "n_chars"])
+    changed = F.col("n_removed") > 0
+    n_chars = F.when(changed, F.char_length("kept_text").cast("long")).otherwise(F.col("carried.n_chars"))
+    left = cut.where(~changed | (F.col("kept_text") != ""))
+    return left.select("doc_id", F.col("kept_text").alias("text"), "carried.lang", "carried.source", n_chars.alias("n_chars"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

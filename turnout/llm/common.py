@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from turnout.session import ensure_checkpoint_dir
 
@@ -57,3 +58,30 @@ def buffers_of(col: pa.Array):
     offsets = np.frombuffer(off, np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+#: Bits of a key filter: 4 MB to broadcast, whatever the number of keys.
+FILTER_BITS = 1 << 25
+_BUCKET = 1 << 15  # bits of one bitmap of the built-in aggregate
+
+
+def marked(df: DataFrame, keys: DataFrame, on: list[str], name: str = "maybe") -> DataFrame:
+    """`df` with a flag that is false only where `on` is certainly not among `keys`.
+
+    A bitmap of hashed keys of fixed size is broadcast, so that rows without a partner need
+    no shuffle. With very many keys the flag is true more often; nothing is ever lost.
+    """
+    place = F.pmod(F.xxhash64(*on), F.lit(FILTER_BITS))
+    bucket, bit = F.floor(place / _BUCKET), (place % _BUCKET).cast("long")
+    maps = keys.select(bucket.alias("_b"), bit.alias("_p")).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_map"))
+    byte = F.expr("cast(conv(hex(substring(_map, cast(_p div 8 as int) + 1, 1)), 16, 10) as int)")
+    hit = F.coalesce(F.expr("cast(_p % 8 as int)").isNotNull() & (F.call_function("getbit", byte, F.expr("cast(_p % 8 as int)")) == 1), F.lit(False))
+    wide = df.withColumns({"_b": bucket, "_p": bit}).join(F.broadcast(maps), "_b", "left")
+    return wide.withColumn(name, hit).drop("_b", "_p", "_map")
+
+
+def without(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """`df` less the rows whose `on` is among `keys`; only possible partners are shuffled."""
+    both = marked(df, keys, [on])
+    sure, open_ = both.where("not maybe").select(df.columns), both.where("maybe").select(df.columns)
+    return sure.unionByName(open_.join(keys.select(on).distinct(), on, "left_anti"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnout.llm import words as W
-from turnout.llm.common import by_bytes, saved
+from turnout.llm.common import by_bytes, marked, saved
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     buckets = (
         banded.groupBy("band", "key")
         .agg(
-            F.count_distinct("rep").alias("m"), F.sum("n").alias("total"), F.min("rep").alias("least"),
+            F.count("*").alias("m"), F.sum("n").alias("total"), F.min("rep").alias("least"),
             F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who"),
         )
         .where("m > 1")
@@ -254,9 +254,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         ),
     )
     wanted = tiles.groupBy("rep").agg(F.flatten(F.collect_set(places)).alias("tiles"))
-    needed = chosen.join(wanted, "rep").select("rep", "row_key", "copies", "bands", "tiles")
+    needed = saved(chosen.join(wanted, "rep").select("rep", "row_key", "copies", "bands", "tiles"))
+    likely = marked(known.withColumnRenamed("doc_id", "rep"), needed, ["rep", "row_key"]).where("maybe").drop("maybe")
     facts = (
-        known.withColumnRenamed("doc_id", "rep").join(needed.hint("shuffle_hash"), ["rep", "row_key"])
+        likely.join(needed.hint("shuffle_hash"), ["rep", "row_key"])
         .select("rep", "text", "copies", "bands", "tiles")
         .mapInArrow(_members, "key long, side int, band int, pure boolean, rep long, copies long, bands array<long>, shingles binary")
         .repartition("key")

@@ -130,8 +130,8 @@ def _keep(window: int):
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()),
                  pa.array(cols[3], pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64())]))),
-                 pa.array(cols[4], pa.string()), b.column(1)],
-                ["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text", "row_key"],
+                 pa.array(cols[4], pa.string()), *b.columns[4:]],
+                ["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text", *b.schema.names[4:]],
             )
 
     return run
@@ -139,11 +139,11 @@ def _keep(window: int):
 
 _KEPT = (
     "doc_id long, n_words long, n_removed long, kept_sha256 string, "
-    "spans array<struct<first_word: bigint, n_words: bigint>>, kept_text string, row_key long"
+    "spans array<struct<first_word: bigint, n_words: bigint>>, kept_text string"
 )
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
     """One row per document with what repeats an earlier one: the spans and what is left.
 
     Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. A word is removed if a
@@ -152,13 +152,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Returns doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space),
     spans (first word and number of words), kept_text (the text unchanged where nothing
-    is removed), row_key. Null and empty texts have no words and stay. A null doc_id
+    is removed) and, with `carry`, those columns as a struct `carried`. Null and empty texts have no words and stay. A null doc_id
     neither removes nor is removed from. Rows with equal doc_id don't remove from each
     other, whether their texts are equal or not. Texts shorter than a window stay whole.
-    Further columns are ignored. An empty table gives an empty result.
+    Other columns are ignored. An empty table gives an empty result.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
-    known = src.where("doc_id is not null and text is not null")
+    extra = [F.struct(*carry).alias("carried")] if carry else []
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text", *extra)
+    known = src.where("doc_id is not null and text is not null").select("doc_id", "row_key", "text")
     blocks = saved(known.mapInArrow(_blocks(window), "doc_id long, row_key long, lo int, n int, anchor long, b1 long, b2 long"))
     shared = (
         blocks.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
@@ -185,6 +186,6 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     return (
         src.join(found.hint("shuffle_hash"), ["doc_id", "row_key"], "left")
-        .select("doc_id", "row_key", "text", "ranges")
-        .mapInArrow(_keep(window), _KEPT)
+        .select("doc_id", "row_key", "text", "ranges", *(["carried"] if carry else []))
+        .mapInArrow(_keep(window), _KEPT + (f", carried {dict(src.dtypes)['carried']}" if carry else ""))
     )
