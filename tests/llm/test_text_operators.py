@@ -97,6 +97,18 @@ def test_near_duplicates(spark, monkeypatch, tile):
     assert by_row(got, "doc_id", "class_id", "copy_id", "n_links") == brute_links(texts())
 
 
+@pytest.mark.parametrize("far", [0, 1, 5])
+def test_ties_at_the_threshold_are_linked_in_every_bucket(far):
+    def row(rep, s):
+        return {"key": 1, "side": 0, "band": 0, "pure": True, "rep": rep, "copies": 1, "bands": [], "shingles": np.array(sorted(s), np.uint64).tobytes()}
+
+    others = [row(10 + i, range(10**6 * (i + 1), 10**6 * (i + 1) + 7)) for i in range(far)]
+    for k in range(1, 400):
+        tie = N._tile([row(1, range(4 * k)), row(2, range(5 * k)), *others], 0.8)
+        assert tie == [(1, 1, 1), (2, 1, 1)], k
+        assert N._tile([row(1, range(4 * k - 1)), row(2, range(5 * k)), *others], 0.8) == [], k
+
+
 def test_band_plan_reaches_the_recall():
     bands = N.plan_bands(0.8, 0.9995, 6)
     assert 1 - (1 - 0.8**6) ** bands >= 0.9995 > 1 - (1 - 0.8**6) ** (bands - 1)

@@ -136,7 +136,7 @@ def _tile(rows: list[dict], threshold: float) -> list[tuple[int, int, int]]:
         ident = np.cumsum(new) - 1
         many = np.bincount(ident)[ident] > 1
         ident, owner = np.unique(ident[many], return_inverse=True)[1], owner[many]
-        both = np.zeros((n, n), np.float32)
+        both = np.zeros((n, n))  # float64: a tie at the threshold must not be rounded below it
         last = int(ident.max(initial=-1)) + 1
         for lo in range(0, last, 4096):
             pick = (ident >= lo) & (ident < lo + 4096)
