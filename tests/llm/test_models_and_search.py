@@ -191,6 +191,24 @@ def test_wrapper_has_constants_slots_and_repeats():
     assert [k.label for k in long.kids] == ["h2", "p"] and all(k.many for k in long.kids)
 
 
+def wrapped(pages):
+    whole = None
+    for page in pages:
+        new = H.fold(H.parse(page)[0])
+        whole = new if whole is None else H.align(whole, new)
+    return H.Node.of(json.loads(json.dumps(whole.plain())))
+
+
+def test_long_texts_with_one_lead_are_no_constant():
+    lead = " ".join(prose(3, 200))
+    rows = [f"<div>Standing line</div><div><h1>T{i}</h1><p>{lead} end {i}</p><p>{lead}</p></div>" for i in range(6)]
+    whole = wrapped(rows)
+    assert [H.main_text(r, whole) for r in rows] == [f"T{i}\n{lead} end {i}\n{lead}" for i in range(6)]
+    # a page that is read by another's template keeps what differs from its constants
+    other = "<div>Standing line of today</div><div><h1>T</h1><p>x</p></div>"
+    assert H.main_text(other, wrapped(f"<div>Standing line</div><div><h1>T{i}</h1><p>x{i}</p></div>" for i in range(6))) == "Standing line of today\nT\nx"
+
+
 # ---------------------------------------------------------------------- queries
 @pytest.fixture(scope="module")
 def duck():

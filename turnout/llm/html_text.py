@@ -17,6 +17,7 @@ article is the main text.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -69,8 +70,8 @@ class Leaf:
 class Node:
     """An element of a page or of an expression; label # is text.
 
-    pages: how many pages have it; many: it is a repeated group; const: its text while all
-    are equal, else None.
+    pages: how many pages have it; many: it is a repeated group; const: its text as made by
+    `constant` while all are equal, else None.
     """
 
     __slots__ = ("const", "kids", "label", "leaves", "many", "pages")
@@ -166,10 +167,15 @@ def parse(page: str) -> tuple[Node, list[Leaf]]:
     return root, leaves
 
 
+def constant(text: str) -> str:
+    """Stands for the whole text: a long one by its begin, length and hash."""
+    return text if len(text) <= 400 else f"{text[:400]}\n{len(text)} {hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
+
+
 def fold(node: Node) -> Node:
     """Expression of a page: recurring neighbours become repeated groups."""
     if node.label == "#":
-        node.const = " ".join(x.text for x in node.leaves)[:400]
+        node.const = constant(" ".join(x.text for x in node.leaves))
         return node
     kids: list[Node] = []
     for kid in map(fold, node.kids):
@@ -210,7 +216,7 @@ def align(a: Node, b: Node, one_page: bool = False) -> Node:
 
 
 def template_leaves(page: Node, wrapper: Node) -> set[int]:
-    """id() of the page's leaves that are constants of the wrapper, where the wrapper has slots to compare with."""
+    """id() of the page's leaves whose own whole text is a constant of the wrapper, where the wrapper has slots to compare with."""
     found: set[int] = set()
     slots = 0
 
@@ -220,7 +226,7 @@ def template_leaves(page: Node, wrapper: Node) -> set[int]:
             if w.const is None:
                 slots += any(x.wanted for x in p.leaves)
             elif w.pages >= CONSTANT_PAGES and 2 * w.pages >= wrapper.pages:
-                found.update(map(id, p.leaves))
+                found.update(id(x) for x in p.leaves if constant(x.text) == w.const)
             return
         for x, y in _matches(p.kids, w.kids):
             if x is not None and y is not None:
