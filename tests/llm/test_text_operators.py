@@ -241,6 +241,18 @@ def test_seeds_meet_every_notice_with_errors():
             assert NOTICES[notice] in found["labels"].split(","), (notice, "".join(text))
 
 
+def test_adjacent_notices_with_falling_errors_are_all_found():
+    scanner = Scanner({"released under the mit license": "mit"})
+    forms = ["released undr the mut license", "released under the mut license", "released under the mit license"]
+    for row in (forms, forms[1:], forms[::-1], forms * 3, [forms[1], forms[2], forms[0], forms[1]], forms[2:] * 5):
+        text = " ".join(row)
+        want, at = [], 0
+        for x in row:
+            want.append((at, at + len(x.split()) - 1, forms[::-1].index(x)))
+            at += len(x.split())
+        assert [(s["first_word"], s["last_word"], s["errors"]) for s in scan_text(scanner, text)["spans"]] == want
+
+
 @pytest.mark.parametrize("operator", [
     repeated_spans, N.near_duplicates, scan, lambda d: digests(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN),
     lambda d: token_counts(d, P.path("byte_bpe_50k.json")), lambda d: pack(d, P.path("word_bpe_49k.json")),

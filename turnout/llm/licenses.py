@@ -93,12 +93,15 @@ class Scanner:
                     ws.append([lo, hi])
         out = []
         for notice, ws in windows.items():
-            find = self.patterns[notice].finditer
-            for lo, hi in ws:
-                for m in find(norm, lo, min(hi, len(norm))):
+            search, least = self.patterns[notice].search, len(notice) - errors_of(notice)
+            left = [(lo, min(hi, len(norm))) for lo, hi in ws]
+            while left:  # the best match of a part, then what stands before and behind it
+                lo, hi = left.pop()
+                m = search(norm, lo, hi) if hi - lo >= least else None
+                if m is not None:
                     a, b = m.span()
-                    if b > a:
-                        out.append((a, b, notice, sum(m.fuzzy_counts)))
+                    out.append((a, b, notice, sum(m.fuzzy_counts)))
+                    left += [(lo, a - 1), (b, hi)]  # a blank stands before a match
         return sorted(out)
 
 
