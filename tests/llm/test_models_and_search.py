@@ -209,6 +209,19 @@ def test_long_texts_with_one_lead_are_no_constant():
     assert H.main_text(other, wrapped(f"<div>Standing line</div><div><h1>T{i}</h1><p>x{i}</p></div>" for i in range(6))) == "Standing line of today\nT\nx"
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<div class=entry-title><h1>Title</h1></div><div class='entry-content'><p>long body</p><p>of it</p></div><div>foot</div>", "Title\nlong body\nof it"),
+    ("<main><p>Lead</p><article><p>first part</p></article><article><p>second</p></article></main>", "Lead\nfirst part\nsecond"),
+    ("<div class=content>a b</div><div class=advert>no</div><div class=content>c d e</div>", "a b\nc d e"),
+    ("<main><article><h1>T</h1><p>the whole body of it</p></article><section><article><h2><a href=x>Other</a></h2><p>read</p></article>"
+     "<article><h2><a href=y>Next</a></h2><p>that</p></article></section><article class=comment>Nice</article><p><a href=z>tags</a></main>", "T\nthe whole body of it"),
+    ("<main><article><h2><a href=x>One</a></h2><p>text of one</p></article><article><h2><a href=y>Two</a></h2><p>text of the other</p></article></main>",
+     "One\ntext of one\nTwo\ntext of the other"),
+])
+def test_all_regions_of_the_article_are_kept(page, want):
+    assert H.main_text(page, None) == want
+
+
 # ---------------------------------------------------------------------- queries
 @pytest.fixture(scope="module")
 def duck():

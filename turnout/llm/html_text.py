@@ -12,7 +12,7 @@ bounded number of expressions at a time.
 A page is then read through its host's wrapper: text that is a constant of the template is
 dropped where the rest of the wrapper has slots, and so are regions whose elements say what
 they are (navigation, forms, adverts, comments and the like). What is left inside the
-article is the main text.
+regions of the article is the main text.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import hashlib
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -58,12 +59,21 @@ CONSTANT_PAGES = 5  # a host needs so many pages before constants count as templ
 SALTS = 32
 
 
+class Region:
+    """A part of a page that says it is the article: its tag and the node it stands in."""
+
+    __slots__ = ("parent", "tag")
+
+    def __init__(self, tag: str, parent: Node):
+        self.tag, self.parent = tag, parent
+
+
 class Leaf:
     """A block of text: kept by its region or not, in which article, how much of it is links."""
 
     __slots__ = ("article", "linked", "parts", "text", "wanted")
 
-    def __init__(self, wanted: bool, article: int):
+    def __init__(self, wanted: bool, article: Region | None):
         self.wanted, self.article, self.parts, self.linked, self.text = wanted, article, [], 0, ""
 
 
@@ -90,10 +100,10 @@ class Node:
 def parse(page: str) -> tuple[Node, list[Leaf]]:
     """Tree of block elements and its leaves in page order. Never fails, whatever the text holds."""
     root = Node("")
-    stack: list[tuple[str, Node, bool, int]] = [("", root, True, 0)]  # (tag, node, wanted, article)
+    stack: list[tuple[str, Node, bool, Region | None]] = [("", root, True, None)]  # (tag, node, wanted, article)
     leaves: list[Leaf] = []
     current: list[Leaf | None] = [None]
-    links, articles, at = 0, 0, 0
+    links, at = 0, 0
 
     def text(raw: str) -> None:
         if not raw or (current[0] is None and raw.isspace()):
@@ -155,8 +165,7 @@ def parse(page: str) -> tuple[Node, list[Leaf]]:
             wanted = wanted and tag not in NO_TEXT and (not words & ASIDE or tag in ("article", "main") and not words & {"comment", "reply", "teaser", "ad", "related"})
             wanted = wanted and not (tag == "header" and not article)
         if wanted and holds and (tag in ("article", "main") or not article):
-            articles += 1
-            article = articles
+            article = Region(tag, node)
         kid = Node(tag + "".join(f".{w}" for w in sorted(words)[:6]))
         node.kids.append(kid)
         if not attrs.endswith("/"):
@@ -236,19 +245,37 @@ def template_leaves(page: Node, wrapper: Node) -> set[int]:
     return found if slots else set()
 
 
+def _linked(leaves: list[Leaf]) -> bool:
+    """Whether most of a text is links."""
+    return 2 * sum(x.linked for x in leaves) > sum(sum(map(len, x.parts)) for x in leaves)
+
+
+def article_regions(regions: dict[Region, list[Leaf]], best: Region) -> set[Region]:
+    """Regions of the article: the largest and all others that are no teasers.
+
+    A teaser is one of several regions of a kind side by side with a line that is a link,
+    its title. Where the largest is one itself, the page is a list and all of them stay.
+    """
+    kinds = Counter((r.tag, id(r.parent)) for r in regions)
+    teasers = {r for r, leaves in regions.items() if kinds[r.tag, id(r.parent)] > 1 and any(_linked([x]) for x in leaves)}
+    return set(regions) if best in teasers else set(regions) - teasers
+
+
 def main_text(page: str, wrapper: Node | None) -> str:
     root, leaves = parse(page)
     dropped = template_leaves(fold(root), wrapper) if wrapper is not None else set()
     left = [x for x in leaves if x.wanted and x.text and id(x) not in dropped]
-    size: dict[int, int] = {}
+    regions: dict[Region, list[Leaf]] = {}
     for x in left:
-        size[x.article] = size.get(x.article, 0) + len(x.text)
-    articles = {a: n for a, n in size.items() if a}
-    if articles:
-        best = max(articles, key=lambda a: (articles[a], -a))
-        left = [x for x in left if x.article == best]
+        if x.article is not None:
+            regions.setdefault(x.article, []).append(x)
+    if regions:
+        best = max(regions, key=lambda r: sum(len(x.text) for x in regions[r]))
+        kept = article_regions(regions, best)
+        # outside the largest region and those of its kind lists of links go
+        left = [x for x in left if x.article in kept and ((x.article.tag, x.article.parent) == (best.tag, best.parent) or not _linked([x]))]
     else:  # no article is marked: lists of links go
-        left = [x for x in left if 2 * x.linked <= sum(map(len, x.parts))]
+        left = [x for x in left if not _linked([x])]
     return "\n".join(x.text for x in left)
 
 
