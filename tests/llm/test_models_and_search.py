@@ -50,6 +50,24 @@ def test_judge_follows_the_group(spark):
     assert judge(documents(spark).limit(0)).count() == 0
 
 
+def test_each_measure_can_reject_a_document_that_passes_the_base_rules(spark):
+    ws = prose(5, 100)
+    lines = [" ".join(prose(70 + i, 6)) for i in range(12)]
+    planted = {
+        "mean_word": " ".join(w + "abc" for w in ws),
+        "symbol_share": " ".join(w + "%" if i % 2 else w for i, w in enumerate(ws)),
+        "dup_line_share": "\n".join(x for i, x in enumerate(lines) for x in [x] * (1 + (i < 5))),
+        "repeat_share": " ".join(ws[:88] + ws[20:32]),
+        "caps_share": " ".join(w.upper() if i % 8 == 0 else w for i, w in enumerate(ws)),
+    }
+    rows = [(i, " ".join(prose(i, 60))) for i in range(300)] + [(900 + k, t) for k, t in enumerate(planted.values())]
+    got = {r["doc_id"]: r for r in judge(documents(spark, rows)).collect()}
+    assert all(got[i]["kept"] for i in range(300))
+    for k, m in enumerate(planted):
+        r = got[900 + k]
+        assert not r["base_failed"] and not r["kept"] and r[m] > r[f"max_{m}"], m
+
+
 # --------------------------------------------------------------------- toxicity
 def brute_segments(s):
     """Maximal segments by definition: best sum, widest among none shorter, then left and right of it."""

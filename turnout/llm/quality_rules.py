@@ -30,9 +30,9 @@ SKETCH_K = 2048  # rank error about 0.15 %, exact up to that many documents
 ENOUGH = 200  # documents a group needs for quantiles of its own
 
 #: measure -> least spread. All grow with badness; each is judged on its upper side only.
-STEPS = {"mean_word": 1.0, "symbol_share": 0.02, "dup_line_share": 0.15, "repeat_share": 0.1, "caps_share": 0.05}
+STEPS = {"mean_word": 0.2, "symbol_share": 0.02, "dup_line_share": 0.05, "repeat_share": 0.05, "caps_share": 0.005}
 #: spreads above the median, and the outer quantile that the spread is measured to
-FENCE, OUTER = 4.0, 0.75
+FENCE, OUTER = 4.0, 0.9
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
