@@ -124,6 +124,34 @@ def test_held_out_labels_are_never_learned(spark):
     assert T.fit(docs, labels) == T.fit(docs, turned)
 
 
+def test_every_significant_passage_of_a_text_is_found():
+    bad = [f"bad{chr(97 + i)}" for i in range(8)]
+    model = T.Model({w: 3.0 for w in bad}, 0.0, 1.0, ((), ()))
+    far = " ".join(f"{w} " + "x " * 40 for w in bad)
+    passage = " ".join(bad)
+    _, n, found = T.heights(model, far + passage, {})
+    assert [(a, b) for _, a, b in found] == [(n - 8, n)]
+    _, n, found = T.heights(model, passage + " x" * 60 + " " + passage, {})
+    assert [(a, b) for _, a, b in found] == [(0, 8), (n - 8, n)]
+
+
+def test_scores_do_not_depend_on_the_cache():
+    model = T.Model({"bad": 4.0, "worse": 4.0, "mild": 0.5, "harmless": -3.0}, 0.0, 1.0, ((), ()))
+    text = "bad harmless mild worse bad"
+    assert T.heights(model, text, {}) == T.heights(model, text, {str(i): 0.0 for i in range(300_001)})
+    # clears the cache within the text
+    full = {str(i): 0.0 for i in range(300_000)}
+    assert T.heights(model, text, full) == T.heights(model, text, {})
+
+
+def test_words_without_room_in_the_model_are_neutral(spark):
+    docs, labels = toxic_frames(spark, 300)
+    whole, small = T.fit(docs, labels), T.fit(docs, labels, terms=6)
+    lost = [w for w in whole.scores if w[0] != "*" and w not in small.scores]
+    assert len(lost) == len(small.dropped) > 20 and all(small.score(w) == 0 for w in lost)
+    assert any(w.startswith("vile") for w in lost) and small.score("vileunseen") > 0
+
+
 # ------------------------------------------------------------------- neighbours
 def vectors(spark, d=24, n=700):
     r = np.random.default_rng(2)

@@ -2,10 +2,11 @@
 
 Training counts in how many toxic and other labelled documents a token occurs. A token is
 a lower-cased word; its prefixes are counted as well. A word that a text repeats counts
-once, in training and in a text's score. Log-odds have informative Dirichlet priors: a
+once in training; in a text's score each of its places counts. Log-odds have informative Dirichlet priors: a
 prefix is drawn towards the odds of the next shorter one, a word towards those of its
 longest prefix, the shortest towards all text. So an unseen form of an abusive stem is
-scored by the stem, and a rare word by little more than the prior.
+scored by the stem, and a rare word by little more than the prior. A counted word that the
+bounded model has no room for scores as neutral, not as its stem.
 
 Scoring walks over a text once. The scores of its words, less a drift that makes ordinary
 text lose, are split into all maximal-scoring segments in linear time. The best segments
@@ -19,9 +20,10 @@ with a model counted on the others, so that it knows how unseen texts score.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,11 +53,17 @@ class Model:
     rest: float
     decay: float
     knots: tuple[tuple[float, ...], tuple[float, ...]]  # heights and their scores, both rising
+    dropped: tuple[int, ...] = ()  # rising hashes of counted words without a score of their own
 
     def score(self, word: str) -> float:
         known = self.scores.get(word)
         if known is not None:
             return known
+        if self.dropped:
+            h = int(hashlib.md5(word.encode()).hexdigest()[:15], 16)
+            at = bisect_left(self.dropped, h)
+            if at < len(self.dropped) and self.dropped[at] == h:
+                return self.rest
         for n in reversed(PREFIXES):
             if len(word) > n:
                 known = self.scores.get("*" + word[:n])
@@ -97,31 +105,26 @@ def heights(model: Model, text: str, cache: dict[str, float]) -> tuple[float, in
     """(normalised height of the text, words, significant segments)."""
     words = _WORD.findall(text.lower())
     n = len(words)
-    runs: list[float] = []
-    at: list[int] = []
-    met: set[str] = set()
-    for i, w in enumerate(words):
+    steps: list[float] = []
+    for w in words:
         s = cache.get(w)
         if s is None:
             if len(cache) > 300_000:
                 cache.clear()
             s = cache[w] = model.score(w) - DRIFT
-        if s > 0 and w not in met:
-            met.add(w)
-            # words between two positive ones are one step down
-            if at and i - at[-1] > 1:
-                runs.append(sum(min(cache.get(x, -DRIFT), -DRIFT) for x in words[at[-1] + 1 : i]))
-                at.append(i - 1)
-            runs.append(s)
-            at.append(i)
-    found = segments(runs)
+        steps.append(s)
     log_n = math.log(n + 1)
-    tops = [(model.decay * s - log_n, at[a], at[b - 1] + 1) for s, a, b in found]
+    tops, sums = [], []
+    for s, a, b in segments(steps):
+        tops.append((model.decay * s - log_n, a, b))
+        # for the text's height, words that a passage repeats count once in it
+        once = {w: x for w, x in zip(words[a:b], steps[a:b], strict=True) if x > 0}
+        sums.append(model.decay * (sum(once.values()) + sum(x for x in steps[a:b] if x <= 0)) - log_n)
     if not tops:
         return -log_n, n, []
     # the heights of several passages add up as exponentials of their excess over chance
-    best = max(h for h, _, _ in tops)
-    height = best + math.log(sum(math.exp(max(-30.0, h - best)) for h, _, _ in tops))
+    best = max(sums)
+    height = best + math.log(sum(math.exp(max(-30.0, h - best)) for h in sums))
     return height, n, [t for t in tops if t[0] >= SIGNIFICANT]
 
 
@@ -214,14 +217,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
     share = (total["toxic"] + total["toxic_apart"]) / sum(total)
     gap = F.abs(t - n * share) / F.sqrt(n * share * (1 - share))
     known = counts.count()
+    dropped: tuple[int, ...] = ()
     if known > terms:  # a rank of the gaps, so that no task sends more than its share to the driver
         cut = counts.agg(F.percentile_approx(gap, 1 - terms / known, 20_000)).first()[0]
+        # of the other words, bounded by the sample, only hashes
+        hashed = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 15), 16, 10).cast("long")
+        dropped = tuple(sorted(counts.where(gap <= cut).where("token not like '*%'").select(hashed.alias("h")).toPandas()["h"].tolist()))
         counts = counts.where(gap > cut)
     top = counts.toPandas().sort_values("token")
     o, t, oa, ta = (top[k].to_numpy(float) for k in kinds)
     trial = _model(list(top["token"]), o, t, total["other"], total["toxic"])
+    trial.dropped = dropped
     model = _model(list(top["token"]), o + oa, t + ta, total["other"] + total["other_apart"], total["toxic"] + total["toxic_apart"])
 
+    model.dropped = dropped
+
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
         for b in by_bytes(batches, "text"):
