@@ -19,8 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from turnout.llm import chunks
-from turnout.llm.common import by_bytes
+from turnout.llm.common import buffers_of, by_bytes, frugal
+from turnout.llm.units import Table, encoded, pre_units
 
 BARRIER = 0xFFFF  # an id that no vocabulary of at most 65,535 tokens has
 JOINED = 1 << 17  # bytes of new pre-tokens that share one queue
@@ -144,48 +144,40 @@ class Vocabulary:
 
 
 class Encoder:
-    """Ids of whole texts: pre-tokens by `pattern`, each merged on its own, known words looked up."""
+    """Ids of whole texts: pre-tokens by `pattern`, each merged on its own; units seen before are looked up."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.find = vocabulary, regex.compile(pattern).findall
-        self.known = chunks.Known()
-        self.pieces: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = [self.find(t) for t in texts]
-        if len(self.pieces) > self.known.limit:
-            self.pieces = {}
-        new = list({p for ps in found for p in ps if p not in self.pieces})
-        self.pieces.update(zip(new, self.vocabulary.encode([p.encode() for p in new]), strict=True))
-        return [b"".join(map(self.pieces.__getitem__, ps)) for ps in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks.lines(t) for t in texts]
-        bare, spaced = self.known.unknown([ls for ls in cut if ls is not None])
-        odd = [t for t, ls in zip(texts, cut, strict=True) if ls is None]
-        ids = self._ids([*bare, *(" " + w for w in spaced), "\n", *odd])
-        first, rest = self.known.bare, self.known.spaced
-        first.update(zip(bare, ids, strict=False))
-        rest.update(zip(spaced, ids[len(bare) :], strict=False))
-        feed = ids[len(bare) + len(spaced)]
-        others = iter(ids[len(bare) + len(spaced) + 1 :])
-        out = []
-        for ls in cut:
-            if ls is None:
-                out.append(next(others))
-            else:
-                out.append(feed.join([first[ws[0]] + b"".join(map(rest.__getitem__, ws[1:])) for ws in ls]))
-        return out
-
-
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
-def encoder(path: str, pattern: str) -> Encoder:
-    """One for each worker process."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(Vocabulary(path), pattern)
-    return _encoders[path, pattern]
+        self.table = Table()
+        self.tokens = pa.array(vocabulary.tokens, pa.binary())
+
+    def _learn(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.find(u.decode()) for u in units]
+        some = list({p for ps in found for p in ps})
+        ids = dict(zip(some, self.vocabulary.encode([p.encode() for p in some]), strict=True))
+        each = [b"".join(map(ids.__getitem__, ps)) for ps in found]
+        return np.frombuffer(b"".join(each), "<u4"), np.array([len(x) // 4 for x in each], np.int64)
+
+    def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, place of each text's first one, with the end)."""
+        data, cut, before = pre_units(col, lambda t: list(map(len, self.find(t))))
+        ids, size = encoded(self.table, data, cut[:-1], cut[1:], self._learn)
+        return ids, np.concatenate([[0], np.cumsum(size)])[before]
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all ids one after another, place of each id's first one, with the end)."""
+        return buffers_of(self.tokens.take(pa.array(ids)))
+
+
+def _digests(enc: Encoder, ids: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    """Hashes of each text's ids and of the bytes decoded from them."""
+    raw, off = enc.decode(ids)
+    spans = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+    flat = ids.astype("<u4")
+    return [
+        pa.array([hashlib.sha256(flat[x:y]).hexdigest() for x, y in spans], pa.string()),
+        pa.array([hashlib.sha256(raw[off[x] : off[y]]).hexdigest() for x, y in spans], pa.string()),
+    ]
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -197,23 +189,17 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc = Encoder(Vocabulary(path), pattern)
         for b in by_bytes(batches, "text"):
-            ids = enc.encode([t or "" for t in b.column(1).to_pylist()])
-            back = [hashlib.sha256(enc.vocabulary.decode(x)).hexdigest() for x in ids]
+            ids, at = enc.encode(b.column(1))
+            each = pa.array([ids[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array(ids, pa.binary()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                    pa.array(back, pa.string()),
-                ],
+                [b.column(0), pa.array(np.diff(at)), each, *_digests(enc, ids, at)],
                 ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
             )
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(
-        run, "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
+        frugal(run), "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
     )
 
 
@@ -221,19 +207,13 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """As `encode`, without the ids, which then never leave the Python worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
+        enc = Encoder(Vocabulary(path), pattern)
         for b in by_bytes(batches, "text"):
-            ids = enc.encode([t or "" for t in b.column(1).to_pylist()])
+            ids, at = enc.encode(b.column(1))
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(enc.vocabulary.decode(x)).hexdigest() for x in ids], pa.string()),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [b.column(0), pa.array(np.diff(at)), *_digests(enc, ids, at)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             )
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from turnout.session import ensure_checkpoint_dir
 
 #: Bytes of text handled at once inside a task; one longer text is a batch of its own.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +34,27 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def frugal(run: Callable) -> Callable:
+    """`run` of mapInArrow, after which the worker holds little: Spark keeps it for other stages.
+
+    Freed memory goes back to the system, so that what a stage needs does not add up with
+    what earlier ones left in the same process.
+    """
+
+    @functools.wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+            if trim is not None:
+                trim(0)
+
+    return inner
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slice record batches so that `column` (string) holds about `limit` bytes in each."""
     for b in batches:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnout.llm import words as W
-from turnout.llm.common import by_bytes, marked, saved
+from turnout.llm.common import by_bytes, frugal, marked, saved
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     bands = plan_bands(threshold, recall, rows)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row_key"))
     known = src.where("doc_id is not null and text is not null")
-    sig = saved(known.select("doc_id", "text", "row_key").mapInArrow(_signatures(bands, rows), "doc_id long, row_key long, s1 long, s2 long, n long, bands array<long>"))
+    sig = saved(known.select("doc_id", "text", "row_key").mapInArrow(frugal(_signatures(bands, rows)), "doc_id long, row_key long, s1 long, s2 long, n long, bands array<long>"))
     own = sig.groupBy("doc_id").agg(F.max(F.struct("n", "s1", "s2", "row_key")).alias("x")).select("doc_id", "x.*")
     classes = own.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     member = saved(own.join(classes, ["s1", "s2", "n"]).select("doc_id", "rep", "copies", "row_key"))
@@ -259,10 +259,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     facts = (
         likely.join(needed.hint("shuffle_hash"), ["rep", "row_key"])
         .select("rep", "text", "copies", "bands", "tiles")
-        .mapInArrow(_members, "key long, side int, band int, pure boolean, rep long, copies long, bands array<long>, shingles binary")
+        .mapInArrow(frugal(_members), "key long, side int, band int, pure boolean, rep long, copies long, bands array<long>, shingles binary")
         .repartition("key")
         .sortWithinPartitions("key", "rep")
-        .mapInArrow(_compare(threshold), "rep long, links long, least long")
+        .mapInArrow(frugal(_compare(threshold)), "rep long, links long, least long")
     )
     found = saved(facts)
     groups = connected(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))

@@ -20,12 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from turnout.llm.common import by_bytes, saved
+from turnout.llm import words as W
+from turnout.llm.common import buffers_of, by_bytes, frugal, saved
+from turnout.llm.units import ALNUM, MARK, Table, encoded
 
 CAPACITY = 2048
 GRID = 512  # the last piece of a document but one is a multiple of this long
@@ -35,65 +38,78 @@ END = 1  # id after each document
 class WordIds:
     """Ids of whole texts by a lower-casing word-level BPE file whose words never cross white space.
 
-    Words are looked up after lowering A-Z, which the file's own normalisation does as well;
-    the library encodes each new word once. Texts that hold the opening of a special token
-    are not lowered first, as the library matches those before it lowers.
+    Words are looked up after lowering A-Z, which the file's own normalisation does as well,
+    and without a last mark of punctuation, which is a word of its own to the tokenizer; the
+    library encodes each new word once. Texts that hold the opening of a special token are
+    neither lowered nor cut first, as the library matches those before it lowers.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str):
         os.environ["RAYON_NUM_THREADS"] = "1"  # Spark runs a task on every core
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
-        self.limit = limit
+        # words of letters are split by blanks alone, which spares the file's pattern
+        self.by_pattern = self.tokenizer.pre_tokenizer
+        self.by_blank = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         ends = [i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[ends] = True
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Words of letters go to the library many at a time; each ends with a token that ends a word."""
-        plain, odd = [], []
-        for w in words:
-            (plain if w.decode().isalpha() else odd).append(w)
-        groups = [plain[lo : lo + 64] for lo in range(0, len(plain), 64)]
-        for lo in range(0, len(groups), 64):
-            some = groups[lo : lo + 64]
-            found = self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in some], add_special_tokens=False)
-            for group, e in zip(some, found, strict=True):
+        self.table = Table()
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Plain words go to the library many at a time; each ends with a token that ends a word."""
+        found: list[bytes] = [b""] * len(words)
+        texts = [w.decode() for w in words]
+        # letters up to U+024F that are small already have no other form
+        plain = [i for i, t in enumerate(texts) if t.isalpha() and t == t.lower() and max(t) < "\u0250"]
+        odd = sorted(set(range(len(words))) - set(plain))
+        groups = [plain[lo : lo + 256] for lo in range(0, len(plain), 256)]
+        self.tokenizer.pre_tokenizer = self.by_blank
+        for lo in range(0, len(groups), 16):
+            some = groups[lo : lo + 16]
+            got = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in g]) for g in some], add_special_tokens=False)
+            for group, e in zip(some, got, strict=True):
                 ids = np.array(e.ids, "<u4")
                 edges = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
-                if len(edges) != len(group) + 1 or edges[-1] != 4 * len(ids):  # a letter whose lower case has marks
+                if len(edges) != len(group) + 1 or edges[-1] != 4 * len(ids):
                     odd += group
                     continue
                 flat = ids.tobytes()
-                self.known.update((w, flat[x:y]) for w, x, y in zip(group, edges[:-1], edges[1:], strict=True))
+                for i, x, y in zip(group, edges[:-1], edges[1:], strict=True):
+                    found[i] = flat[x:y]
+        self.tokenizer.pre_tokenizer = self.by_pattern
         for lo in range(0, len(odd), 4096):
             some = odd[lo : lo + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.limit:
-            self.known = {}
-        split = []
-        for t in texts:
-            raw = t.encode()
-            split.append((raw if b"<|" in raw else raw.lower()).split())
-        new = {w for w in set().union(*split) if w not in self.known}
-        # a letter or digit, then one mark: the mark is a word of its own to the tokenizer
-        stems = {w: (w[:-1], w[-1:]) for w in new if w[-1:] in b".,;:!?" and w[-2:-1].isalnum() and b"<|" not in w}
-        todo = (new - stems.keys()).union(*stems.values())
-        self._learn([w for w in todo if w not in self.known])
-        known = self.known
-        known.update((w, known[a] + known[b]) for w, (a, b) in stems.items())
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
-
-
-_encoders: dict[str, WordIds] = {}
+            got = self.tokenizer.encode_batch_fast([texts[i] for i in some], add_special_tokens=False)
+            for i, e in zip(some, got, strict=True):
+                found[i] = np.array(e.ids, "<u4").tobytes()
+        return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+
+    def encode(self, col: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, each followed by `end`, place of each text's first one, with the end)."""
+        data, starts, ends, doc, n_words = W.spans(col)
+        special = pc.fill_null(pc.match_substring(col, "<|"), False).to_numpy(zero_copy_only=False)
+        small = _LOWER[data]
+        offsets = buffers_of(col)[1]
+        for i in np.flatnonzero(special):
+            small[offsets[i] : offsets[i + 1]] = data[offsets[i] : offsets[i + 1]]
+        marked = np.flatnonzero((ends - starts > 1) & MARK[data[ends - 1]] & ALNUM[data[ends - 2]] & ~special[doc]) if len(starts) else np.zeros(0, np.int64)
+        starts = np.insert(starts, marked + 1, ends[marked] - 1)
+        stem = ends.copy()
+        stem[marked] -= 1
+        ends = np.insert(stem, marked + 1, ends[marked])
+        before = np.concatenate([[0], np.cumsum(n_words + np.bincount(doc[marked], minlength=len(col)))])
+        ids, size = encoded(self.table, small, starts, ends, self._learn)
+        first = np.concatenate([[0], np.cumsum(size)])[before]
+        return np.insert(ids, first[1:], end), first + np.arange(len(first))
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, place long"
 
@@ -110,19 +126,19 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, grid: int = GRI
     """Pieces of every document, with their number among pieces of their length in their partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoders.get(path) or _encoders.setdefault(path, WordIds(path))
-        last = np.uint32(end).tobytes()
+        enc = WordIds(path)
         seen = [0] * (capacity + 1)
         part = TaskContext.get().partitionId()
         for b in by_bytes(batches, "text"):
             cols: list[list] = [[], [], [], [], [], []]
             rows = []
-            for i, ids in enumerate(enc.encode([t or "" for t in b.column(1).to_pylist()])):
-                ids += last
-                total, at = len(ids) // 4, 0
-                for n in cuts(total, capacity, grid):
+            ids, first = enc.encode(b.column(1), end)
+            for i, (lo, hi) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                at = 0
+                for n in cuts(hi - lo, capacity, grid):
                     rows.append(i)
-                    for col, x in zip(cols, (at, n, zlib.crc32(ids[4 * at : 4 * (at + n)]), total, part, seen[n]), strict=True):
+                    crc = zlib.crc32(ids[lo + at : lo + at + n])
+                    for col, x in zip(cols, (at, n, crc, hi - lo, part, seen[n]), strict=True):
                         col.append(x)
                     seen[n] += 1
                     at += n
@@ -132,7 +148,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, grid: int = GRI
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "place"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, _PIECES)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(frugal(run), _PIECES)
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:

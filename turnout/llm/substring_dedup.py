@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnout.llm import words as W
-from turnout.llm.common import by_bytes, saved
+from turnout.llm.common import by_bytes, frugal, saved
 
 WINDOW = 50
 ANCHOR = 16  # words of an anchor
@@ -160,7 +160,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, carry: list[str] | Non
     extra = [F.struct(*carry).alias("carried")] if carry else []
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text", *extra)
     known = src.where("doc_id is not null and text is not null").select("doc_id", "row_key", "text")
-    blocks = saved(known.mapInArrow(_blocks(window), "doc_id long, row_key long, lo int, n int, anchor long, b1 long, b2 long"))
+    blocks = saved(known.mapInArrow(frugal(_blocks(window)), "doc_id long, row_key long, lo int, n int, anchor long, b1 long, b2 long"))
     shared = (
         blocks.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
         .where("least < most").select("anchor")
@@ -173,7 +173,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, carry: list[str] | Non
     windows = saved(
         known.join(open_blocks.hint("shuffle_hash"), ["doc_id", "row_key"])
         .select("doc_id", "row_key", "text", "ranges")
-        .mapInArrow(_windows(window), "doc_id long, row_key long, lo int, w1 long, w2 long")
+        .mapInArrow(frugal(_windows(window)), "doc_id long, row_key long, lo int, w1 long, w2 long")
     )
     earliest = (
         windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("most"))
@@ -187,5 +187,5 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, carry: list[str] | Non
     return (
         src.join(found.hint("shuffle_hash"), ["doc_id", "row_key"], "left")
         .select("doc_id", "row_key", "text", "ranges", *(["carried"] if carry else []))
-        .mapInArrow(_keep(window), _KEPT + (f", carried {dict(src.dtypes)['carried']}" if carry else ""))
+        .mapInArrow(frugal(_keep(window)), _KEPT + (f", carried {dict(src.dtypes)['carried']}" if carry else ""))
     )

@@ -1,7 +1,7 @@
 """Token counts by the library of a tokenizer file, without its ids leaving the task.
 
 Batches are cut by bytes, not by rows; a long text is cut at places where its tokens
-don't change (see `chunks`) and its parts are counted apart. In ordinary prose these
+don't change (see `units`) and its parts are counted apart. In ordinary prose these
 places are so dense that most parts are words seen before, whose counts are kept; the
 library encodes only new ones.
 """
@@ -9,16 +9,31 @@ library encodes only new ones.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from turnout.llm import chunks
-from turnout.llm.common import by_bytes
+from turnout.llm.common import by_bytes, frugal
+from turnout.llm.units import Table, encoded, pre_units
 
-PART = 1 << 16  # characters of a part of a text with unusual white space
+PART = 1 << 16  # characters of a part of a text with unusual blanks
+_SAFE = re.compile(r"(?<=[^\s᠎​﻿]) (?=[^\s᠎​﻿])")
+
+
+def parts(text: str, limit: int = PART) -> list[int]:
+    """Lengths of parts of about `limit` characters, cut before single spaces; a part without one stays whole."""
+    out, lo = [], 0
+    while len(text) - lo > limit:
+        m = _SAFE.search(text, lo + limit)
+        if m is None:
+            break
+        out.append(m.start() - lo)
+        lo = m.start()
+    return [*out, len(text) - lo]
 
 
 class Counter:
@@ -32,43 +47,25 @@ class Counter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known = chunks.Known()
+        self.table = Table()
 
-    def _counts(self, texts: list[str]) -> list[int]:
+    def _learn(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """One number for each unit, its count."""
         out: list[int] = []
         lo = 0
-        while lo < len(texts):
+        while lo < len(units):
             hi, size = lo, 0
-            while hi < len(texts) and hi - lo < 4096 and (hi == lo or size < PART * 4):
-                size += len(texts[hi])
+            while hi < len(units) and hi - lo < 4096 and (hi == lo or size < PART * 4):
+                size += len(units[hi])
                 hi += 1
-            out += map(len, self.tokenizer.encode_batch_fast(texts[lo:hi], add_special_tokens=False))
+            out += map(len, self.tokenizer.encode_batch_fast([u.decode() for u in units[lo:hi]], add_special_tokens=False))
             lo = hi
-        return out
-
-    def count(self, texts: list[str]) -> list[int]:
-        cut = [chunks.lines(t) for t in texts]
-        bare, spaced = self.known.unknown([ls for ls in cut if ls is not None])
-        odd = [chunks.parts(t, PART) for t, ls in zip(texts, cut, strict=True) if ls is None]
-        n = self._counts([*bare, *(" " + w for w in spaced), "\n", *(p for ps in odd for p in ps)])
-        first, rest = self.known.bare, self.known.spaced
-        first.update(zip(bare, n, strict=False))
-        rest.update(zip(spaced, n[len(bare) :], strict=False))
-        at = len(bare) + len(spaced)
-        feed, at = n[at], at + 1
-        parts = iter(odd)
-        out = []
-        for ls in cut:
-            if ls is None:
-                k = len(next(parts))
-                out.append(sum(n[at : at + k]))
-                at += k
-            else:
-                out.append(feed * (len(ls) - 1) + sum(first[ws[0]] + sum(map(rest.__getitem__, ws[1:])) for ws in ls))
-        return out
-
-
-_counters: dict[str, Counter] = {}
+        return np.array(out, np.uint32), np.ones(len(out), np.int64)
+
+    def count(self, col: pa.Array) -> np.ndarray:
+        data, cut, before = pre_units(col, parts)
+        n, _ = encoded(self.table, data, cut[:-1], cut[1:], self._learn)
+        return np.diff(np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[before])
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
@@ -80,15 +77,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counters.get(path) or _counters.setdefault(path, Counter(path))
+        counter = Counter(path)
         for b in by_bytes(batches, "text"):
             text = b.column(1).fill_null("")
-            n = pa.array(counter.count(text.to_pylist()), pa.int64())
+            n = pa.array(counter.count(text))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pc.binary_length(text).cast(pa.int64()), n, pc.greater(n, limit)],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(
-        run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+        frugal(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
     )

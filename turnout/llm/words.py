@@ -16,7 +16,7 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
 #: Bytes hashed at once (about 30 bytes of scratch for each).
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _BASE, _C1, _C2 = 0x9E3779B97F4A7C15 | 1, U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 _tables: dict[str, np.ndarray] = {}
 
