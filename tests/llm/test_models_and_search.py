@@ -279,7 +279,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["op1_substring_dedup", "op4_binary_codes", "op9_quality_rules"])
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op4_binary_codes", "op9_quality_rules", "op11_secret_scan", "op13_hard_negatives"])
 def test_query_matches_sql(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     res = duck.execute(entry.oracle_sql()[name])

@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from turnout.llm import periodic_runs, secret_scan
 from turnout.llm.binary_codes import search
 from turnout.llm.byte_bpe import digests
 from turnout.llm.common import saved, table
+from turnout.llm.hard_negatives import HIGH, LOW, SCALE, hard_negatives
 from turnout.llm.html_text import extract
 from turnout.llm.licenses import scan
 from turnout.llm.near_duplicates import near_duplicates
@@ -99,6 +102,67 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, folder, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
+@query
+def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digests(table(spark, folder, "documents"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.digests(table(spark, folder, "documents"), periodic_runs.planted)
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return hard_negatives(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+def _secrets_sql() -> str:
+    """Places of matches from the texts between them; short runs of hex digits are left out at once."""
+    parts = []
+    for k, r in enumerate(secret_scan.RULES):
+        pattern, least = (r.pattern.replace("+", f"{{{r.least},}}"), 0) if r.kind == "hex" else (r.pattern, r.least)
+        pattern = pattern.replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, {k} AS k, '{r.kind}' AS kind, {least} AS least, string_split_regex(x, '{pattern}') AS gaps, "
+            f"regexp_extract_all(x, '{pattern}') AS ms, regexp_extract_all(x, '{pattern}', {r.group}) AS gs FROM t"
+        )
+    base = len(secret_scan.BASE)
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+m AS ({" UNION ALL ".join(parts)}
+), f AS (
+  SELECT doc_id, k, kind, least, length(gs[i]) AS size, length(ms[i]) AS n,
+    list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0) AS a
+  FROM m, unnest(range(1, len(ms) + 1)) AS u(i)
+), s AS (SELECT doc_id, k, a, concat(kind, ':', a::BIGINT, ':', (a + n)::BIGINT) AS said FROM f WHERE size >= least)
+SELECT t.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  sha256(coalesce(string_agg(said, ',' ORDER BY a, k) FILTER (k < {base}), '')) AS base_sha256, coalesce(string_agg(said, ',' ORDER BY a, k), '') AS spans
+FROM t LEFT JOIN s USING (doc_id) GROUP BY t.doc_id
+"""
+
+
+SQL["op11_secret_scan"] = _secrets_sql()
+
+SQL["op13_hard_negatives"] = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, list_inner_product(a.e, c.e)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id AND len(a.e) = len(c.e)
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND {LOW} * positive_score <= {HIGH} * score AND {HIGH} * score <= {HIGH} * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
 SQL["op4_binary_codes"] = """
 WITH v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
