@@ -48,6 +48,32 @@ def sigmoid(z):
     return f"(1.0::double / (1.0::double + exp(-least(30.0::double, greatest(-30.0::double, {z})))))"
 
 
+def _climb(u, k, mass, width, ratio):
+    """Least number from k on up to which masses sum to u; `ratio` gives the next mass from a.k."""
+    none = "{'m': 0.0::double, 'c': 0.0::double, 'k': cast(j as bigint)}"
+    first = f"{{'m': {mass}, 'c': {mass}, 'k': cast({k} as bigint)}}"
+    step = f"{{'m': a.m * {ratio}, 'c': a.c + a.m * {ratio}, 'k': a.k + 1}}"
+    return (
+        f"list_reduce(list_prepend({first}, list_transform(range(0, cast({width} as bigint)), lambda j: {none})), "
+        f"lambda a, b: case when a.c >= {u} then a else {step} end).k"
+    )
+
+
+def binomial(u, n, p, k, sd):
+    """Least k with P(X <= k) >= u; the columns k and sd are where to begin, and the deviation."""
+    mass = f"exp(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1) + {k} * ln({p}) + ({n} - {k}) * ln(1 - {p}))"
+    return _climb(u, k, mass, f"least({n} - {k}, 17 * {sd} + 40)", f"(({n} - a.k) / (a.k + 1.0::double) * ({p} / (1 - {p})))")
+
+
+def hypergeometric(u, total, good, taken):
+    low = f"greatest(0, {taken} + {good} - {total})"
+    top = f"least({good}, {taken})"
+    choose = lambda n, m: f"lgamma({n} + 1) - lgamma({m} + 1) - lgamma({n} - ({m}) + 1)"
+    mass = f"exp({choose(good, low)} + {choose(f'({total} - {good})', f'({taken} - {low})')} - ({choose(total, taken)}))"
+    ratio = f"(({good} - a.k) * ({taken} - a.k) / ((a.k + 1.0::double) * ({total} - {good} - {taken} + a.k + 1)))"
+    return _climb(u, low, mass, f"{top} - {low}", ratio)
+
+
 def text_of(c):
     return f"lower(regexp_replace(strip_accents(coalesce({c}, '')), '^\\s+|\\s+$', '', 'g'))"
 

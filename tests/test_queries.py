@@ -48,7 +48,7 @@ def test_entry(spark):
 
 
 def test_pipeline_end_to_end(spark, inputs, tmp_path):
-    s = Settings(as_of=AS_OF, n_sim=200, n_sim_back_test=50, n_sim_overbooking=100, n_sim_group=50, max_extra=300)
+    s = Settings(as_of=AS_OF, n_sim=200, n_sim_back_test=50, n_sim_overbooking=100, max_extra=300)
     season = run_season(inputs.t, s)
     f = season.forecast.toPandas()
     assert len(f) == 3 and ((f.p10 <= f.expected_attendance) & (f.expected_attendance <= f.p90)).all()

@@ -10,6 +10,7 @@ integer multiplications per draw inside generated code, and any SQL engine with
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column
@@ -24,6 +25,11 @@ def hash31(*cols: Column) -> Column:
     return F.conv(F.substr(F.md5(text), F.lit(1), F.lit(15)), 16, 10).cast("bigint") % PRIME
 
 
+def hash31_of(*key) -> int:
+    """`hash31` of plain values, for code inside tasks."""
+    return int(hashlib.md5("|".join(map(str, key)).encode()).hexdigest()[:15], 16) % PRIME
+
+
 def coefficients(*key: Column) -> list[Column]:
     """Four polynomial coefficients for one simulation key."""
     return [hash31(*key, F.lit(f"c{i}")) for i in range(4)]

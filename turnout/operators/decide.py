@@ -8,12 +8,12 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnout.functions.hashing import hash31, uniform
-from turnout.functions.scalars import logit, sigmoid
+from turnout.functions.hashing import uniform
 from turnout.operators import history as H
+from turnout.operators.draws import crossings
 from turnout.operators.ordered import running
 from turnout.operators.rates import observed_rates
-from turnout.operators.simulate import SEED, _draw, count_entries, expand, expected, show_normal, spread_draws
+from turnout.operators.simulate import SEED, counted, expected, sim_coefficients
 from turnout.session import frozen
 
 # Fixed values of the levers.
@@ -200,101 +200,29 @@ def overbooking(
     n_sim: int = 6000,
     risk: float = RISK,
     max_extra: int = MAX_EXTRA,
-    step: int = 64,
     seed: int = SEED,
 ) -> DataFrame:
     """Extra tickets that keep P(attendance > capacity) within `risk`, for all shows at once.
 
-    Extra ticket j of a show takes the probability of a hashed ticket of the same
-    show and keeps its draws, so adding tickets only adds arrivals. The answer is one
-    less than the first level above the limit. Levels are read one by one in rounds of
-    `step`, then twice as many, and so on; a show leaves with its first crossing.
-    `capped` says that none came up to `max_extra`, which is then the answer.
+    Extra ticket j of a show takes the probability of a hashed ticket of the same show and
+    keeps its draw, so adding tickets only adds arrivals. The answer is one less than the
+    first level above the limit. A show is one row, with its counts by simulation and the
+    probabilities of its extra tickets; a task reads its levels one by one. `capped` says
+    that no level up to `max_extra`, which is then the answer, is above the limit.
     """
     cap = events.select("event_id", F.coalesce("capacity", F.lit(0)).alias("capacity"))
-    live = expected(tickets).join(cap, "event_id").join(sigmas.select("event_id", "sigma"), "event_id")
+    live = frozen(expected(tickets).join(cap, "event_id").join(sigmas.select("event_id", "sigma"), "event_id"))
     usable = live.filter("capacity > 0")
-    base = count_entries(tickets.join(usable.select("event_id"), "event_id", "left_semi"), sigmas, n_sim, seed)
-    base = frozen(base.join(usable.select("event_id", "capacity", "expected"), "event_id"))
-
-    def risks(tally: DataFrame, *by: str) -> DataFrame:
-        """Share of simulations over capacity after recentring, per show (and level), from rows that stand for `sims`."""
-        mean = tally.groupBy("event_id", *by).agg((F.sum(F.col("cnt") * F.col("sims")) / F.sum("sims")).alias("m"))
-        over = (F.col("cnt") - F.col("m") + F.col("mean_to") > F.col("capacity")).cast("double")
-        return tally.join(mean, ["event_id", *by]).groupBy("event_id", *by).agg((F.sum(over * F.col("sims")) / F.sum("sims")).alias("risk"))
-
-    now = risks(base.withColumn("mean_to", F.col("expected")).withColumn("sims", F.lit(1))).withColumnRenamed("risk", "risk_now")
-    now = frozen(now)
-    open_shows = now.filter(F.col("risk_now") <= risk).select("event_id")
-
-    # probabilities of the extra tickets
+    base = counted(tickets.join(usable.select("event_id"), "event_id", "left_semi"), sigmas, n_sim, seed)
     ranked = running(tickets.select("event_id", "ticket_id", "p"), [F.col("ticket_id")], by=["event_id"], rank="pos")
     extra = (
-        usable.join(open_shows, "event_id")
-        .select("event_id", "n", "sigma", F.explode(F.sequence(F.lit(1), F.lit(max_extra))).alias("j"))
+        usable.select("event_id", "n", F.explode(F.sequence(F.lit(1), F.lit(max_extra))).alias("j"))
         .withColumn("pos", F.floor(uniform(F.lit(seed), F.lit("pick"), F.col("event_id"), F.col("j")) * F.col("n")) + 1)
         .join(ranked.select("event_id", "pos", "p"), ["event_id", "pos"])
-        .select(
-            "event_id", "j", "p", "sigma", logit(F.col("p")).alias("lp"),
-            hash31(F.lit("extra"), F.col("event_id"), F.col("j")).alias("h"),
-            hash31(F.lit("show"), F.col("event_id")).alias("eh"),
-        )
-    )
-
-    def entries(rows: DataFrame, level: str) -> DataFrame:
-        placed = spread_draws(rows)
-        enters = (_draw("t", F.col("h")) < sigmoid(F.col("lp") + F.col("sigma") * show_normal(F.col("eh")))).cast("int")
-        return expand(placed, n_sim, seed).groupBy("event_id", "sim", level).agg(F.sum(enters).alias("d"))
-
-    def cumulated(rows: DataFrame, level: str, start: DataFrame) -> DataFrame:
-        """Counts and expected attendance after each level of a round, which bounds the windows."""
-        upto = Window.partitionBy("event_id", "sim").orderBy(level).rowsBetween(Window.unboundedPreceding, 0)
-        to = Window.partitionBy("event_id").orderBy(level).rowsBetween(Window.unboundedPreceding, 0)
-        mean = rows.groupBy("event_id", level).agg(F.sum("p").alias("dp")).select(
-            "event_id", level, F.sum("dp").over(to).alias("cum_p")
-        )
-        counted = entries(rows, level).withColumn("cum_d", F.sum("d").over(upto)).drop("d")
-        return (
-            counted.join(mean, ["event_id", level])
-            .join(start, ["event_id", "sim"])
-            .select(
-                "event_id", "sim", level, "capacity",
-                (F.col("cnt") + F.col("cum_d")).alias("cnt"),
-                (F.col("expected") + F.col("cum_p")).alias("mean_to"),
-            )
-        )
-
-    extra = frozen(extra)
-    begun = now.filter(F.col("risk_now") <= risk).select("event_id", F.col("risk_now").alias("risk_before"))
-    start = base.join(begun, "event_id").select("event_id", "sim", "capacity", "cnt", "expected")
-    at, low, size = None, 0, step
-    while low < max_extra:
-        high = min(low + size, max_extra)
-        block = extra.filter(F.col("j").between(low + 1, high))
-        # simulations with equal counts are one row; only these rows are written
-        tally = cumulated(block, "j", start).groupBy("event_id", "j", "capacity", "mean_to", "cnt").agg(F.count(F.lit(1)).alias("sims"))
-        read = frozen(risks(frozen(tally), "j"))
-        stop = read.filter(F.col("risk") > risk).groupBy("event_id").agg(F.min("j").alias("stop"))
-        found = (
-            read.join(stop, "event_id").join(begun, "event_id")
-            .groupBy("event_id", "stop")
-            .agg(
-                F.coalesce(F.max(F.when(F.col("j") == F.col("stop") - 1, F.col("risk"))), F.max("risk_before")).alias("risk_at_extra"),
-                F.max(F.when(F.col("j") == F.col("stop"), F.col("risk"))).alias("risk_at_next"),
-            )
-        )
-        at = found if at is None else at.unionByName(found)
-        left = start.join(stop, "event_id", "left_anti")
-        gained = entries(block.withColumn("round", F.lit(high)).join(stop, "event_id", "left_anti"), "round").select("event_id", "sim", "d")
-        sold = block.groupBy("event_id").agg(F.sum("p").alias("dp"))
-        start = frozen(
-            left.join(gained, ["event_id", "sim"]).join(sold, "event_id")
-            .select("event_id", "sim", "capacity", (F.col("cnt") + F.col("d")).alias("cnt"), (F.col("expected") + F.col("dp")).alias("expected"))
-        )
-        begun = read.filter(F.col("j") == high).join(stop, "event_id", "left_anti").select("event_id", F.col("risk").alias("risk_before"))
-        if start.isEmpty():
-            break
-        low, size = high, 2 * size
+        .groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "p"))), lambda x: x["p"]).alias("extra"))
+    )
+    shows = usable.select("event_id", "capacity", "expected", "sigma").join(base, "event_id").join(extra, "event_id")
+    at = frozen(crossings(shows, sim_coefficients(tickets.sparkSession, n_sim, seed), risk))
     facts = tickets.groupBy("event_id").agg(
         F.first("artist_name").alias("artist_name"),
         F.bround(F.avg(F.col("is_courtesy").cast("int")), 3).alias("courtesy_share"),
@@ -304,18 +232,14 @@ def overbooking(
         .when(F.col("stop").isNotNull(), F.col("stop") - 1)
         .otherwise(F.lit(max_extra))
     )
-    return (
-        live.join(facts, "event_id").join(now, "event_id", "left")
-        .join(at, "event_id", "left")
-        .select(
-            "event_id", "artist_name", "capacity", F.col("n").alias("n_tickets"),
-            F.bround("expected", 0).cast("int").alias("expected_attendance"),
-            "courtesy_share", extra_n.cast("int").alias("extra"),
-            F.bround(F.coalesce("risk_now", F.lit(0.0)), 4).alias("risk_now"),
-            F.bround("risk_at_extra", 4).alias("risk_at_extra"),
-            F.bround("risk_at_next", 4).alias("risk_at_next"),
-            (F.col("stop").isNull() & (F.col("capacity") > 0) & (F.col("risk_now") <= risk)).alias("capped"),
-        )
+    return live.join(facts, "event_id").join(at, "event_id", "left").select(
+        "event_id", "artist_name", "capacity", F.col("n").alias("n_tickets"),
+        F.bround("expected", 0).cast("int").alias("expected_attendance"),
+        "courtesy_share", extra_n.cast("int").alias("extra"),
+        F.bround(F.coalesce("risk_now", F.lit(0.0)), 4).alias("risk_now"),
+        F.bround("risk_before", 4).alias("risk_at_extra"),
+        F.bround("risk_at", 4).alias("risk_at_next"),
+        (F.col("stop").isNull() & (F.col("capacity") > 0) & (F.col("risk_now") <= risk)).alias("capped"),
     )
 
 

@@ -19,12 +19,16 @@ Shape of the job
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnout.functions import keys as K
+from turnout.functions.hashing import uniform
+from turnout.operators.draws import hypergeometric
 from turnout.session import frozen, spread_small
 
 
@@ -496,38 +500,36 @@ def key_quality(sales: DataFrame, users: DataFrame) -> DataFrame:
 def permutation_gap(linked: DataFrame, label: str, rate: str, reps: int, seed: int, low: float, high: float) -> DataFrame:
     """Permutation test of the history signal: attendance gap between high and low rates.
 
-    Each replicate pairs the labels with the rates of another row: both sides are
-    ranked once, the label side under a per-replicate hash order. One row per
-    replicate, replicate 0 being the observed pairing.
+    Dealing the labels anew changes the gap only through how many of the positive ones fall
+    to the rows with high and with low rates. So a replicate is two hypergeometric numbers,
+    each by one uniform draw, and after one aggregation nothing depends on the number of
+    rows. One row per replicate, replicate 0 being the observed pairing; the gap is null
+    where one of the sides has no rows.
     """
-    from turnout.functions.hashing import coefficients, hash31, poly_uniform
-    from turnout.operators.ordered import running
-
-    base = linked.filter(F.col(rate).isNotNull() & F.col(label).isNotNull()).select(
-        "ticket_id", F.col(rate).alias("r"), F.col(label).cast("int").alias("y")
-    )
-    spark = linked.sparkSession
-    rep = spark.range(1, reps + 1).select(
-        F.col("id").alias("rep"), *[c.alias(f"c{i}") for i, c in enumerate(coefficients(F.lit(seed), F.col("id")))]
-    )
-    # hash order of the tickets in each replicate; ranks within a replicate are distributed
-    spread = base.select(
-        "ticket_id", "y", hash31(F.col("ticket_id")).alias("h"),
-        F.explode(F.sequence(F.lit(1), F.lit(reps)).cast("array<bigint>")).alias("rep"),
-    ).join(F.broadcast(rep), "rep")  # `reps` rows, a fixed number
-    shuffled = spread.select(
-        "rep", "ticket_id", "y", poly_uniform([F.col(f"c{i}") for i in range(4)], F.col("h")).alias("u")
-    )
-    by_hash = running(shuffled, [F.col("u"), F.col("ticket_id")], by=["rep"], rank="k")
-    fixed = running(base.select("ticket_id", "r"), [F.col("ticket_id")], rank="k")
-    paired = by_hash.select("rep", "k", "y").join(fixed.select("k", "r"), "k")
-    observed = base.select(F.lit(0).cast("bigint").alias("rep"), "y", "r")
-    every = paired.select("rep", "y", "r").unionByName(observed)
-    return every.groupBy("rep").agg(
-        F.round(
-            F.avg(F.when(F.col("r") > high, F.col("y"))) - F.avg(F.when(F.col("r") <= low, F.col("y"))), 9
-        ).alias("gap")
-    )
+    base = linked.filter(F.col(rate).isNotNull() & F.col(label).isNotNull()).select(F.col(rate).alias("r"), F.col(label).cast("int").alias("y"))
+    is_high, is_low = F.col("r") > high, F.col("r") <= low
+    sums = frozen(base.agg(
+        F.count(F.lit(1)).alias("total"), F.coalesce(F.sum("y"), F.lit(0)).alias("good"), F.count_if(is_high).alias("n_high"), F.count_if(is_low).alias("n_low"),
+        F.count_if(is_high & (F.col("y") == 1)).alias("x_high"), F.count_if(is_low & (F.col("y") == 1)).alias("x_low"),
+    ))
+    known = ["total", "good", "n_high", "n_low", "x_high", "x_low"]
+    drawn = linked.sparkSession.range(reps + 1).select(
+        F.col("id").alias("rep"), uniform(F.lit(seed), F.lit("high"), F.col("id")).alias("u"), uniform(F.lit(seed), F.lit("low"), F.col("id")).alias("v"),
+        *[sums.select(c).scalar().alias(c) for c in known],
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rep, u, v, total, good, n_high, n_low, x_high, x_low = (c.to_numpy() for c in b.columns)
+            a = hypergeometric(u, total, good, n_high)
+            z = hypergeometric(v, total - n_high, good - a, n_low)
+            first = rep == 0
+            a[first], z[first] = x_high[first], x_low[first]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(a), pa.array(z), b.column(5), b.column(6)], ["rep", "a", "z", "n_high", "n_low"])
+
+    counts = drawn.mapInArrow(run, "rep long, a long, z long, n_high long, n_low long")
+    rate_of = lambda x, n: F.when(F.col(n) > 0, F.col(x) / F.col(n))
+    return counts.select("rep", F.round(rate_of("a", "n_high") - rate_of("z", "n_low"), 9).alias("gap"))
 
 
 def permutation_p(gaps: DataFrame) -> DataFrame:

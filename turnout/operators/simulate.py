@@ -1,22 +1,24 @@
 """Attendance by simulation: show shock, group shock and the luck of the door.
 
-Draws come from `functions.hashing`: a ticket keeps its draw in every run, whatever
-the partitioning. Counts are combined per (show, simulation) before any shuffle.
+Draws come from `functions.hashing` and depend on keys only, whatever the partitioning.
+Tickets of a show with one probability are drawn together, as a binomial count (`draws`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnout.functions.hashing import coefficients, hash31, normal, poly_uniform
+from turnout.functions.hashing import coefficients, hash31
 from turnout.functions.scalars import band, clip, logit, sigmoid
+from turnout.operators import draws
 from turnout.operators.ordered import quantiles
 from turnout.operators.rates import MIX_BANDS
-from turnout.session import compute_partitions
+from turnout.session import compute_partitions, frozen
 
 SEED = 20260801
-SALTS = 16  # tasks that may share one hot show
 
 
 def sim_coefficients(spark, n_sim: int, seed: int = SEED) -> DataFrame:
@@ -28,28 +30,9 @@ def sim_coefficients(spark, n_sim: int, seed: int = SEED) -> DataFrame:
     return spark.range(n_sim).select(F.col("id").alias("sim"), *cols)
 
 
-def _draw(stream: str, h: Column) -> Column:
-    return poly_uniform([F.col(f"{stream}{i}") for i in range(4)], h)
-
-
-def show_normal(event_hash: Column) -> Column:
-    return normal(_draw("s", event_hash), _draw("v", event_hash))
-
-
-def group_normal(group_hash: Column) -> Column:
-    return normal(_draw("g", group_hash), _draw("w", group_hash))
-
-
-def expand(tickets: DataFrame, n_sim: int, seed: int = SEED) -> DataFrame:
-    """Every row once per simulation, with the simulation's coefficients."""
-    sims = sim_coefficients(tickets.sparkSession, n_sim, seed)
-    spread = tickets.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sim - 1)).cast("array<bigint>")))
-    return spread.join(F.broadcast(sims), "sim")  # n_sim rows, a fixed number
-
-
-def spread_draws(rows: DataFrame) -> DataFrame:
-    n = compute_partitions(rows.sparkSession)
-    return rows.repartition(n, F.col("event_id"), F.col("h") % SALTS)
+def counted(tickets: DataFrame, sigmas: DataFrame, n_sim: int, seed: int = SEED, sigma_group: float = 0.0) -> DataFrame:
+    """(event_id, counts): raw simulated counts of a show as one array, by simulation."""
+    return draws.drawn(tickets, sigmas, sim_coefficients(tickets.sparkSession, n_sim, seed), sigma_group)
 
 
 def count_entries(tickets: DataFrame, sigmas: DataFrame, n_sim: int, seed: int = SEED,
@@ -58,19 +41,8 @@ def count_entries(tickets: DataFrame, sigmas: DataFrame, n_sim: int, seed: int =
 
     `tickets` has event_id, ticket_id, sale_id, p; `sigmas` has event_id, sigma.
     """
-    keyed = tickets.select(
-        "event_id",
-        logit(F.col("p")).alias("lp"),
-        hash31(F.col("ticket_id")).alias("h"),
-        hash31(F.lit("sale"), F.col("event_id"), F.col("sale_id")).alias("gh"),
-    ).join(sigmas.select("event_id", "sigma", hash31(F.lit("show"), F.col("event_id")).alias("eh")), "event_id")
-    # few shows per task, so partial counts combine well; a hot show spans SALTS tasks
-    placed = spread_draws(keyed)
-    z = F.col("lp") + F.col("sigma") * show_normal(F.col("eh"))
-    if sigma_group > 0:
-        z = z + F.lit(float(sigma_group)) * group_normal(F.col("gh"))
-    enters = (_draw("t", F.col("h")) < sigmoid(z)).cast("int")
-    return expand(placed, n_sim, seed).groupBy("event_id", "sim").agg(F.sum(enters).alias("cnt"))
+    rows = counted(tickets, sigmas, n_sim, seed, sigma_group)
+    return rows.select("event_id", F.posexplode("counts").alias("sim", "cnt")).select("event_id", F.col("sim").cast("bigint").alias("sim"), F.col("cnt").cast("bigint").alias("cnt"))
 
 
 def expected(tickets: DataFrame) -> DataFrame:
@@ -80,26 +52,23 @@ def expected(tickets: DataFrame) -> DataFrame:
 def simulate(tickets: DataFrame, sigmas: DataFrame, n_sim: int, seed: int = SEED,
              sigma_group: float = 0.0) -> DataFrame:
     """Simulated attendance recentred on the sum of probabilities: (event_id, sim, attendance)."""
-    counts = count_entries(tickets, sigmas, n_sim, seed, sigma_group)
-    means = counts.groupBy("event_id").agg(F.avg("cnt").alias("mean_cnt"))
-    shift = expected(tickets).join(means, "event_id").select(
-        "event_id", (F.col("expected") - F.col("mean_cnt")).alias("shift")
-    )
-    return counts.join(shift, "event_id").select(
-        "event_id", "sim", "cnt", (F.col("cnt") + F.col("shift")).alias("attendance")
-    )
+    rows = counted(tickets, sigmas, n_sim, seed, sigma_group).join(expected(tickets), "event_id")
+    mean = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x) / F.lit(n_sim)
+    shifted = rows.select("event_id", (F.col("expected") - mean).alias("shift"), F.posexplode("counts").alias("sim", "cnt"))
+    return shifted.select("event_id", F.col("sim").cast("bigint").alias("sim"), F.col("cnt").cast("bigint").alias("cnt"), (F.col("cnt") + F.col("shift")).alias("attendance"))
 
 
 def intervals(tickets: DataFrame, sigmas: DataFrame, n_sim: int, seed: int = SEED,
               sigma_group: float = 0.0, lo: float = 0.1, hi: float = 0.9) -> DataFrame:
     """(event_id, expected, p10, p90). Recentring moves quantiles by a constant per show."""
-    counts = count_entries(tickets, sigmas, n_sim, seed, sigma_group)
-    q = counts.groupBy("event_id").agg(
-        F.percentile("cnt", F.array(F.lit(lo), F.lit(hi))).alias("q"), F.avg("cnt").alias("mean_cnt")
+    counts = counted(tickets, sigmas, n_sim, seed, sigma_group)
+    mean = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x) / F.lit(n_sim)
+    q = counts.select("event_id", mean.alias("mean_cnt"), F.sort_array("counts").alias("s")).select(
+        "event_id", "mean_cnt", draws.quantile(F.col("s"), lo, n_sim).alias("q_lo"), draws.quantile(F.col("s"), hi, n_sim).alias("q_hi")
     )
     shift = F.col("expected") - F.col("mean_cnt")
     return q.join(expected(tickets), "event_id").select(
-        "event_id", "n", "expected", (F.col("q")[0] + shift).alias("p10"), (F.col("q")[1] + shift).alias("p90")
+        "event_id", "n", "expected", (F.col("q_lo") + shift).alias("p10"), (F.col("q_hi") + shift).alias("p90")
     )
 
 
@@ -181,13 +150,24 @@ def zero_show_rate(tickets: DataFrame) -> DataFrame:
     )
 
 
-def group_shock(tickets: DataFrame, grid: list[float] | None = None, n_sim: int = 400,
-                seed: int = SEED) -> DataFrame:
+#: Nodes of the integral over a standard normal: steps of NODE_STEP up to NODE_END both ways. The
+#: rule's error falls as exp(-2 * pi**2 / (sigma * step)), below 1e-10 for a shock of 3.
+NODE_STEP, NODE_END = 0.25, 8.5
+
+
+def normal_nodes(step: float = NODE_STEP, end: float = NODE_END) -> list[tuple[float, float]]:
+    """(z, weight) of an integral over the standard normal density; the weights sum to one."""
+    zs = [i * step for i in range(-int(end / step), int(end / step) + 1)]
+    density = [math.exp(-z * z / 2) for z in zs]
+    return [(z, d / sum(density)) for z, d in zip(zs, density, strict=True)]
+
+
+def group_shock(tickets: DataFrame, grid: list[float] | None = None) -> DataFrame:
     """Group-shock grid: (sigma, zero_rate, gap), smallest gap first.
 
-    The chance that a sale stays away depends only on the multiset of its
-    probabilities, so equal multisets are simulated once and weighted. Given the
-    shock the chance is a product, which needs no further draws.
+    The chance that a sale stays away is, given its shock, a product over its tickets, so
+    without it an integral over one normal variable, which is summed at fixed nodes. It
+    depends only on the multiset of probabilities: equal multisets are one class.
     """
     grid = grid or [i * 0.25 for i in range(13)]
     prints = tickets.groupBy("sale_id").agg(
@@ -196,31 +176,29 @@ def group_shock(tickets: DataFrame, grid: list[float] | None = None, n_sim: int
         F.sum(hash31(F.lit("b"), F.col("p"))).alias("f2"),
         F.max(F.col("y").cast("int")).alias("any_in"),
     ).filter("n >= 2")
-    classes = prints.groupBy("n", "f1", "f2").agg(
-        F.min("sale_id").alias("sale_id"), F.count(F.lit(1)).alias("weight")
-    )
-    observed = prints.agg(F.avg((F.col("any_in") == 0).cast("double"))).scalar()
+    classes = frozen(prints.groupBy("n", "f1", "f2").agg(
+        F.min("sale_id").alias("sale_id"), F.count(F.lit(1)).alias("weight"), F.count_if(F.col("any_in") == 0).alias("away")
+    ))
     members = tickets.join(classes.select("sale_id"), "sale_id", "left_semi").groupBy("sale_id", "p").agg(
         F.count(F.lit(1)).alias("k")
     )
-    # placed by sale once: the products per (sale, simulation) need no further shuffle
-    keyed = members.select(
-        "sale_id", "k", logit(F.col("p")).alias("lp"), hash31(F.lit("group"), F.col("sale_id")).alias("gh")
-    ).repartition(compute_partitions(tickets.sparkSession), "sale_id")
-    sims = expand(keyed, n_sim, seed).select("sale_id", "sim", "k", "lp", group_normal(F.col("gh")).alias("z"))
-    # the whole grid side by side, so a draw is made once
+    # placed by sale once: the products per (sale, node) need no further shuffle
+    keyed = members.select("sale_id", "k", logit(F.col("p")).alias("lp")).repartition(compute_partitions(tickets.sparkSession), "sale_id")
+    nodes = F.array(*[F.struct(F.lit(z).alias("z"), F.lit(w).alias("w")) for z, w in normal_nodes()])
+    spread = keyed.select("sale_id", "k", "lp", F.explode(nodes).alias("node")).select("sale_id", "k", "lp", "node.z", "node.w")
     stay = [
-        F.exp(F.sum(F.col("k") * F.log1p(-sigmoid(F.col("lp") + F.lit(float(s)) * F.col("z"))))).alias(f"g{i}")
-        for i, s in enumerate(grid)
+        F.exp(F.sum(F.col("k") * F.log1p(-sigmoid(F.col("lp") + F.lit(float(s)) * F.col("z"))))).alias(f"g{i}") for i, s in enumerate(grid)
     ]
-    per_sim = sims.groupBy("sale_id", "sim").agg(*stay)
-    per_sale = per_sim.groupBy("sale_id").agg(*[F.avg(f"g{i}").alias(f"g{i}") for i in range(len(grid))])
-    weighted = per_sale.join(classes.select("sale_id", "weight"), "sale_id").agg(
-        *[(F.sum(F.col(f"g{i}") * F.col("weight")) / F.sum("weight")).alias(f"g{i}") for i in range(len(grid))]
+    per_node = spread.groupBy("sale_id", "z", "w").agg(*stay)
+    per_sale = per_node.groupBy("sale_id").agg(*[F.sum(F.col(f"g{i}") * F.col("w")).alias(f"g{i}") for i in range(len(grid))])
+    weighted = per_sale.join(classes.select("sale_id", "weight", "away"), "sale_id").agg(
+        *[(F.sum(F.col(f"g{i}") * F.col("weight")) / F.sum("weight")).alias(f"g{i}") for i in range(len(grid))],
+        (F.sum("away") / F.sum("weight")).alias("observed"),
     )
     pairs = F.array(*[F.struct(F.lit(float(s)).alias("sigma"), F.col(f"g{i}").alias("zero_rate")) for i, s in enumerate(grid)])
-    rates = weighted.select(F.explode(pairs).alias("r")).select("r.*").filter(F.col("zero_rate").isNotNull())
-    return rates.withColumn("gap", F.abs(F.col("zero_rate") - observed)).orderBy(F.round("gap", 12), "sigma")
+    rates = weighted.select("observed", F.explode(pairs).alias("r")).select("r.*", "observed").filter(F.col("zero_rate").isNotNull())
+    gap = F.abs(F.col("zero_rate") - F.col("observed"))
+    return rates.select("sigma", "zero_rate", gap.alias("gap")).orderBy(F.round("gap", 12), "sigma")
 
 
 def chosen_group_sigma(tickets: DataFrame, **kw) -> float:

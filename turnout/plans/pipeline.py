@@ -37,7 +37,6 @@ class Settings:
     n_sim: int = 20000
     n_sim_back_test: int = 4000
     n_sim_overbooking: int = 6000
-    n_sim_group: int = 400
     max_extra: int = 4000
     seed: int = 20260801
 
@@ -70,7 +69,7 @@ def run_season(t: Tables, s: Settings, check_keys: bool = True) -> Season:
     tested = frozen(simulate.back_test(held_out, shock, s.n_sim_back_test, s.seed))
     model = models.SegmentedLogistic().fit(past)
     scored_past = model.predict(past)
-    sigma_group = simulate.chosen_group_sigma(scored_past, n_sim=s.n_sim_group, seed=s.seed)
+    sigma_group = simulate.chosen_group_sigma(scored_past)
 
     scored = frozen(model.predict(future))
     sigmas = frozen(simulate.show_sigmas(scored, shock))
