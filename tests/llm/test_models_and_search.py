@@ -186,11 +186,26 @@ def test_search(spark, monkeypatch):
 
 def test_estimates_are_unbiased_and_bounded():
     x = np.random.default_rng(3).standard_normal((4000, 96))
-    middle, error = B.estimates(x[0], *B.encode(x))
-    off = middle - x @ x[0]
+    middle, error = B.estimates(x[:5], *B.encode(x))
+    off = middle - x[:5] @ x.T
     assert abs(off.mean()) < 0.05 * off.std() + 0.05 and (np.abs(off) <= error).mean() > 0.99
 
 
+def test_few_rows_are_reranked_and_recall_is_kept():
+    x = np.random.default_rng(5).standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    best = B.Nearest(np.arange(40), x[:40], 20)
+    for lo in range(0, len(x), B.BLOCK):
+        ids = np.arange(lo, min(lo + B.BLOCK, len(x)))
+        best.add(ids, x[ids], B.encode(x[ids]))
+    hit = 0
+    for a, (ids, _) in enumerate(best.found):
+        exact = x @ x[a]
+        exact[a] = -9
+        hit += len(set(np.argsort(-exact)[:20].tolist()) & set(ids.tolist()))
+    assert hit >= 0.995 * 800 and best.reranked < 0.1 * best.met
+
+
 # ------------------------------------------------------------------------ pages
 SHELL = (
     "<html><head><title>{t}</title><style>p{{}}</style></head><body><nav><ul><li><a href=/a>{n}</a><li><a href=/b>More</a></ul></nav>"
