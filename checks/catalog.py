@@ -983,13 +983,13 @@ def m2_scores(spark, d):
 @query("m3_scores")
 def m3_scores(spark, d):
     dev, test = _dev_test(Inputs.of(spark, d))
-    return M.BoostedTrees(max_iter=40).fit(dev).predict(test).select("ticket_id", "event_id", "y", "p")
+    return M.BoostedTrees().fit(dev).predict(test).select("ticket_id", "event_id", "y", "p")
 
 
 @query("m4_scores")
 def m4_scores(spark, d):
     dev, test = _dev_test(Inputs.of(spark, d))
-    return M.Forest(num_trees=80).fit(dev).predict(test).select("ticket_id", "event_id", "y", "p")
+    return M.Forest().fit(dev).predict(test).select("ticket_id", "event_id", "y", "p")
 
 
 @query("loo_residuals")
@@ -997,7 +997,7 @@ def loo_residuals(spark, d):
     return S.event_residuals(Inputs.of(spark, d).m1_held_out)
 
 
-CV_MODELS = [R.AllEnter, R.GlobalRate, R.TypeRate, R.TypeArtistRate, M.SegmentedLogistic, M.InteractionLogistic]
+CV_MODELS = X.ALL_MODELS
 
 _CLIP = "least(0.999999::double, greatest(0.000001::double, {}))"
 _HELD = dict(
@@ -1039,4 +1039,4 @@ def experiment(spark, d):
     """Protocol: cross-validate, compare with the best baseline, refit, test once."""
     i = Inputs.of(spark, d)
     dev, test = _dev_test(i)
-    return X.run(dev, test, oof=_oof(i), reps=1000)
+    return X.run(dev, test, oof=_oof(i), reps=_REPS)

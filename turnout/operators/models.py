@@ -6,25 +6,25 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnout.operators.ordered import quantiles
+from turnout.operators import trees as T
+from turnout.operators.ordered import quantiles, running
 from turnout.operators.rates import Baseline
+from turnout.operators.side_by_side import fit as fit_side_by_side
 from turnout.operators.splits import event_folds
-from turnout.session import frozen
+from turnout.session import frozen, lookup
 
 # Penalties of the segmented model.
 L2_BASE = 1e-3
 L2_ARTIST = 12.0
 SEED = 20260801
 PARALLEL_FITS = 8
-ROWS_PER_FIT_TASK = 200_000
 
 CHANNELS = [("ch_box", "BOX_OFFICE"), ("ch_admin", "ADMIN"), ("ch_rrpp", "RRPP")]
 COURTESY_DESIGN = ["linked_f", "has_rate", "rate_c", "log_n", "member", "city_f", "last_day"] + [c for c, _ in CHANNELS]
@@ -187,47 +187,29 @@ class SegmentedLogistic(Baseline):
 def held_out_scores(df: DataFrame, groups: DataFrame) -> DataFrame:
     """Score every labelled ticket with a segmented model that never saw its group.
 
-    `groups` maps event_id to `fold`; one fold per show is leave-one-show-out. The
-    design cells are built once; each fit reads that small table.
+    `groups` maps event_id to `fold`; one fold per show is leave-one-show-out. The design
+    cells are built once; all folds are fitted side by side, and their weights, which stay
+    rows, meet the tickets in one join on the fold.
     """
     lab = df.filter(F.col("y").isNotNull()).join(groups, "event_id")
-    names = [r["fold"] for r in groups.select("fold").distinct().orderBy("fold").collect()]
-    fold_type = dict(groups.dtypes)["fold"]
-    spark = df.sparkSession
-    out = None
-    for segment, cols in SEGMENTS.items():
-        cells = frozen(design_cells(lab, segment, "fold"))
-        encoder, labels, scale = _encoder(cells, cols)
-        sizes = cells.groupBy("fold").agg(
-            F.sum(F.col("pos") + F.col("neg")).alias("t"), F.count(F.lit(1)).alias("n")
-        ).collect()
-        totals = {r["fold"]: r["t"] for r in sizes}
-        grand = sum(totals.values())
-        rows = encoder.transform(_keyed(_weighted_rows(cells))).select("fold", "features", "label", "weight")
-        # the solver runs one short job per iteration: few partitions while the table is small
-        rows = rows.coalesce(1 + sum(r["n"] for r in sizes) // ROWS_PER_FIT_TASK).persist()
-
-        def one(fold):
-            return fold, _solve(rows.filter(F.col("fold") != fold), grand - totals.get(fold, 0.0))
-
-        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-            fitted = list(pool.map(one, names))
-        rows.unpersist()
-        # all folds scored in one join on the fold: coefficients travel as rows
-        k = len(cols)
-        coeff = spark.createDataFrame(
-            [(f, float(m.intercept), [float(x) for x in m.coefficients.toArray()[:k]],
-              [float(x * scale) for x in m.coefficients.toArray()[k:]]) for f, m in fitted],
-            f"fold {fold_type}, b0 double, b array<double>, b_artist array<double>",
-        )
-        x = encoder.stages[0].transform(_keyed(design(lab, segment))).join(coeff, "fold")
-        z = F.col("b0")
+    folds = frozen(groups.select("fold").distinct())
+    artists = frozen(running(lab.select("artist_id").distinct(), [F.col("artist_id")], rank="ix").select("artist_id", (F.col("ix") - 1).cast("int").alias("artist")))
+    n_artists = artists.count()
+
+    def one(segment: str) -> DataFrame:
+        cols = SEGMENTS[segment]
+        cells = frozen(design_cells(lab, segment, "fold").join(lookup(artists), "artist_id").drop("artist_id"))
+        weights = fit_side_by_side(cells, folds, cols, n_artists, L2_BASE, L2_ARTIST)
+        x = design(lab, segment).join(lookup(artists), "artist_id").join(weights, "fold")
+        z = F.col("w")[0]
         for i, c in enumerate(cols):
-            z = z + F.col("b")[i] * F.col(c)
-        z = z + F.coalesce(F.get("b_artist", F.col("artist_ix").cast("int")), F.lit(0.0))
-        one_seg = x.withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).select(*lab.columns, "p")
-        out = one_seg if out is None else out.unionByName(one_seg)
-    return out
+            z = z + F.col("w")[i + 1] * F.col(c)
+        z = z + F.get("w", F.col("artist") + (1 + len(cols)))
+        return x.withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).select(*lab.columns, "p")
+
+    with ThreadPoolExecutor(2) as pool:
+        courtesy, paid = pool.map(one, SEGMENTS)
+    return courtesy.unionByName(paid)
 
 
 def leave_show_out(df: DataFrame, folds: int | None = None) -> DataFrame:
@@ -336,70 +318,48 @@ class InteractionLogistic(Baseline):
 class CalibratedTrees(Baseline):
     """Tree ensemble with isotonic calibration on show-grouped folds.
 
-    Each of the folds calibrates the ensemble fitted on the others; a prediction is
-    the average of the calibrated probabilities.
+    Each of the folds calibrates the ensemble fitted on the others; a prediction is the
+    average of the calibrated probabilities. A fit takes at most T.SAMPLE labelled rows.
     """
 
     folds = 4
+    kind = ""
 
-    def estimator(self):
-        raise NotImplementedError
+    def __init__(self, size: int):
+        self.size = size
 
-    def fit(self, train):
-        self.prep = _Prepared(train, scale=False)
-        x = frozen(
-            self.prep.features(train)
-            .join(event_folds(train, self.folds), "event_id")
-            .select("fold", "features", F.col("y").cast("double").alias("label"))
-        )
-
-        def one(fold):
-            trees = self.estimator().fit(x.filter(F.col("fold") != fold))
-            held = trees.transform(x.filter(F.col("fold") == fold)).select(
-                "label", vector_to_array("probability")[1].alias("raw")
-            )
-            return trees, IsotonicRegression(featuresCol="raw", labelCol="label").fit(held)
+    def rows(self, train: DataFrame, job: int = 0) -> DataFrame:
+        """What a fit reads: a bounded part of `train`, with calibration folds that keep shows whole."""
+        lab = train.filter(F.col("y").isNotNull())
+        n = lab.count()
+        if n > T.SAMPLE:
+            lab = lab.filter(F.pmod(F.xxhash64(F.lit("sample"), "ticket_id"), F.lit(1_000_000)) < int(1_000_000 * T.SAMPLE / n))
+        return interactions(lab).join(event_folds(lab, self.folds), "event_id").select(F.lit(job).alias("job"), "fold", "y", *TREE_NUMBERS, *CATEGORICAL)
 
-        with ThreadPoolExecutor(self.folds) as pool:
-            self.fitted = list(pool.map(one, range(1, self.folds + 1)))
+    def fit(self, train):
+        made = T.train(self.rows(train), TREE_NUMBERS, CATEGORICAL, self.kind, self.size, self.folds)
+        self.models = [r["model"] for r in made.orderBy("fit").collect()]  # one row for each calibration fold
         return self
 
     def predict(self, df):
-        x = self.prep.features(df)
-        keep = x.columns
-        total = None
-        for i, (trees, iso) in enumerate(self.fitted):
-            scored = trees.transform(x).withColumn("raw", vector_to_array("probability")[1])
-            x = iso.transform(scored.select(*keep, "raw")).withColumnRenamed("prediction", f"cal{i}").drop("raw")
-            keep = x.columns
-            total = F.col(f"cal{i}") if total is None else total + F.col(f"cal{i}")
-        return x.withColumn("p", total / F.lit(float(self.folds))).select(*df.columns, "p")
+        return T.predict(interactions(df), df.columns, TREE_NUMBERS, CATEGORICAL, self.models)
+
+
+TREE_NUMBERS = NUMERIC + BOOLEAN + DERIVED
 
 
 class BoostedTrees(CalibratedTrees):
-    name = "M3"
+    name, kind = "M3", "boosted"
 
     def __init__(self, max_iter: int = 300):
-        self.max_iter = max_iter
-
-    def estimator(self):
-        return GBTClassifier(
-            labelCol="label", maxIter=self.max_iter, stepSize=0.06, maxDepth=4, minInstancesPerNode=40,
-            maxBins=64, seed=SEED, checkpointInterval=20,
-        )
+        super().__init__(max_iter)
 
 
 class Forest(CalibratedTrees):
-    name = "M4"
+    name, kind = "M4", "forest"
 
     def __init__(self, num_trees: int = 400):
-        self.num_trees = num_trees
-
-    def estimator(self):
-        return RandomForestClassifier(
-            labelCol="label", numTrees=self.num_trees, minInstancesPerNode=20, maxDepth=12,
-            featureSubsetStrategy="sqrt", maxBins=64, seed=SEED, maxMemoryInMB=1024,
-        )
+        super().__init__(num_trees)
 
 
 def out_of_fold(models, df: DataFrame, k: int = 5) -> DataFrame:
