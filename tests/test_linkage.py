@@ -128,3 +128,45 @@ def test_propagation(spark):
                                   "user_id long, email string, phone string, first_name string, last_name string")
     got = {r["sale_id"]: (r["user_id"], r["confidence"], r["via"]) for r in L.link(sales, users).collect()}
     assert got == {1: (5, 1.0, "directo"), 2: (5, 0.85, "propagado"), 3: (None, 0.0, "")}
+
+
+def best_of(pairs):
+    n = K.name_similarity(F.col("s_names"), F.col("u_names"))
+    rows = pairs.withColumn("x", F.struct(F.round(n, 9).alias("n"), "uid")).groupBy("s_key", F.col("s_names").cast("string").alias("name")).agg(F.max("x").alias("x"))
+    return {(r["s_key"], r["name"]): (r["x"]["n"], r["x"]["uid"]) for r in rows.collect()}
+
+
+def named(spark, rows, prefix):
+    """(key, tokens[, uid]) rows; a name is a sorted set of tokens."""
+    kind = f"{prefix}_key string, {prefix}_names array<string>" + (", uid long" if prefix == "u" else "")
+    return spark.createDataFrame([(k, sorted(set(t)), *rest) for k, t, *rest in rows], kind)
+
+
+def test_names_of_a_hot_core_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    words = ["maria", "mario", "marta", "ana", "garcia", "garzia", "lopez", "m", "g", "ruiz", "ruis"] + ["".join(rng.choices("abcdef", k=5)) for _ in range(60)]
+    name = lambda: rng.choices(words, weights=[30] * 5 + [8] * 6 + [1] * 60, k=rng.randrange(0, 5))
+    sales = named(spark, {("hot", tuple(sorted(set(name())))) for _ in range(300)}, "s")
+    users = named(spark, [("hot", n, i) for i, n in enumerate({tuple(sorted(set(name()))) for _ in range(300)})], "u")
+    meets = spark.createDataFrame([("hot", "hot", 0.25)], "s_key string, u_key string, e double")
+    want = best_of(sales.join(meets, "s_key").join(users, "u_key"))
+    for hot in (3, 20, 1000):
+        assert best_of(L.name_pairs(sales, users, meets, L.LinkConfig(hot_block=hot))) == want, hot
+
+
+def test_names_of_a_core_of_ten_thousand_are_not_multiplied(spark):
+    n = 10_000
+    word = lambda kind, i: kind + "".join(chr(97 + (i // 26**k) % 26) * 3 for k in range(3))
+    sales = named(spark, [("maria", ["maria", word("qq", i) if i % 2 else word("ww", i)]) for i in range(n)], "s")
+    users = named(spark, [("maria", ["maria", word("ww", i)], i) for i in range(n)], "u")
+    meets = spark.createDataFrame([("maria", "maria", 0.25)], "s_key string, u_key string, e double")
+    pairs = L.name_pairs(sales, users, meets, L.LinkConfig()).persist()
+    assert pairs.count() < 40 * n
+    got = best_of(pairs)
+    assert len(got) == n
+    for i in range(0, n, 37):
+        tokens = sorted(["maria", word("qq", i) if i % 2 else word("ww", i)])
+        assert got["maria", "[" + ", ".join(tokens) + "]"] == ((0.5, n - 1) if i % 2 else (1.0, i)), i
+    pairs.unpersist()

@@ -14,7 +14,8 @@ Shape of the job
   name evidence and reach at most the weight of one key, which neither accepts a
   match nor comes within the margin of an accepted one.
 * Evidence too weak to accept or to block (same core, same shared mailbox) is
-  computed per (core, name) or (mailbox, name) group, never per pair of members.
+  computed per (core, name) or (mailbox, name) group, never per pair of members; in a
+  hot core or mailbox names meet under what they share (`name_pairs`).
 """
 
 from __future__ import annotations
@@ -317,33 +318,83 @@ def scored_strong(pairs: DataFrame, cfg: LinkConfig) -> DataFrame:
     return ev.withColumn("score", score(c("e"), c("p"), c("n"), cfg))
 
 
+def name_pairs(sales: DataFrame, users: DataFrame, meets: DataFrame, cfg: LinkConfig) -> DataFrame:
+    """Pairs of names among which the best of every (s_key, s_names) is: s_key, s_names, e, u_names, uid.
+
+    `sales` has s_key, s_names; `users` has u_key, u_names, uid; `meets` says which keys meet, with
+    their evidence e. A key of few users is joined whole. Below a hot one a pair's
+    similarity depends on the tokens of the two names that match, and on their numbers:
+
+    * pairs that match in nothing score alike, so the user with the largest id stands for all;
+    * others meet under a token, one an edit away or an initial. Where that is hot in turn,
+      one user for each number of tokens stands for those that match in nothing else, and
+      those that match in two hot tokens meet under both.
+
+    So what is joined grows with the names of a key, not with their product.
+    """
+    sides = sales.join(meets, "s_key")
+    sizes = users.groupBy("u_key").agg(F.count(F.lit(1)).alias("n"))
+    hot = sizes.filter(F.col("n") > cfg.hot_block).select("u_key")
+    whole = sides.join(users.join(hot, "u_key", "left_anti"), "u_key")
+    hot_users, hot_sides = users.join(hot, "u_key", "left_semi"), sides.join(hot, "u_key", "left_semi")
+    largest = F.max(F.struct("uid", "u_names")).alias("one")
+    alone = hot_sides.join(hot_users.groupBy("u_key").agg(largest), "u_key").select("s_key", "s_names", "e", "one.*")
+
+    u_sub = hot_users.withColumn("k", F.explode(K.name_block_keys(F.col("u_names"), "user"))).select("u_key", "u_names", "uid", "k.sub", "k.tok")
+    s_sub = hot_sides.withColumn("k", F.explode(K.name_block_keys(F.col("s_names"), "sale"))).select("s_key", "s_names", "u_key", "e", "k.sub", "k.tok")
+    busy = u_sub.groupBy("u_key", "sub").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cfg.hot_block).select("u_key", "sub")
+    under = s_sub.drop("tok").join(u_sub.join(busy, ["u_key", "sub"], "left_anti").drop("tok"), ["u_key", "sub"])
+
+    busy_u, busy_s = (x.join(busy, ["u_key", "sub"], "left_semi") for x in (u_sub, s_sub))
+    # under a deletion stand several tokens, which match a sale's token in different ways
+    kind = F.when(F.col("sub").startswith("d:"), F.col("tok")).otherwise("")
+    stand = busy_u.groupBy("u_key", "sub", kind.alias("kind"), F.size("u_names").alias("size")).agg(largest)
+    one = busy_s.select("s_key", "s_names", "u_key", "e", "sub").join(stand, ["u_key", "sub"]).select("s_key", "s_names", "e", "one.*")
+
+    def twos(df: DataFrame, owner: list[str], apart: bool) -> DataFrame:
+        """A row for every two busy keys of a name; of a user's they come from different tokens, which one of a sale may match."""
+        subs = df.groupBy(*owner).agg(F.collect_set(F.struct("sub", "tok")).alias("subs"))
+        fits = lambda x, y: (x["sub"] <= y["sub"]) & ((x["tok"] != y["tok"]) if apart else F.lit(True))
+        pairs = F.flatten(F.transform("subs", lambda x: F.transform(F.filter("subs", lambda y: fits(x, y)), lambda y: F.concat_ws("|", x["sub"], y["sub"]))))
+        return subs.select(*owner, F.explode(F.array_distinct(pairs)).alias("two"))
+
+    both = twos(busy_s, ["s_key", "s_names", "u_key", "e"], False).join(twos(busy_u, ["u_key", "u_names", "uid"], True), ["u_key", "two"])
+    cols = ["s_key", "s_names", "e", "u_names", "uid"]
+    out = whole.select(cols)
+    for part in (alone, under, one, both):
+        out = out.unionByName(part.select(cols))
+    return out
+
+
 def weak_best(profiles: DataFrame, users: DataFrame, cfg: LinkConfig) -> DataFrame:
     """Best candidate per buyer among those sharing only a core or a shared mailbox."""
 
-    def pick(pairs: DataFrame, by: list[str], e: Column) -> DataFrame:
-        n = K.name_similarity(F.col("s_names"), F.col("u_names"))
-        scored = pairs.withColumns({"e": e, "n": n}).withColumn(
-            "score", score(F.col("e"), F.lit(0.0), F.col("n"), cfg)
-        )
-        return scored.groupBy(*by).agg(F.max(F.struct("score", "uid", "e", F.lit(0.0).alias("p"), "n")).alias("weak"))
-
-    by_core_u = users.filter(F.col("core") != "").groupBy(F.col("core").alias("u_core"), F.col("names").alias("u_names")).agg(F.max("uid").alias("uid"))
-    by_core_s = profiles.filter(F.col("core") != "").select(F.col("core").alias("s_core"), F.col("names").alias("s_names")).distinct()
-    core_pairs = by_core_s.join(core_neighbours(profiles, users), "s_core").join(by_core_u, "u_core")
-    core_best = pick(
-        core_pairs,
-        ["s_core", "s_names"],
-        F.when(F.col("s_core") == F.col("u_core"), F.lit(cfg.same_core)).otherwise(F.lit(0.0)),
+    def pick(sales: DataFrame, known: DataFrame, meets: DataFrame) -> DataFrame:
+        scored = name_pairs(sales, known, meets, cfg).withColumn("n", K.name_similarity(F.col("s_names"), F.col("u_names")))
+        total = score(F.col("e"), F.lit(0.0), F.col("n"), cfg).alias("score")
+        return scored.groupBy("s_key", "s_names").agg(F.max(F.struct(total, "uid", "e", F.lit(0.0).alias("p"), "n")).alias("weak"))
+
+    def named(df: DataFrame, key: str, prefix: str) -> DataFrame:
+        return df.select(F.col(key).alias(f"{prefix}_key"), F.col("names").alias(f"{prefix}_names"), *(["uid"] if prefix == "u" else []))
+
+    def largest(df: DataFrame) -> DataFrame:
+        return df.groupBy("u_key", "u_names").agg(F.max("uid").alias("uid"))
+
+    with_core = F.col("core") != ""
+    near = core_neighbours(profiles, users).select(
+        F.col("s_core").alias("s_key"), F.col("u_core").alias("u_key"),
+        F.when(F.col("s_core") == F.col("u_core"), F.lit(cfg.same_core)).otherwise(F.lit(0.0)).alias("e"),
     )
+    by_core = pick(named(profiles.filter(with_core), "core", "s").distinct(), largest(named(users.filter(with_core), "core", "u")), near)
 
-    shared = ~F.col("local").rlike("[0-9]") & ~F.col("alone") & (F.col("local") != "")
-    by_box_u = users.filter(shared).groupBy(F.col("local").alias("s_local"), F.col("names").alias("u_names")).agg(F.max("uid").alias("uid"))
-    by_box_s = profiles.filter(~F.col("local").rlike("[0-9]") & (F.col("local") != "")).select(F.col("local").alias("s_local"), F.col("names").alias("s_names")).distinct()
-    box_best = pick(by_box_s.join(by_box_u, "s_local"), ["s_local", "s_names"], F.lit(cfg.same_mailbox_shared))
+    plain = ~F.col("local").rlike("[0-9]") & (F.col("local") != "")
+    boxes = largest(named(users.filter(plain & ~F.col("alone")), "local", "u"))
+    own = boxes.select(F.col("u_key").alias("s_key"), "u_key", F.lit(cfg.same_mailbox_shared).alias("e")).distinct()
+    by_box = pick(named(profiles.filter(plain), "local", "s").distinct(), boxes, own)
 
-    base = profiles.select("pid", F.col("core").alias("s_core"), F.col("local").alias("s_local"), F.col("names").alias("s_names"))
-    a = base.join(core_best, ["s_core", "s_names"]).select("pid", "weak")
-    b = base.join(box_best, ["s_local", "s_names"]).select("pid", "weak")
+    base = lambda key: profiles.select("pid", F.col(key).alias("s_key"), F.col("names").alias("s_names"))
+    a = base("core").join(by_core, ["s_key", "s_names"]).select("pid", "weak")
+    b = base("local").join(by_box, ["s_key", "s_names"]).select("pid", "weak")
     return a.unionByName(b).select("pid", F.col("weak.uid").alias("uid"), F.col("weak.e").alias("e"),
                                    F.col("weak.p").alias("p"), F.col("weak.n").alias("n"), F.col("weak.score").alias("score"))
 
