@@ -21,15 +21,15 @@ import hashlib
 import html
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnout.llm.common import by_bytes, saved
+from turnout.llm.common import by_bytes, frugal, saved
 
 #: Elements by their role in HTML.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label img".split())
@@ -55,7 +55,7 @@ _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _PARTS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-CONSTANT_PAGES = 5  # a host needs so many pages before constants count as template
+CONSTANT_PAGES = 2  # pages with a text make it a constant of the template
 SALTS = 32
 
 
@@ -89,12 +89,33 @@ class Node:
     def __init__(self, label: str, pages: int = 1, many: bool = False, const: str | None = None, kids=None):
         self.label, self.pages, self.many, self.const, self.kids, self.leaves = label, pages, many, const, kids or [], []
 
+    def preorder(self) -> list[Node]:
+        """All nodes, parents before children, siblings in order. No recursion: pages nest as deep as they like."""
+        out, left = [], [self]
+        while left:
+            node = left.pop()
+            out.append(node)
+            left += reversed(node.kids)
+        return out
+
     def plain(self) -> list:
-        return [self.label, self.pages, int(self.many), self.const, [k.plain() for k in self.kids]]
+        """One row for each node in preorder, with its number of children."""
+        return [[x.label, x.pages, int(x.many), x.const, len(x.kids)] for x in self.preorder()]
 
     @staticmethod
-    def of(x: list) -> Node:
-        return Node(x[0], x[1], bool(x[2]), x[3], [Node.of(k) for k in x[4]])
+    def of(rows: list) -> Node:
+        root, open_ = None, []
+        for label, pages, many, const, kids in rows:
+            node = Node(label, pages, bool(many), const)
+            if root is None:
+                root = node
+            else:
+                while not open_[-1][1]:
+                    open_.pop()
+                open_[-1][0].kids.append(node)
+                open_[-1][1] -= 1
+            open_.append([node, kids])
+        return root
 
 
 def parse(page: str) -> tuple[Node, list[Leaf]]:
@@ -104,6 +125,7 @@ def parse(page: str) -> tuple[Node, list[Leaf]]:
     leaves: list[Leaf] = []
     current: list[Leaf | None] = [None]
     links, at = 0, 0
+    opened: dict[str, int] = {}  # elements on the stack by tag, so that nothing is sought in vain
 
     def text(raw: str) -> None:
         if not raw or (current[0] is None and raw.isspace()):
@@ -121,8 +143,14 @@ def parse(page: str) -> tuple[Node, list[Leaf]]:
             leaf.linked += len(raw)
 
     def close(tags: set[str] | frozenset[str], within: set[str]) -> None:
+        if tags.isdisjoint(opened):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in tags:
+                for other, *_ in stack[i:]:
+                    opened[other] -= 1
+                    if not opened[other]:
+                        del opened[other]
                 del stack[i:]
                 return
             if stack[i][0] in within:
@@ -166,9 +194,10 @@ def parse(page: str) -> tuple[Node, list[Leaf]]:
             wanted = wanted and not (tag == "header" and not article)
         if wanted and holds and (tag in ("article", "main") or not article):
             article = Region(tag, node)
-        kid = Node(tag + "".join(f".{w}" for w in sorted(words)[:6]))
+        kid = Node(label_of(tag, words))
         node.kids.append(kid)
         if not attrs.endswith("/"):
+            opened[tag] = opened.get(tag, 0) + 1
             stack.append((tag, kid, wanted, article))
     text(page[at:])
     for leaf in leaves:
@@ -181,67 +210,183 @@ def constant(text: str) -> str:
     return text if len(text) <= 400 else f"{text[:400]}\n{len(text)} {hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=16).hexdigest()}"
 
 
-def fold(node: Node) -> Node:
-    """Expression of a page: recurring neighbours become repeated groups."""
-    if node.label == "#":
-        node.const = constant(" ".join(x.text for x in node.leaves))
-        return node
-    kids: list[Node] = []
-    for kid in map(fold, node.kids):
-        kids.append(kid)
-        for unit in (1, 2, 3, 4):
-            if len(kids) >= 2 * unit and all(kids[-unit + i].label == kids[-2 * unit + i].label for i in range(unit)):
-                tail = kids[-unit:]
-                del kids[-unit:]
-                for i, extra in enumerate(tail):
-                    kids[-unit + i] = align(kids[-unit + i], extra, True)
-                break
-    node.kids = kids
-    return node
+def label_of(tag: str, words: set[str]) -> str:
+    """An element's tag with all words of its names; very many by their hash."""
+    names = "".join(f".{w}" for w in sorted(words))
+    return tag + (names if len(names) <= 80 else f".{hashlib.blake2b(names.encode(), digest_size=12).hexdigest()}")
+
+
+def fold(root: Node) -> Node:
+    """Expression of a page: recurring neighbours become repeated groups, children before their parents."""
+    for node in reversed(root.preorder()):
+        if node.label == "#":
+            node.const = constant(" ".join(x.text for x in node.leaves))
+        elif len(node.kids) > 1:
+            node.kids = folded(node.kids)
+    return root
+
+
+_BASE, _PRIME = 1_000_003, (1 << 61) - 1
+
+
+def folded(kids: list[Node]) -> list[Node]:
+    """Siblings with sequences of labels that follow themselves joined, whatever their length.
+
+    A sequence that ends with a new sibling is sought at the places where the last two labels
+    stood before, by hashes of label sequences.
+    """
+    if len({k.label for k in kids}) == len(kids):
+        return kids
+    out: list[Node] = []
+    sums = [0]  # hash of the labels up to each place
+    pairs: dict[tuple[str, str], list[int]] = {}
+
+    def same(u: int) -> bool:
+        n = len(out)
+        power = pow(_BASE, u, _PRIME)
+        one, two = ((sums[j] - sums[j - u] * power) % _PRIME for j in (n, n - u))
+        return one == two and all(out[n - u + i].label == out[n - 2 * u + i].label for i in range(u))
+
+    for kid in kids:
+        out.append(kid)
+        sums.append((sums[-1] * _BASE + hash(kid.label)) % _PRIME)
+        n, unit = len(out), 0
+        if n > 1:
+            at = pairs.setdefault((out[-2].label, kid.label), [])
+            if out[-2].label == kid.label:
+                unit = 1
+            else:
+                for place in reversed(at):
+                    u = n - 1 - place
+                    if 2 * u > n:
+                        break
+                    if same(u):
+                        unit = u
+                        break
+            at.append(n - 1)
+        if unit:
+            tail = out[n - unit :]
+            for i in range(n - unit, n):
+                pairs[out[i - 1].label, out[i].label].pop()
+            del out[n - unit :], sums[n - unit + 1 :]
+            for i, extra in enumerate(tail):
+                out[n - 2 * unit + i] = align(out[n - 2 * unit + i], extra, True)
+    return out
 
 
 def _matches(a: list[Node], b: list[Node]) -> Iterator[tuple[Node | None, Node | None]]:
-    """Children of two nodes side by side, in order; a lone one has no partner."""
+    """Children of two nodes side by side, in order; a lone one has no partner.
+
+    What begins and ends alike is matched first, then labels that each side has once, in
+    their longest common order; between these a label meets the next like it. The time is
+    n log n, however many unlike siblings there are.
+    """
     one, two = [k.label for k in a], [k.label for k in b]
     if one == two:
         yield from zip(a, b, strict=True)
         return
-    i = j = 0
-    for x, y, n in SequenceMatcher(None, one, two, False).get_matching_blocks():
+    i, j = 0, 0
+    for x, y in _common(one, two):
         yield from ((k, None) for k in a[i:x])
         yield from ((None, k) for k in b[j:y])
-        yield from zip(a[x : x + n], b[y : y + n], strict=True)
-        i, j = x + n, y + n
+        yield a[x], b[y]
+        i, j = x + 1, y + 1
+    yield from ((k, None) for k in a[i:])
+    yield from ((None, k) for k in b[j:])
+
+
+def _common(one: list[str], two: list[str]) -> list[tuple[int, int]]:
+    """Places of equal labels, rising on both sides."""
+    head = 0
+    while head < min(len(one), len(two)) and one[head] == two[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(one), len(two)) - head and one[-1 - tail] == two[-1 - tail]:
+        tail += 1
+    out = [(k, k) for k in range(head)]
+    end_one, end_two = len(one) - tail, len(two) - tail
+    n_one, n_two = Counter(one[head:end_one]), Counter(two[head:end_two])
+    where = {x: j for j, x in enumerate(two[head:end_two], head) if n_two[x] == 1}
+    pairs = [(i, where[x]) for i, x in enumerate(one[head:end_one], head) if n_one[x] == 1 and x in where]
+    anchors = [*_rising(pairs), (end_one, end_two)]
+    i, j = head, head
+    places: dict[str, list[int]] = {}
+    for k, x in enumerate(two[head:end_two], head):
+        places.setdefault(x, []).append(k)
+    for x, y in anchors:
+        while i < x:  # a label between anchors meets the next like it
+            at = places.get(one[i], [])
+            k = bisect_left(at, j)
+            if k < len(at) and at[k] < y:
+                out.append((i, at[k]))
+                j = at[k] + 1
+            i += 1
+        if x < end_one:
+            out.append((x, y))
+        i, j = x + 1, y + 1
+    return out + [(end_one + k, end_two + k) for k in range(tail)]
+
+
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest part of the pairs, which rise on the first side, that rises on the second."""
+    ends: list[int] = []
+    held: list[int] = []
+    before: list[int] = []
+    for k, (_, y) in enumerate(pairs):
+        at = bisect_left(ends, y)
+        before.append(held[at - 1] if at else -1)
+        if at == len(ends):
+            ends.append(y)
+            held.append(k)
+        else:
+            ends[at], held[at] = y, k
+    out, k = [], held[-1] if held else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
 
 
 def align(a: Node, b: Node, one_page: bool = False) -> Node:
     """Union-free expression of two nodes with one label. one_page: both are parts of one page."""
-    out = Node(a.label, max(a.pages, b.pages) if one_page else a.pages + b.pages, a.many or b.many or one_page)
-    if a.label == "#":
-        out.const = a.const if a.const == b.const else None
-        out.leaves = a.leaves + b.leaves
-    out.kids = [x if y is None else y if x is None else align(x, y, one_page) for x, y in _matches(a.kids, b.kids)]
-    return out
+
+    def joined(x: Node, y: Node) -> Node:
+        out = Node(x.label, max(x.pages, y.pages) if one_page else x.pages + y.pages, x.many or y.many or one_page)
+        if x.label == "#":
+            out.const = x.const if x.const == y.const else None
+            out.leaves = x.leaves + y.leaves
+        return out
+
+    root = joined(a, b)
+    left = [(a, b, root)]
+    while left:
+        x, y, out = left.pop()
+        for p, q in _matches(x.kids, y.kids):
+            if p is None or q is None:
+                out.kids.append(p or q)
+            else:
+                out.kids.append(joined(p, q))
+                left.append((p, q, out.kids[-1]))
+    return root
 
 
 def template_leaves(page: Node, wrapper: Node) -> set[int]:
-    """id() of the page's leaves whose own whole text is a constant of the wrapper, where the wrapper has slots to compare with."""
+    """id() of the page's leaves whose own whole text is a constant of the wrapper, where the wrapper has slots to compare with.
+
+    A constant is a text that at least two pages have, and half of the host's.
+    """
     found: set[int] = set()
     slots = 0
-
-    def walk(p: Node, w: Node) -> None:
-        nonlocal slots
+    left = [(page, wrapper)]
+    while left:
+        p, w = left.pop()
         if p.label == "#":
             if w.const is None:
                 slots += any(x.wanted for x in p.leaves)
             elif w.pages >= CONSTANT_PAGES and 2 * w.pages >= wrapper.pages:
                 found.update(id(x) for x in p.leaves if constant(x.text) == w.const)
-            return
-        for x, y in _matches(p.kids, w.kids):
-            if x is not None and y is not None:
-                walk(x, y)
-
-    walk(page, wrapper)
+            continue
+        left += [(x, y) for x, y in _matches(p.kids, w.kids) if x is not None and y is not None]
     return found if slots else set()
 
 
@@ -329,12 +474,12 @@ def host_of(url):
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, wrapper (JSON): the expression of all pages of every host."""
     by_host = pages.select(host_of(F.col("url")).alias("host"), "html").where("host is not null and html is not null")
-    made = saved(by_host.mapInArrow(_from_pages, "host string, wrapper string"))
+    made = saved(by_host.mapInArrow(frugal(_from_pages), "host string, wrapper string"))
     kind = "host string, wrapper string"
     salt = F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))
-    salted = made.repartition("host", salt).sortWithinPartitions("host").mapInArrow(_from_wrappers, kind)
+    salted = made.repartition("host", salt).sortWithinPartitions("host").mapInArrow(frugal(_from_wrappers), kind)
     # by now a host has at most as many expressions as there are salts
-    return saved(salted.repartition("host").sortWithinPartitions("host").mapInArrow(_from_wrappers, kind))
+    return saved(salted.repartition("host").sortWithinPartitions("host").mapInArrow(frugal(_from_wrappers), kind))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -349,5 +494,5 @@ def extract(pages: DataFrame) -> DataFrame:
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     return (
         src.join(wrappers(pages), "host", "left").select("page_id", "url", "html", "wrapper")
-        .mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+        .mapInArrow(frugal(_extract), "page_id long, url string, text string, n_chars long")
     )
