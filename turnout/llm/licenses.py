@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from turnout.llm.common import by_bytes
+from turnout.llm.common import by_bytes, frugal
 
 #: Phrases whose exact places are counted, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -77,31 +77,30 @@ class Scanner:
     def fuzzy(self, norm: bytes) -> list[tuple[int, int, str, int]]:
         """(start, end, notice, errors) of every notice in normalised text, one per place and notice.
 
-        Windows of overlapping seeds are joined before they are searched, so a long run of
-        hits costs its own length.
+        A seed's own window, from word to word, holds any notice around it and is searched by
+        itself, so a long run of hits costs a bounded search for each. Of matches of one
+        notice that overlap the one with fewest errors stays, then the first.
         """
-        windows: dict[str, list[list[int]]] = {}
+        windows: dict[str, set[tuple[int, int]]] = {}
         for end, (size, owners) in self.automaton.iter(norm.decode("latin-1")):
             for notice, at in owners:
                 k = errors_of(notice)
-                lo = max(0, end + 1 - size - at - k)
+                lo = end + 1 - size - at - k
+                lo = norm.find(b" ", lo - 1) + 1 if lo > 0 else 0
                 hi = end + 1 - size - at + len(notice) + k
-                ws = windows.setdefault(notice, [])
-                if ws and lo <= ws[-1][1]:
-                    ws[-1][1] = max(hi, ws[-1][1])
-                else:
-                    ws.append([lo, hi])
+                hi = norm.rfind(b" ", lo, hi + 1) if hi < len(norm) else len(norm)
+                if hi - lo >= len(notice) - k:
+                    windows.setdefault(notice, set()).add((lo, hi))
         out = []
         for notice, ws in windows.items():
-            search, least = self.patterns[notice].search, len(notice) - errors_of(notice)
-            left = [(lo, min(hi, len(norm))) for lo, hi in ws]
-            while left:  # the best match of a part, then what stands before and behind it
-                lo, hi = left.pop()
-                m = search(norm, lo, hi) if hi - lo >= least else None
-                if m is not None:
-                    a, b = m.span()
-                    out.append((a, b, notice, sum(m.fuzzy_counts)))
-                    left += [(lo, a - 1), (b, hi)]  # a blank stands before a match
+            search = self.patterns[notice].search
+            found = {(sum(m.fuzzy_counts), *m.span()) for m in (search(norm, lo, hi) for lo, hi in ws) if m is not None}
+            taken: list[tuple[int, int]] = []
+            for errors, a, b in sorted(found):
+                i = bisect_right(taken, (a, b))
+                if (not i or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b):
+                    taken.insert(i, (a, b))
+                    out.append((a, b, notice, errors))
         return sorted(out)
 
 
@@ -141,9 +140,6 @@ _COLUMNS = {
     "spans": pa.list_(pa.struct([("label", pa.string()), ("notice", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("errors", pa.int64())])),
 }
 
-_scanner: list[Scanner] = []
-
-
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document with the licence notices in its whole text.
 
@@ -157,16 +153,15 @@ def scan(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _scanner:
-            _scanner.append(Scanner())
+        scanner = Scanner()
         for b in by_bytes(batches, "text"):
-            rows = [scan_text(_scanner[0], t or "") for t in b.column(1).to_pylist()]
+            rows = [scan_text(scanner, t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array([r[c] for r in rows], kind) for c, kind in _COLUMNS.items())], ["doc_id", *_COLUMNS]
             )
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(
-        run,
+        frugal(run),
         "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
         "spans array<struct<label: string, notice: string, first_word: bigint, last_word: bigint, errors: bigint>>",
     )
