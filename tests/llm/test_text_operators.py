@@ -253,6 +253,54 @@ def test_adjacent_notices_with_falling_errors_are_all_found():
         assert [(s["first_word"], s["last_word"], s["errors"]) for s in scan_text(scanner, text)["spans"]] == want
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_spans_against_an_edit_distance_search():
+    import random
+
+    notices = {"released under the mit license": "mit", "gnu public license": "gpl", "all rights reserved": "own"}
+    r, scanner = random.Random(12), Scanner(notices)
+    for _ in range(60):
+        ws = []
+        for _ in range(r.randrange(1, 6)):
+            ws += [r.choice(["the", "license", "mit", "under", "xy", "all"]) for _ in range(r.randrange(4))]
+            text = list(r.choice(list(notices)))
+            for _ in range(r.randrange(4)):
+                at = r.randrange(len(text))
+                text[at] = r.choice(["", "q", text[at] + "q"])
+            ws += "".join(text).split()
+        got = scan_text(scanner, " ".join(ws))["spans"]
+        for notice in notices:
+            k = errors_of(notice)
+            own = [(s["first_word"], s["last_word"], s["errors"]) for s in got if s["notice"] == notice]
+            every = [
+                (a, b, d) for a in range(len(ws)) for b in range(a, min(len(ws), a + 8))
+                if abs(len(" ".join(ws[a : b + 1])) - len(notice)) <= k and (d := distance(" ".join(ws[a : b + 1]), notice)) <= k
+            ]
+            assert set(own) <= set(every)
+            assert all(a2 > b1 for (_, b1, _), (a2, _, _) in zip(own, own[1:]))
+            for a, b, d in every:  # another match of as few errors stands in its place
+                assert any(x <= b and a <= y and e <= d for x, y, e in own), (ws, notice, (a, b, d), own)
+
+
+def test_a_megabyte_of_near_notices_takes_seconds():
+    import time
+
+    n = 33_000
+    began = time.perf_counter()
+    got = scan_text(Scanner(), "released under the mut license " * n)
+    assert time.perf_counter() - began < 30
+    spans = [s for s in got["spans"] if s["notice"] == "released under the mit license"]
+    assert [(s["first_word"], s["errors"]) for s in spans] == [(5 * i, 1) for i in range(n)]
+
+
 @pytest.mark.parametrize("operator", [
     repeated_spans, N.near_duplicates, scan, lambda d: digests(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN),
     lambda d: token_counts(d, P.path("byte_bpe_50k.json")), lambda d: pack(d, P.path("word_bpe_49k.json")),

@@ -5,8 +5,8 @@ a lower-cased word; its prefixes are counted as well. A word that a text repeats
 once in training; in a text's score each of its places counts. Log-odds have informative Dirichlet priors: a
 prefix is drawn towards the odds of the next shorter one, a word towards those of its
 longest prefix, the shortest towards all text. So an unseen form of an abusive stem is
-scored by the stem, and a rare word by little more than the prior. A counted word that the
-bounded model has no room for scores as neutral, not as its stem.
+scored by the stem, and a rare word by little more than the prior. All tokens of LEAST
+documents or more are in the model, which the sample bounds.
 
 Scoring walks over a text once. The scores of its words, less a drift that makes ordinary
 text lose, are split into all maximal-scoring segments in linear time. The best segments
@@ -20,22 +20,24 @@ with a model counted on the others, so that it knows how unseen texts score.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnout.llm.common import by_bytes, saved
+from turnout.llm import words as W
+from turnout.llm.common import buffers_of, by_bytes, frugal, saved
 
-#: Bounds of the model: labelled documents it is counted on, and tokens it keeps.
-SAMPLE, TERMS = 40_000, 60_000
+#: Labelled documents that the model is counted on, at most.
+SAMPLE = 40_000
+#: Scores of words that a task keeps, and the letters of one that is kept.
+CACHED, LETTERS = 200_000, 40
 PREFIXES = (4, 5, 7)
 PRIOR = 4.0  # pseudo-counts of a token's parent
 LEAST = 3  # documents that a token must occur in
@@ -45,31 +47,61 @@ THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-@dataclass
+def _hashed(tokens: pa.Array, seed: int) -> np.ndarray:
+    data, offsets = buffers_of(tokens)
+    return W.hashes(data, offsets[:-1], offsets[1:], seed)
+
+
+@dataclass(eq=False)
 class Model:
-    """Scores of words and of prefixes (marked by a leading *), and the calibration."""
+    """Scores of words and of prefixes by rising 64-bit hashes, and the calibration."""
 
-    scores: dict[str, float]
+    words: tuple[np.ndarray, np.ndarray]
+    stems: tuple[np.ndarray, np.ndarray]
     rest: float
     decay: float
     knots: tuple[tuple[float, ...], tuple[float, ...]]  # heights and their scores, both rising
-    dropped: tuple[int, ...] = ()  # rising hashes of counted words without a score of their own
 
-    def score(self, word: str) -> float:
-        known = self.scores.get(word)
-        if known is not None:
-            return known
-        if self.dropped:
-            h = int(hashlib.md5(word.encode()).hexdigest()[:15], 16)
-            at = bisect_left(self.dropped, h)
-            if at < len(self.dropped) and self.dropped[at] == h:
-                return self.rest
+    @staticmethod
+    def of(scores: dict[str, float], rest: float, decay: float, knots=((), ())) -> Model:
+        """From scores by token; a prefix is marked by a leading *."""
+        parts = []
+        for seed, mark in ((21, False), (22, True)):
+            some = {t[mark:]: s for t, s in scores.items() if (t[:1] == "*") == mark}
+            keys = _hashed(pa.array(list(some), pa.string()), seed)
+            order = np.argsort(keys)
+            parts.append((keys[order], np.array(list(some.values()), np.float64)[order]))
+        return Model(*parts, rest, decay, knots)
+
+    def scores(self, words: list[str]) -> dict[str, float]:
+        """Of each word its own score, else that of its longest known prefix, else that of any word."""
+        if not words:
+            return {}
+        tokens = pa.array(words, pa.string())
+        length = pc.utf8_length(tokens).to_numpy()
+        out = np.full(len(words), self.rest)
+        open_ = self._look(self.words, _hashed(tokens, 21), out, np.arange(len(words)))
         for n in reversed(PREFIXES):
-            if len(word) > n:
-                known = self.scores.get("*" + word[:n])
-                if known is not None:
-                    return known
-        return self.rest
+            some = open_[length[open_] > n]
+            if len(some):
+                stems = pc.utf8_slice_codeunits(tokens.take(pa.array(some)), 0, n)
+                left = self._look(self.stems, _hashed(stems, 22), out, some)
+                open_ = np.concatenate([open_[length[open_] <= n], left])
+        return dict(zip(words, out.tolist(), strict=True))
+
+    @staticmethod
+    def _look(table: tuple[np.ndarray, np.ndarray], hashed: np.ndarray, out: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Write known scores to their places; the places that are not known."""
+        keys, values = table
+        if not len(keys):
+            return at
+        i = np.minimum(np.searchsorted(keys, hashed), len(keys) - 1)
+        hit = keys[i] == hashed
+        out[at[hit]] = values[i[hit]]
+        return at[~hit]
+
+    def score(self, word: str) -> float:
+        return self.scores([word])[word]
 
     def probability(self, height: float) -> float:
         """Between 0 and 1, strictly rising with height so that equal knots don't tie."""
@@ -101,18 +133,30 @@ def segments(scores: list[float]) -> list[tuple[float, int, int]]:
     return [(after - before, first, end) for before, after, first, end, _ in stack]
 
 
-def heights(model: Model, text: str, cache: dict[str, float]) -> tuple[float, int, list[tuple[float, int, int]]]:
-    """(normalised height of the text, words, significant segments)."""
-    words = _WORD.findall(text.lower())
+class Scored:
+    """Words of texts with their scores, less the drift; short words' scores are kept between texts."""
+
+    def __init__(self, model: Model):
+        self.model, self.kept = model, {}
+
+    def steps(self, texts: Iterable[str]) -> Iterator[tuple[list[str], list[float]]]:
+        """(words, steps) of each text; those that are not kept are looked up together."""
+        if len(self.kept) > CACHED:
+            self.kept = {}
+        found = [_WORD.findall(t.lower()) for t in texts]
+        new = self.model.scores(list({w for ws in found for w in ws if w not in self.kept}))
+        new = {w: s - DRIFT for w, s in new.items()}
+        self.kept.update(new)
+        for ws in found:
+            yield ws, [self.kept[w] for w in ws]
+        for w in new:
+            if len(w) > LETTERS:
+                del self.kept[w]
+
+
+def heights(model: Model, words: list[str], steps: list[float]) -> tuple[float, int, list[tuple[float, int, int]]]:
+    """(normalised height of a text, words, significant segments) from its words and their steps."""
     n = len(words)
-    steps: list[float] = []
-    for w in words:
-        s = cache.get(w)
-        if s is None:
-            if len(cache) > 300_000:
-                cache.clear()
-            s = cache[w] = model.score(w) - DRIFT
-        steps.append(s)
     log_n = math.log(n + 1)
     tops, sums = [], []
     for s, a, b in segments(steps):
@@ -128,8 +172,9 @@ def heights(model: Model, text: str, cache: dict[str, float]) -> tuple[float, in
     return height, n, [t for t in tops if t[0] >= SIGNIFICANT]
 
 
-def held_out(doc_id: Column | str = "doc_id") -> Column:
-    return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 4 == 2
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Whether a document's label is never learned; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -194,53 +239,40 @@ def _model(tokens: list[str], other: np.ndarray, toxic: np.ndarray, all_other: f
     word = np.array([t[0] != "*" for t in tokens], bool)
     steps = np.array([*(scores[t] - DRIFT for t in tokens if t[0] != "*"), -DRIFT])
     weight = np.array([*other[word], max(1.0, all_other - other[word].sum())], float)
-    return Model(scores, 0.0, _decay(steps, weight / weight.sum()), ((), ()))
+    return Model.of(scores, 0.0, _decay(steps, weight / weight.sum()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> Model:
-    """Model from at most `sample` labelled documents and `terms` tokens.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Model from at most about `sample` labelled documents.
 
-    Tokens are counted on the executors; those that come to the driver are the about
-    `terms` (an approximate rank) whose odds differ most significantly from all text's.
+    Tokens are counted on the executors; those of LEAST documents or more come to the
+    driver, where the sample bounds their number.
     """
     rows = saved(training_rows(docs, labels, sample))
     kinds = ["other", "toxic", "other_apart", "toxic_apart"]
     counts = saved(
-        rows.mapInArrow(_token_counts, "token string, " + ", ".join(f"{k} long" for k in kinds))
+        rows.mapInArrow(frugal(_token_counts), "token string, " + ", ".join(f"{k} long" for k in kinds))
         .groupBy("token").agg(*(F.sum(k).alias(k) for k in kinds))
         .where(" + ".join(kinds) + f" >= {LEAST}")
     )
-    total = counts.where("token not like '*%'").agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in kinds)).first()
-    if not total["toxic"] + total["toxic_apart"] or not total["other"] + total["other_apart"]:
-        return Model({}, 0.0, 1.0, ((), ()))
-    t, n = F.col("toxic") + F.col("toxic_apart"), sum((F.col(k) for k in kinds[1:]), F.col(kinds[0]))
-    share = (total["toxic"] + total["toxic_apart"]) / sum(total)
-    gap = F.abs(t - n * share) / F.sqrt(n * share * (1 - share))
-    known = counts.count()
-    dropped: tuple[int, ...] = ()
-    if known > terms:  # a rank of the gaps, so that no task sends more than its share to the driver
-        cut = counts.agg(F.percentile_approx(gap, 1 - terms / known, 20_000)).first()[0]
-        # of the other words, bounded by the sample, only hashes
-        hashed = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 15), 16, 10).cast("long")
-        dropped = tuple(sorted(counts.where(gap <= cut).where("token not like '*%'").select(hashed.alias("h")).toPandas()["h"].tolist()))
-        counts = counts.where(gap > cut)
     top = counts.toPandas().sort_values("token")
+    words = top[~top["token"].str.startswith("*")]
+    total = {k: float(words[k].sum()) for k in kinds}
+    if not total["toxic"] + total["toxic_apart"] or not total["other"] + total["other_apart"]:
+        return Model.of({}, 0.0, 1.0)
     o, t, oa, ta = (top[k].to_numpy(float) for k in kinds)
     trial = _model(list(top["token"]), o, t, total["other"], total["toxic"])
-    trial.dropped = dropped
     model = _model(list(top["token"]), o + oa, t + ta, total["other"] + total["other_apart"], total["toxic"] + total["toxic_apart"])
 
-    model.dropped = dropped
-
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        scored = Scored(trial)
         for b in by_bytes(batches, "text"):
-            h = [round(heights(trial, t or "", cache)[0], 1) for t in b.column(0).to_pylist()]
+            h = [round(heights(trial, *x)[0], 1) for x in scored.steps(t or "" for t in b.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.float64()), b.column(1)], ["h", "toxic"])
 
     # at most `sample` documents, by rounded height
     points = (
-        rows.where("apart").select("text", "toxic").mapInArrow(raw, "h double, toxic int")
+        rows.where("apart").select("text", "toxic").mapInArrow(frugal(raw), "h double, toxic int")
         .groupBy("h").agg(F.sum(F.col("toxic").cast("double")).alias("t"), F.count("*").alias("n")).orderBy("h").toPandas()
     )
     model.knots = _isotonic(points["h"].to_numpy(float), points["t"].to_numpy(float), points["n"].to_numpy(float))
@@ -276,18 +308,18 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """One row per document: doc_id, held_out, score (0 to 1), predicted, passages.
 
     The score depends on the whole text alone. A null or empty text has the lowest height,
-    that of no words. passages are the significant segments in words of letters. Repeated
+    that of no words. A null doc_id is not held out. passages are the significant segments in words of letters. Repeated
     rows are scored alike; further columns are ignored; an empty table gives an empty
     result, and so does scoring with a model fitted on no toxic documents: low scores.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # at most TERMS tokens
+    shared = spark.sparkContext.broadcast(model)  # tokens of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
         m = shared.value
+        scored = Scored(m)
         for b in by_bytes(batches, "text"):
-            found = [heights(m, t or "", cache) for t in b.column(2).to_pylist()]
+            found = [heights(m, *x) for x in scored.steps(t or "" for t in b.column(2).to_pylist())]
             p = [m.probability(h) for h, _, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -304,5 +336,5 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(
-        run, "doc_id long, held_out boolean, score double, predicted int, passages array<struct<first_word: bigint, n_words: bigint, height: double>>"
+        frugal(run), "doc_id long, held_out boolean, score double, predicted int, passages array<struct<first_word: bigint, n_words: bigint, height: double>>"
     )
