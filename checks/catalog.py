@@ -900,13 +900,20 @@ def report_shows(spark, d):
                     F.col("j.esperado").alias("expected_attendance"), F.col("j.asientos_libres").alias("free_seats"))
 
 
+def _season(i: Inputs) -> DataFrame:
+    def make():
+        fc = S.forecast_facts(i.fut3).withColumns({"p10": F.lit(None).cast("int"), "p90": F.lit(None).cast("int")})
+        return frozen(RP.season_document(_shows(i), fc, _over(i), i.curve, '{"campeon": "M1"}', AS_OF))
+
+    return i.once("season", make)
+
+
 @query("report_summary", q("""select count(*) as shows, sum(n_tickets)::bigint as tickets, sum(expected_attendance)::bigint as expected, count(*)::bigint as n_docs,
    (select count(*) from curve) as n_bins from fc3"""))
 def report_summary(spark, d):
     """Counts read back from the single season document."""
     i = Inputs.of(spark, d)
-    fc = S.forecast_facts(i.fut3).withColumns({"p10": F.lit(None).cast("int"), "p90": F.lit(None).cast("int")})
-    doc = RP.season_document(_shows(i), fc, _over(i), i.curve, '{"campeon": "M1"}', AS_OF)
+    doc = _season(i)
     j = F.from_json("doc", """resumen STRUCT<shows BIGINT, entradas_adquiridas BIGINT, asistencia_esperada BIGINT>,
         shows ARRAY<STRUCT<event_id BIGINT>>, curva_llegada STRUCT<fracciones MAP<STRING, DOUBLE>>""")
     x = doc.select(j.alias("j"))
@@ -915,6 +922,34 @@ def report_summary(spark, d):
                     F.size("j.curva_llegada.fracciones").cast("bigint").alias("n_bins"))
 
 
+@query("report_freshness", q(f"""select event_id, cast(floor((epoch_us(starts_at) - epoch_us({O.TS})) / 86400e6::double) as bigint) as age_days,
+   floor((epoch_us(starts_at) - epoch_us({O.TS})) / 86400e6::double) > 7 as stale from shows where starts_at > {O.TS}"""))
+def report_freshness(spark, d):
+    """How old the season document is when each upcoming show starts; its date is read back from the document."""
+    i = Inputs.of(spark, d)
+    made = F.from_json("doc", "generado STRING")["generado"].cast("timestamp")
+    generated = _season(i).select(made.alias("at")).scalar()
+    upcoming = i.t.events.filter(F.col("starts_at").cast("timestamp") > F.lit(AS_OF).cast("timestamp"))
+    return upcoming.select("event_id", RP.freshness(generated, F.col("starts_at").cast("timestamp")).alias("f")).select("event_id", "f.age_days", "f.stale")
+
+
+_CARD = [("mae", "avg(abs(pred - obs))"), ("mape", "avg(abs(pred - obs) / greatest(obs, 1))"), ("bias", "avg(pred - obs)"), ("n_events", "count(*)::double"),
+         ("median_ae", "quantile_cont(abs(pred - obs), 0.5)"), ("p90_ae", "quantile_cont(abs(pred - obs), 0.9)")]
+
+
+@query("model_card", q(" union all ".join(f"select 'B2' as champion, 'test' as stage, model, '{m}' as metric, round({e}, 6) as value from ({_EV}) group by model" for m, e in _CARD)))
+def model_card(spark, d):
+    """The metrics document of a comparison, written as JSON and read back."""
+    metrics = E.event_metrics(_both(Inputs.of(spark, d)))
+    return rounded(RP.read_card(RP.model_card(X.facts(metrics, "test"), "B2")))
+
+
+@query("experiment_card")
+def experiment_card(spark, d):
+    """The metrics document of the whole experiment, all eight models, read back."""
+    return rounded(RP.read_card(RP.model_card(_experiment(Inputs.of(spark, d)), X.CHAMPION)))
+
+
 _PERM = 1000
 
 
@@ -1034,9 +1069,12 @@ def cv_table(spark, d):
     return E.cv_table(_oof(Inputs.of(spark, d)), _REPS)
 
 
+def _experiment(i: Inputs) -> DataFrame:
+    dev, test = _dev_test(i)
+    return i.once("experiment", lambda: frozen(X.run(dev, test, oof=_oof(i), reps=_REPS)))
+
+
 @query("experiment")
 def experiment(spark, d):
     """Protocol: cross-validate, compare with the best baseline, refit, test once."""
-    i = Inputs.of(spark, d)
-    dev, test = _dev_test(i)
-    return X.run(dev, test, oof=_oof(i), reps=_REPS)
+    return _experiment(Inputs.of(spark, d))

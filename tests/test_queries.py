@@ -14,8 +14,6 @@ from turnout.sources.tables import read_json, require_no_dangling
 
 from .conftest import SF
 
-SLOW = {"m2_scores", "m3_scores", "m4_scores", "oof_predictions", "cv_table", "experiment"}
-
 
 @pytest.fixture(scope="module")
 def duck():

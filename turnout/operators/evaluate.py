@@ -6,13 +6,18 @@ and groups by `model`, so comparing models is one pass, not a loop.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnout.functions.hashing import coefficients, poly_uniform
+from turnout.functions.hashing import coefficients
 from turnout.functions.scalars import clip
+from turnout.operators.draws import uniforms
 from turnout.operators.ordered import equal_count_bins, quantiles, running
-from turnout.session import frozen
+from turnout.session import compute_partitions, frozen
 
 SEED = 20260801
 
@@ -90,31 +95,63 @@ def event_metrics(df: DataFrame) -> DataFrame:
     return means.join(quantiles(ev, "ae", {"median_ae": 0.5, "p90_ae": 0.9}, by=["model"]), "model")
 
 
+#: Events of a block, replicates that a task draws, draws made at once.
+BLOCK, CHUNK, AT_ONCE = 1 << 16, 50, 1 << 18
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One model's values in a block, by position; positions that it has no event at are NaN."""
+    for b in batches:
+        for i in range(b.num_rows):
+            rows = b.column(2).slice(i, 1).flatten()
+            x = np.full(BLOCK, np.nan)
+            x[rows.field(0).to_numpy() - 1 - BLOCK * b.column(1)[i].as_py()] = rows.field(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([x.tobytes()], pa.binary())], ["model", "block", "x"])
+
+
+def _resampled(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                lo = BLOCK * r["block"]
+                size = min(BLOCK, n - lo)
+                values = np.array([np.frombuffer(v["x"])[:size] for v in r["values"]])
+                known = ~np.isnan(values)
+                values = np.where(known, values, 0.0)
+                out = []
+                for rep in r["reps"]:
+                    c = np.array([[rep[f"c{k}"]] for k in range(4)], np.int64)
+                    times = np.zeros(size, np.int64)
+                    for first in range(0, n, AT_ONCE):
+                        at = np.floor(uniforms(c, np.arange(first, min(first + AT_ONCE, n))) * n).astype(np.int64) - lo
+                        times += np.bincount(at[(at >= 0) & (at < size)], minlength=size)
+                    out += [(v["model"], rep["rep"], float(s), int(m)) for v, s, m in zip(r["values"], values @ times, known @ times)]
+                cols = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.string(), pa.int64(), pa.float64(), pa.int64()))], ["model", "rep", "s", "m"])
+
+    return run
+
+
 def bootstrap_mean(ev: DataFrame, value: str, reps: int = 4000, seed: int = SEED) -> DataFrame:
     """95 % interval of the mean of `value`, resampling events with replacement.
 
-    All models share the draws. Draws are generated in place (replicate, position)
-    and joined to the ranked events; averages per replicate combine before the shuffle.
+    All models share the draws. A replicate is how often each event is drawn: tasks draw the
+    positions of a chunk of replicates and add up the values of a block of events, so that
+    no draw becomes a row and one row for each model, replicate and block is shuffled.
     """
-    ids = ev.select("event_id").distinct()
-    ranked = running(ids, [F.col("event_id")], rank="pos")
-    n = ids.count()
     spark = ev.sparkSession
-    rep_coeff = spark.range(reps).select(
-        F.col("id").alias("rep"),
-        *[c.alias(f"c{i}") for i, c in enumerate(coefficients(F.lit(seed), F.lit("boot"), F.col("id")))],
-    )
-    draws = (
-        spark.range(reps * n)
-        .select(F.floor(F.col("id") / n).cast("bigint").alias("rep"), (F.col("id") % n).alias("i"))
-        .join(F.broadcast(rep_coeff), "rep")  # `reps` rows, a fixed number
-        .select(
-            "rep",
-            (F.floor(poly_uniform([F.col(f"c{i}") for i in range(4)], F.col("i")) * n) + 1).alias("pos"),
-        )
-    )
-    values = ev.select("model", "event_id", value).join(ranked, "event_id")
-    per_rep = draws.join(values, "pos").groupBy("model", "rep").agg(F.avg(value).alias("m"))
+    ranked = running(ev.select("event_id").distinct(), [F.col("event_id")], rank="pos")
+    values = ev.select("model", "event_id", F.col(value).cast("double").alias("v")).join(ranked, "event_id")
+    block = F.floor((F.col("pos") - 1) / BLOCK).cast("int").alias("block")
+    packed = values.groupBy("model", block).agg(F.collect_list(F.struct("pos", "v")).alias("rows")).mapInArrow(_packed, "model string, block int, x binary")
+    blocks = frozen(packed.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("model", "x"))).alias("values")))
+    n = ranked.count()
+    rep = F.struct(F.col("id").alias("rep"), *[c.alias(f"c{i}") for i, c in enumerate(coefficients(F.lit(seed), F.lit("boot"), F.col("id")))])
+    chunks = spark.range(reps).groupBy(F.floor(F.col("id") / CHUNK).alias("chunk")).agg(F.collect_list(rep).alias("reps"))
+    last = blocks.agg(F.coalesce(F.max("block"), F.lit(0))).scalar()
+    pairs = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), last))).join(blocks, "block")
+    drawn = pairs.repartition(compute_partitions(spark), "chunk", "block").select("block", "values", "reps").mapInArrow(_resampled(n), "model string, rep long, s double, m long")
+    per_rep = drawn.groupBy("model", "rep").agg((F.sum("s") / F.sum("m")).alias("m"))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     return per_rep.groupBy("model").agg(q.alias("q")).select(
         "model", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high")
