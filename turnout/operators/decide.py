@@ -83,8 +83,8 @@ def invite_candidates(
     it have filled the show. What is left is ranked one by one.
     """
     traits = [c for c in eligible.columns if c != "user_id"]
-    members = frozen(eligible.select("user_id", F.xxhash64(*traits).alias("cell"), "city"))
-    ranked = running(members, [F.col("user_id")], by=["cell"], rank="cell_rank")
+    ranked = running(eligible.select("user_id", F.xxhash64(*traits).alias("cell"), "city"), [F.col("user_id")], by=["cell"], rank="cell_rank")
+    members = ranked.drop("cell_rank")
     cells = members.groupBy("cell").agg(F.min("user_id").alias("user_id"), F.first("city").alias("city"), F.count(F.lit(1)).alias("n"))
     local_held = (
         held.join(members, "user_id")

@@ -32,9 +32,10 @@ def cut_calendar(cuts: DataFrame, changes: DataFrame) -> DataFrame:
     """
     at = cuts.select("cut").distinct().withColumn("slot", _slot(F.col("cut")))
     inside = frozen(at.groupBy("slot").agg(F.sort_array(F.collect_set("cut")).alias("inside")))
-    ordered = running(inside, [F.col("slot")], rank="ix").select(F.get("inside", F.lit(0)).alias("next"), "ix")
     asked = changes.select(_slot(F.col("ts")).alias("slot")).distinct().withColumn("c", F.lit(0))
     marks = running(asked.unionByName(inside.select("slot", F.lit(1).alias("c"))), [F.col("slot"), F.desc("c")], sums={"k": "c"})
+    # the running sum at an hour with cuts is that hour's number
+    ordered = marks.filter("c = 1").select("slot", F.col("k").alias("ix")).join(inside, "slot").select("ix", F.get("inside", F.lit(0)).alias("next"))
     return (
         marks.filter("c = 0").select("slot", (F.col("k") + 1).alias("ix"))
         .join(ordered, "ix", "left").join(inside, "slot", "left").select("slot", "inside", "next")

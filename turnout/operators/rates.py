@@ -216,16 +216,22 @@ def observed_rates(df: DataFrame) -> DataFrame:
 
 
 def show_residuals(df: DataFrame) -> DataFrame:
-    """Per past show: observed, expected from the type mix, and the relative residual."""
+    """Per past show: observed, expected from the type mix, and the relative residual.
+
+    The tickets are read once; rates and expectations come from the cells of (show, type).
+    """
     lab = df.filter(F.col("y").isNotNull())
-    scored = with_type_rate(lab, cells(lab))
+    own = frozen(lab.groupBy("event_id", "artist_name", "ticket_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(y_num()).alias("obs"), F.sum(F.col("is_courtesy").cast("int")).alias("courtesies")
+    ))
     return (
-        scored.groupBy("event_id", "artist_name")
+        own.join(lookup(rates_of(own)), "ticket_type")
+        .groupBy("event_id", "artist_name")
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(y_num()).alias("obs"),
-            F.sum("type_rate").alias("pred"),
-            F.avg(F.col("is_courtesy").cast("int")).alias("courtesy_share"),
+            F.sum("n").alias("n"),
+            F.sum("obs").alias("obs"),
+            F.sum(F.col("n") * F.col("type_rate")).alias("pred"),
+            (F.sum("courtesies") / F.sum("n")).alias("courtesy_share"),
         )
         .withColumn("residual", (F.col("obs") - F.col("pred")) / F.col("n"))
     )
