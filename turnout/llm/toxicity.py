@@ -219,27 +219,54 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield flush()
 
 
-def _log_odds(tokens: list[str], other: np.ndarray, toxic: np.ndarray, rest: float) -> dict[str, float]:
-    """Log-odds of every token against `rest`, parents first."""
-    base = 1 / (1 + math.exp(-rest))
-    share: dict[str, float] = {}  # toxic share of the token's documents after smoothing
-    for token, o, t in sorted(zip(tokens, other, toxic, strict=True), key=lambda r: (r[0][0] != "*", len(r[0]) * (r[0][0] == "*"), r[0])):
-        stem, parent = token.lstrip("*"), base
-        for n in reversed(PREFIXES):
-            if len(stem) > n and "*" + stem[:n] in share:
-                parent = share["*" + stem[:n]]
-                break
-        share[token] = (t + PRIOR * parent) / (t + o + PRIOR)
-    return {t: math.log(p / (1 - p)) - rest for t, p in share.items()}
-
+class Tokens:
+    """Counted tokens as arrays: hashes of stems and words, and the stem that each is drawn towards."""
+
+    def __init__(self, tokens: pa.Array):
+        mark = pc.starts_with(tokens, "*")
+        self.is_stem = mark.to_numpy(zero_copy_only=False)
+        stems, words = pc.utf8_slice_codeunits(tokens.filter(mark), 1), tokens.filter(pc.invert(mark))
+        self.stems, self.words = _hashed(stems, 22), _hashed(words, 21)
+        self.order = np.argsort(self.stems)
+        self.length = pc.utf8_length(stems).to_numpy()
+        self.stem_parent, self.word_parent = self._parents(stems), self._parents(words)
+
+    def _parents(self, tokens: pa.Array) -> np.ndarray:
+        """Place of each token's longest shorter stem among the stems, or -1."""
+        length = pc.utf8_length(tokens).to_numpy()
+        out = np.full(len(tokens), -1, np.int64)
+        rising = self.stems[self.order]
+        for n in PREFIXES:  # a longer one replaces a shorter one
+            some = np.flatnonzero(length > n)
+            if len(some) and len(rising):
+                hashed = _hashed(pc.utf8_slice_codeunits(tokens.take(pa.array(some)), 0, n), 22)
+                i = np.minimum(np.searchsorted(rising, hashed), len(rising) - 1)
+                hit = rising[i] == hashed
+                out[some[hit]] = self.order[i[hit]]
+        return out
 
-def _model(tokens: list[str], other: np.ndarray, toxic: np.ndarray, all_other: float, all_toxic: float) -> Model:
-    rest = math.log((all_toxic + 1) / (all_other + 1))
-    scores = _log_odds(tokens, other, toxic, rest)
-    word = np.array([t[0] != "*" for t in tokens], bool)
-    steps = np.array([*(scores[t] - DRIFT for t in tokens if t[0] != "*"), -DRIFT])
-    weight = np.array([*other[word], max(1.0, all_other - other[word].sum())], float)
-    return Model.of(scores, 0.0, _decay(steps, weight / weight.sum()))
+    def model(self, other: np.ndarray, toxic: np.ndarray, all_other: float, all_toxic: float) -> Model:
+        """Log-odds of every token against all text, parents first, and the decay of sums of them."""
+        rest = math.log((all_toxic + 1) / (all_other + 1))
+        base = 1 / (1 + math.exp(-rest))
+
+        def smoothed(part: np.ndarray, parent: np.ndarray) -> np.ndarray:
+            prior = np.where(parent >= 0, share[parent], base) if len(share) else np.full(len(parent), base)
+            return (toxic[part] + PRIOR * prior) / (toxic[part] + other[part] + PRIOR)
+
+        stems, words = np.flatnonzero(self.is_stem), np.flatnonzero(~self.is_stem)
+        share = np.zeros(len(stems))  # toxic share of a stem's documents after smoothing
+        for n in PREFIXES:
+            some = self.length == n
+            share[some] = smoothed(stems[some], self.stem_parent[some])
+        odds = lambda p: np.log(p / (1 - p)) - rest
+        of_words = odds(smoothed(words, self.word_parent))
+        steps = np.append(of_words - DRIFT, -DRIFT)
+        weight = np.append(other[words], max(1.0, all_other - other[words].sum()))
+        rising = np.argsort(self.words)
+        return Model(
+            (self.words[rising], of_words[rising]), (self.stems[self.order], odds(share)[self.order]), 0.0, _decay(steps, weight / weight.sum()), ((), ())
+        )
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -255,14 +282,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .groupBy("token").agg(*(F.sum(k).alias(k) for k in kinds))
         .where(" + ".join(kinds) + f" >= {LEAST}")
     )
-    top = counts.toPandas().sort_values("token")
-    words = top[~top["token"].str.startswith("*")]
-    total = {k: float(words[k].sum()) for k in kinds}
-    if not total["toxic"] + total["toxic_apart"] or not total["other"] + total["other_apart"]:
+    top = counts.orderBy("token").toArrow().combine_chunks()
+    token = top.column("token").combine_chunks() if top.num_rows else pa.array([], pa.string())
+    o, t, oa, ta = (top.column(k).to_numpy().astype(float) for k in kinds)
+    tokens = Tokens(token)
+    total = [float(x[~tokens.is_stem].sum()) for x in (o, t, oa, ta)]
+    if not total[1] + total[3] or not total[0] + total[2]:
         return Model.of({}, 0.0, 1.0)
-    o, t, oa, ta = (top[k].to_numpy(float) for k in kinds)
-    trial = _model(list(top["token"]), o, t, total["other"], total["toxic"])
-    model = _model(list(top["token"]), o + oa, t + ta, total["other"] + total["other_apart"], total["toxic"] + total["toxic_apart"])
+    trial = tokens.model(o, t, total[0], total[1])
+    model = tokens.model(o + oa, t + ta, total[0] + total[2], total[1] + total[3])
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = Scored(trial)
