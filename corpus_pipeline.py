@@ -1,7 +1,14 @@
 """From raw documents to packed sequences: five stages, each on all that its predecessor kept.
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
-the columns of documents. The stages are written as Parquet in between.
+the columns of documents, COLUMNS, and leave others out. The stages are written as Parquet
+in between.
+
+Rows are judged one by one by the first two stages, whatever their ids: of two rows with
+one doc_id one may go and the other stay, and a null doc_id is no shelter. Null and empty
+texts fail the quality rules. Near copies take rows with one doc_id as one document, and
+leave a null doc_id alone, as substrings do. An empty table stays empty through all stages;
+without toxic labels the toxicity stage keeps every document.
 """
 
 from __future__ import annotations
@@ -29,8 +36,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted as not toxic; the model is fitted on those labelled among them."""
-    found = saved(score(docs, fit(docs, table(spark, sf_dir, "labels"))).where("predicted = 1").select("doc_id"))
-    return without(docs.select(*COLUMNS), found, "doc_id")
+    row = F.xxhash64("doc_id", "text")  # a verdict is on a row's text, whatever other rows have its id
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    found = saved(score(docs.select(row.alias("doc_id"), "text"), model).where("predicted = 1").select(F.col("doc_id").alias("row")).distinct())
+    return without(docs.select(*COLUMNS, row.alias("row")), found, "row").select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
