@@ -21,7 +21,7 @@ from turnout.llm.common import by_bytes, frugal
 from turnout.llm.units import Table, encoded, pre_units
 
 PART = 1 << 16  # characters of a part of a text with unusual blanks
-_SAFE = re.compile(r"(?<=[^\s᠎​﻿]) (?=[^\s᠎​﻿])")
+_SAFE = re.compile(r"(?<=[^\s\u180e\u200b\ufeff]) (?=[^\s\u180e\u200b\ufeff])")
 
 
 def parts(text: str, limit: int = PART) -> list[int]:

@@ -85,7 +85,7 @@ _CONTROL = np.zeros(256, bool)
 _CONTROL[[0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20)]] = True
 _LEAD = np.zeros(256, bool)
 _LEAD[[0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
-_OTHER_BLANK = re.compile("[^\\S \n]|[᠎​﻿]")
+_OTHER_BLANK = re.compile("[^\\S \n]|[\u180e\u200b\ufeff]")
 
 
 def pre_units(col: pa.Array, odd_lengths: Callable[[str], list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
