@@ -193,14 +193,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, carry: list[str] | Non
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text", *extra)
     known = src.where("doc_id is not null and text is not null").select("doc_id", "row_key", "text")
     blocks = saved(known.mapInArrow(frugal(_blocks(window)), "doc_id long, row_key long, lo int, n int, anchor long, b1 long, b2 long"))
-    shared = (
+    # what is aggregated is written before it is joined, so that AQE can split both sides of a hot key
+    shared = saved(
         blocks.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
         .where("least < most").select("anchor")
     )
     likely = marked(blocks, shared, ["anchor"]).where("maybe").drop("maybe")
     common = saved(likely.join(shared, "anchor").select("doc_id", "row_key", "lo", "n", "b1", "b2"))
     first = F.min(F.struct(F.col("doc_id").alias("source"), F.col("lo").alias("there"))).alias("f")
-    index = common.groupBy("b1", "b2").agg(first).select("b1", "b2", "f.*")
+    index = saved(common.groupBy("b1", "b2").agg(first).select("b1", "b2", "f.*"))
     known_at = common.join(index, ["b1", "b2"])
     copied = F.col("source") < F.col("doc_id")
     judged = saved(known_at.select("doc_id", "row_key", "lo", "n", F.when(copied, F.col("source")).alias("source"), F.when(copied, F.col("there")).alias("there")))
@@ -212,15 +213,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, carry: list[str] | Non
         .mapInArrow(frugal(_windows(window)), "doc_id long, row_key long, lo int, w1 long, w2 long")
     )
     # half of a window's hash tells which may be in two documents; the places of those are found with all of it
-    twice = windows.groupBy("w1").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w1")
+    twice = saved(windows.groupBy("w1").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("w1"))
     shared_windows = saved(windows.join(twice, "w1").select("doc_id", "row_key", "lo", "w1", "w2"))
-    earliest = shared_windows.groupBy("w1", "w2").agg(first, F.max("doc_id").alias("most")).where("f.source < most").select("w1", "w2", "f.*")
+    earliest = saved(shared_windows.groupBy("w1", "w2").agg(first, F.max("doc_id").alias("most")).where("f.source < most").select("w1", "w2", "f.*"))
     edges = (
         shared_windows.join(earliest, ["w1", "w2"]).where("source < doc_id")
         .select("doc_id", "row_key", "lo", F.lit(1).alias("n"), "source", "there")
     )
     found = (
-        judged.where("source is not null").unionByName(edges)
+        judged.where("source is not null").unionByName(saved(edges))
         .groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("lo", "n", "source", "there")).alias("ranges"))
     )
     return (
