@@ -13,9 +13,10 @@ it can count, if its bounds lie outside every score window, or if its upper boun
 strictly below the k-th score found so far, after which the search is over, as all others
 are no better. So what is left out cannot be in the result, ties included.
 
-Anchors are packed into blocks of one label; block meets shard in a task of its own, both of
-bounded size, and only the few best of a shard leave it. First the positives are found, in
-shards that hold the block's label, then, in all others, the negatives of each window.
+Anchors are packed into blocks of one label; a block meets chunks of SHARDS shards, which a
+task takes one after the other with what it has found so far, so that bounds tighten and
+only the few best of a chunk leave it. First the positives are found, in shards that hold
+the block's label, then, in all others, the negatives of each window.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ SCALE = 256
 K = 5
 LOW, HIGH = 80, 100  # a negative's score in per cent of the positive's
 SHARD, LEAF, FAN, BLOCK = 4096, 64, 16, 512
+SHARDS = 16  # of a chunk
 AXES = 3
 
 
@@ -98,10 +100,9 @@ class Tree:
                 if open_[level - 1][c]:
                     heapq.heappush(queue, (-upper[level - 1][c], level - 1, c))
 
-    def nearest(self, anchor: np.ndarray, own: int, label: int, bounds: list, k: int) -> list[tuple[int, int]]:
-        """(score, id) of the k best rows with the anchor's label, but itself."""
+    def nearest(self, anchor: np.ndarray, own: int, label: int, bounds: list, k: int, best: list[tuple[float, int]]) -> list[tuple[float, int]]:
+        """(-score, id) of the k best rows with the anchor's label, but itself, here and in `best`."""
         open_ = [(low <= label) & (label <= high) for _, _, low, high in self.levels]
-        best: list[tuple[float, int]] = []
         for bound, leaf in self.best_first([upper for _, upper in bounds], open_):
             if len(best) == k and bound < -best[-1][0]:
                 break
@@ -111,15 +112,14 @@ class Tree:
             if len(best) == k:
                 pick &= score >= -best[-1][0]
             best = sorted([*best, *((-float(score[i]), int(self.ids[a + i])) for i in np.flatnonzero(pick))])[:k]
-        return [(whole(-s), i) for s, i in best]
+        return best
 
-    def windows(self, anchor: np.ndarray, label: int, tops: list[int], bounds: list, k: int) -> list[list[tuple[int, int]]]:
-        """For each top score (score, id) of the k best rows with another label from LOW to HIGH per cent of it."""
-        found: list[list[tuple[int, int]]] = [[] for _ in tops]
+    def windows(self, anchor: np.ndarray, label: int, tops: list[int], bounds: list, k: int, found: list[list[tuple[int, int]]]) -> None:
+        """Add to `found`, for each top score, (-score, id) of rows with another label from LOW to HIGH per cent of it; the k best stay."""
         # HIGH times a score may exceed 64 bits as a number, but not as Python's
         live = [j for j, t in enumerate(tops) if LOW * t <= HIGH * t]
         if not live:
-            return found
+            return
         floor = [LOW * t / HIGH - 1e-9 * abs(t) - 1e-9 for t in tops]
         ceiling = max(tops[j] for j in live)
         least = min(floor[j] for j in live)
@@ -136,7 +136,6 @@ class Tree:
                     if LOW * tops[j] <= HIGH * s <= HIGH * tops[j]:
                         insort(found[j], (-s, int(self.ids[a + i])))
                         del found[j][k:]
-        return [[(-s, i) for s, i in f] for f in found]
 
 
 def whole(score: float) -> int:
@@ -202,30 +201,53 @@ _FOUND = "anchor_id long, positive_id long, positive_score long, vec_id long, sc
 
 def _search(negatives: bool, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block, found = None, None, []
+
+        def out() -> pa.RecordBatch:
+            rows = []
+            for own, tops, best in zip(block.anchors.tolist(), block.tops, found, strict=True):
+                if negatives:
+                    rows += [(own, p, top, i, -s) for (p, top), each in zip(tops, best, strict=True) for s, i in each]
+                else:
+                    rows += [(own, None, None, i, whole(-s)) for s, i in best]
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["anchor_id", "positive_id", "positive_score", "vec_id", "score"])
+
         for b in batches:
             for r in b.to_pylist():
-                number = lambda name: np.frombuffer(r[name], np.int64)  # noqa: B023, E731
-                ids, anchors = number("ids"), number("anchors")
-                tree = Tree(ids, number("row_labels"), np.frombuffer(r["x"]).reshape(len(ids), r["d"]), number("first"))
-                q = np.frombuffer(r["q"]).reshape(len(anchors), r["d"])
-                tops = np.split(np.arange(len(number("tops"))), np.cumsum(number("n_tops"))[:-1])
-                top_ids, scores = number("top_ids").tolist(), number("tops").tolist()
-                each = tree.bounds(q)
-                out = []
-                for a, own in enumerate(anchors.tolist()):
+                key = (r["d"], r["label"], r["g"], r["chunk"])
+                if held != key:
+                    if held is not None:
+                        yield out()
+                    held, block = key, Block(r)
+                    found = [[[] for _ in tops] if negatives else [] for tops in block.tops]
+                ids = np.frombuffer(r["ids"], np.int64)
+                tree = Tree(ids, np.frombuffer(r["row_labels"], np.int64), np.frombuffer(r["x"]).reshape(len(ids), r["d"]), np.frombuffer(r["first"], np.int64))
+                each = tree.bounds(block.q)
+                for a, own in enumerate(block.anchors.tolist()):
                     bounds = [(lower[a], upper[a]) for lower, upper in each]
-                    if not negatives:
-                        out += [(own, None, None, i, s) for s, i in tree.nearest(q[a], own, r["label"], bounds, k)]
-                        continue
-                    own_tops = tops[a].tolist()
-                    for t, best in zip(own_tops, tree.windows(q[a], r["label"], [scores[t] for t in own_tops], bounds, k), strict=True):
-                        out += [(own, top_ids[t], scores[t], i, s) for s, i in best]
-                cols = list(zip(*out, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["anchor_id", "positive_id", "positive_score", "vec_id", "score"])
+                    if negatives:
+                        tree.windows(block.q[a], r["label"], [top for _, top in block.tops[a]], bounds, k, found[a])
+                    else:
+                        found[a] = tree.nearest(block.q[a], own, r["label"], bounds, k, found[a])
+        if held is not None:
+            yield out()
 
     return run
 
 
+class Block:
+    """Anchors of a block with their vectors, and (id, score) of their positives."""
+
+    def __init__(self, row: dict):
+        number = lambda name: np.frombuffer(row[name], np.int64)
+        self.anchors = number("anchors")
+        self.q = np.frombuffer(row["q"]).reshape(len(self.anchors), row["d"])
+        pairs = list(zip(number("top_ids").tolist(), number("tops").tolist(), strict=True))
+        ends = np.cumsum(number("n_tops")).tolist()
+        self.tops = [pairs[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id, label, v, d: one row for each vec_id that takes part, components as whole numbers."""
     clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
@@ -275,16 +297,19 @@ def hard_negatives(vectors: DataFrame, every: int = 100, k_positive: int = K, k:
     anchors = rows.where(F.col("vec_id") % every == 0)
     groups = max(1, -(-anchors.count() // BLOCK))
     none = F.lit(None).cast("array<struct<positive_id: bigint, positive_score: bigint>>")
-    places = saved(shards.select("slab", "shard", "d", "labels"))
+    number = shards.count()
+    chunk = F.pmod(F.xxhash64("shard"), F.lit(max(1, -(-number // SHARDS)))).cast("int").alias("chunk")
+    places = saved(shards.select("slab", "shard", "d", "labels", chunk))
 
     def searched(blocks: DataFrame, pairs: DataFrame, negatives: bool, k: int) -> DataFrame:
-        """Every pair of a block and a shard is a task's row of its own."""
+        """Every block and chunk is one task's, shard after shard."""
         both = pairs.join(blocks, ["d", "label", "g"]).join(shards.drop("slab", "d", "labels"), "shard")
-        return both.repartition("shard", "d", "label", "g").drop("shard").mapInArrow(frugal(_search(negatives, k)), _FOUND)
+        order = ["d", "label", "g", "chunk"]
+        return both.repartition(*order).sortWithinPartitions(*order, "shard").mapInArrow(frugal(_search(negatives, k)), _FOUND)
 
     blocks = saved(_packed(anchors.withColumn("tops", none), groups))
     keys = blocks.select("d", "label", "g")
-    pairs = places.select("shard", "d", F.explode("labels").alias("label")).join(keys, ["d", "label"])
+    pairs = places.select("shard", "chunk", "d", F.explode("labels").alias("label")).join(keys, ["d", "label"])
     found = _first(searched(blocks, pairs, False, k_positive), ["anchor_id"], k_positive)
     positives = found.groupBy("anchor_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")))).alias("tops")
@@ -292,7 +317,7 @@ def hard_negatives(vectors: DataFrame, every: int = 100, k_positive: int = K, k:
     asked = saved(_packed(anchors.join(positives.withColumnRenamed("anchor_id", "vec_id"), "vec_id"), groups))
     last = places.agg(F.coalesce(F.max("slab"), F.lit(0))).scalar()
     everywhere = asked.select("d", "label", "g").withColumn("slab", F.explode(F.sequence(F.lit(0), last)))
-    others = everywhere.join(places, ["slab", "d"]).where((F.size("labels") > 1) | (F.col("labels")[0] != F.col("label"))).select("shard", "d", "label", "g")
+    others = everywhere.join(places, ["slab", "d"]).where((F.size("labels") > 1) | (F.col("labels")[0] != F.col("label"))).select("shard", "chunk", "d", "label", "g")
     return _first(searched(asked, others, True, k), ["anchor_id", "positive_id"], k).select(
         "anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")
     )
