@@ -55,7 +55,7 @@ def odd(d):
 
 @pytest.mark.parametrize("spread", [1.0, 0.2])
 def test_against_all_pairs(spark, monkeypatch, spread):
-    for name, x in (("SHARD", 96), ("BLOCK", 16)):  # more slabs and blocks; workers have their own constants
+    for name, x in (("SHARD", 96), ("BLOCK", 16), ("SHARDS", 2)):  # more slabs and blocks; workers have their own constants
         monkeypatch.setattr(H, name, x)
     rows = vectors(700, 12, 5, 3, spread) + odd(12)
     got = H.hard_negatives(frame(spark, rows), 10).collect()
@@ -100,9 +100,11 @@ def test_search_opens_few_leaves_where_vectors_are_clustered():
     bounds = [(lower[0], upper[0]) for lower, upper in tree.bounds(x[:1])]
     opened = []
     tree.best_first, walk = lambda *a: (opened.append(1) or item for item in walk(*a)), tree.best_first
-    got = tree.nearest(x[0], 0, labels[0], bounds, 5)
+    got = tree.nearest(x[0], 0, labels[0], bounds, 5, [])
     want = sorted((-int(x[i] @ x[0]), i) for i in range(1, 4000) if labels[i] == labels[0])[:5]
-    assert got == [(-s, i) for s, i in want] and len(opened) < 0.5 * len(first)
+    assert got == want and len(opened) < 0.5 * len(first)
+    opened.clear()  # with better rows found before, fewer leaves are opened
+    assert tree.nearest(x[0], 0, labels[0], bounds, 5, [(-1e12, -i) for i in range(5)]) == [(-1e12, -i) for i in range(5)] and len(opened) <= 1
 
 
 def test_extreme_components_do_not_fail(spark):

@@ -68,6 +68,25 @@ def test_each_measure_can_reject_a_document_that_passes_the_base_rules(spark):
         assert not r["base_failed"] and not r["kept"] and r[m] > r[f"max_{m}"], m
 
 
+def test_fences_of_a_large_group_are_near_those_of_exact_quantiles(spark):
+    from turnout.llm.quality_rules import FENCE, OUTER, STEPS, thresholds
+
+    r = np.random.default_rng(7)
+    n = 30_000
+    cols = {m: r.gamma(2.0, 0.1 * (i + 1), n) for i, m in enumerate(STEPS)}
+    rows = [("en", None if i % 3 else "s", i % 11 == 0, *(float(c[i]) for c in cols.values())) for i in range(n)]
+    df = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, " + ", ".join(f"{m} double" for m in STEPS)).repartition(6)
+    got = {x["t_source"]: x for x in thresholds(df).collect()}
+    for source, pick in ((None, lambda i: i % 3), ("s", lambda i: not i % 3)):
+        some = np.array([i for i in range(n) if pick(i) and i % 11])
+        for m, least in STEPS.items():
+            x = np.sort(cols[m][some])
+            rank = lambda q: x[[int((q - 0.01) * len(x)), int((q + 0.01) * len(x))]]  # noqa: B023, E731
+            (mid_lo, mid_hi), (out_lo, out_hi) = rank(0.5), rank(OUTER)
+            low, high = mid_lo + FENCE * max(out_lo - mid_hi, least), mid_hi + FENCE * max(out_hi - mid_lo, least)
+            assert low - 0.005 <= got[source][f"max_{m}"] <= high + 0.005, (source, m)
+
+
 # --------------------------------------------------------------------- toxicity
 def brute_segments(s):
     """Maximal segments by definition: best sum, widest among none shorter, then left and right of it."""
@@ -353,6 +372,15 @@ def test_all_regions_of_the_article_are_kept(page, want):
     assert H.main_text(page, None) == want
 
 
+def test_a_lone_teaser_is_known_by_the_hosts_repeated_group():
+    teaser = "<article><h2><a href=x>Other story {}</a></h2><p>its lead {}</p></article>"
+    page = lambda i, n: f"<main><article><h1>T{i}</h1><p>{' '.join(prose(40 + i, 30))}</p></article><section>{''.join(teaser.format(i * 10 + k, i) for k in range(n))}</section></main>"
+    rows = [page(i, n) for i, n in enumerate((3, 4, 1, 2, 1))]
+    whole = wrapped(rows)
+    for i, row in enumerate(rows):
+        assert H.main_text(row, whole) == f"T{i}\n{' '.join(prose(40 + i, 30))}", i
+
+
 def test_pages_nest_as_deep_as_they_like(spark):
     deep = "<html><body><div>Standing line</div>" + "<div class=a>" * 50_000 + "<p>text {i}</p>" + "</div>" * 50_000
     rows = [(i, "http://d.example.org/x", deep.replace("{i}", str(i)) if i < 2 else "<html><body><div>Standing line</div><p>other</p>", 1) for i in range(3)]
@@ -459,3 +487,42 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in left.collect()}
     whole = corpus_pipeline.run(spark, SF).select("doc_id", "start", "length", "ids_crc32").collect()
     assert sorted(map(tuple, whole)) == sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in packed)
+
+
+def folder(spark, path, rows, labels):
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "extra") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row string")
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null and empty texts; each row's decision is its own."""
+    good = [(i, " ".join(prose(5000 + i, 70))) for i in range(500)]
+    toxic = lambda i: " ".join(w if k % 6 else "vile" + w for k, w in enumerate(prose(9000 + i, 70)))
+    bad = [(1000 + i, toxic(i)) for i in range(150)]
+    odd = [(None, toxic(900)), (None, " ".join(prose(7, 60))), (2000, toxic(901)), (2000, " ".join(prose(8, 60))), (2001, None), (2002, ""), (2003, "too short"), (7, good[7][1])]
+    path = folder(spark, tmp_path, good + bad + odd, [(i, 1, 0) for i, _ in good] + [(i, 0, 1) for i, _ in bad])
+    left, names = spark.read.parquet(f"{path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        left = corpus_pipeline.saved(stage(spark, left, path))
+        names.append(name)
+        if name != "packing":
+            assert left.columns == corpus_pipeline.COLUMNS
+        rows = [(r["doc_id"], r["text"]) for r in left.select("doc_id", *(["text"] if name != "packing" else [corpus_pipeline.F.lit("").alias("text")])).collect()]
+        if name == "quality":
+            assert not {2001, 2002, 2003} & {i for i, _ in rows} and sum(i is None for i, _ in rows) == 2
+        if name == "toxicity":
+            ids = [i for i, _ in rows]
+            assert ids.count(None) == 1 and ids.count(2000) == 1 and sum(i is not None and 1000 <= i < 1150 for i in ids) < 10 and sum(i is not None and i < 500 for i in ids) > 480
+    assert {i for i, _ in rows} >= {None, 2000} and names == ["quality", "toxicity", "near_copies", "substrings", "packing"]
+
+
+def test_pipeline_of_an_empty_table_and_without_toxic_labels(spark, tmp_path):
+    path = folder(spark, tmp_path / "a", [], [(1, 1, 1)])
+    assert corpus_pipeline.run(spark, path).count() == 0
+    rows = [(i, " ".join(prose(6000 + i, 70))) for i in range(40)]
+    path = folder(spark, tmp_path / "b", rows, [(i, 1, 0) for i, _ in rows])
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    assert corpus_pipeline.toxicity(spark, docs, path).count() == 40
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, path).collect()} == set(range(40))

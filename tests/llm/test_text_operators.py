@@ -52,8 +52,28 @@ def brute_spans(rows, window):
 def test_repeated_spans(spark, window):
     got = repeated_spans(documents(spark), window).collect()
     assert by_row(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_spans(texts(), window)
+    at = {}
+    for i, t in texts():
+        at.setdefault(i, []).append(words(t))
     for r in got:
         assert sum(s["n_words"] for s in r["spans"]) == r["n_removed"]
+        covered = {w for f in r["factors"] for w in range(f["first_word"], f["first_word"] + f["n_words"])}
+        assert covered == {w for s in r["spans"] for w in range(s["first_word"], s["first_word"] + s["n_words"])}
+        for f in r["factors"]:  # copied from where it says, and as long as it may be without changing the source
+            assert f["n_words"] >= window and f["source_id"] < r["doc_id"]
+            own = [x for x in at[r["doc_id"]] if len(x) == r["n_words"]]
+            taken = lambda x, a: x[a : a + f["n_words"]]  # noqa: B023, E731
+            assert any(taken(x, f["first_word"]) == taken(y, f["source_word"]) for x in own for y in at[f["source_id"]])
+        for f, g in zip(r["factors"], r["factors"][1:]):
+            assert f["first_word"] < g["first_word"]
+            assert (f["source_id"], f["source_word"] - f["first_word"]) != (g["source_id"], g["source_word"] - g["first_word"]) or g["first_word"] > f["first_word"] + f["n_words"] - window
+
+
+def test_a_copied_passage_is_one_factor(spark):
+    body = prose(77, 400)
+    rows = [(1, " ".join(body)), (2, " ".join(["x", "y", *body[30:330], "z"])), (3, " ".join(body[100:200] + prose(78, 30) + body[:90]))]
+    got = {r["doc_id"]: [tuple(f) for f in r["factors"]] for r in repeated_spans(documents(spark, rows)).collect()}
+    assert got == {1: [], 2: [(2, 300, 1, 30)], 3: [(0, 100, 1, 100), (130, 90, 1, 0)]}
 
 
 def test_repeated_spans_of_repetitive_texts(spark):
@@ -145,6 +165,55 @@ def test_byte_bpe_round_trip(spark):
     assert all(len(r["ids"]) == 4 * r["n_tokens"] for r in whole)
 
 
+def test_many_distinct_long_words_and_a_small_table(spark, monkeypatch):
+    """Words too long and too many for the tables, which empty themselves on the way."""
+    import random
+
+    from turnout.llm import units as U
+
+    r = random.Random(9)
+    rows = [(i, " ".join("".join(r.choices("abcdeéß.", k=r.randrange(1, 4000))) for _ in range(12))) for i in range(20)]
+    rows += [(100 + i, f"a  b\t{i} c,d. e! " + "x" * i + "\n\n" + "don't  we'll, " * i) for i in range(20)]
+    small = U.Table(room=50, ids=200)
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    from turnout.llm.packing import WordIds
+
+    enc = WordIds(P.path("word_bpe_49k.json"))
+    enc.table = small
+    import pyarrow as pa
+
+    for lo in range(0, len(rows), 7):
+        col = pa.array([x for _, x in rows[lo : lo + 7]])
+        ids, first = enc.encode(col, 1)
+        want = [[*t.encode(x, add_special_tokens=False).ids, 1] for x in col.to_pylist()]
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == want
+        assert len(small.keys) <= 50 + len(set(" ".join(col.to_pylist()).split())) * 2
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    v = Vocabulary(path)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=v.ranks, special_tokens={})
+    got = {x["doc_id"]: np.frombuffer(x["ids"], "<u4").tolist() for x in encode(documents(spark, rows), path, P.PATTERN).collect()}
+    assert got == {i: library.encode_ordinary(x) for i, x in rows}
+    counter = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    n = {x["doc_id"]: x["n_tokens"] for x in token_counts(documents(spark, rows), P.path("byte_bpe_50k.json")).collect()}
+    assert n == {i: len(counter.encode(x, add_special_tokens=False).ids) for i, x in rows}
+
+
+@pytest.mark.parametrize("texts_", [["a b", None, "", "x.\ny!", " lead", "trail ", "two  gaps", "tab\tbed", "nb\u00a0sp", "é\u2003z", "q?!", "9.9.", "a\n\nb", ",", "a,"]])
+def test_units_tile_every_text(texts_):
+    import pyarrow as pa
+    import regex
+
+    from turnout.llm.units import pre_units
+
+    find = regex.compile(P.PATTERN).findall
+    data, cut, before = pre_units(pa.array(texts_), lambda t: list(map(len, find(t))))
+    raw = bytes(data)
+    for i, t in enumerate(texts_):
+        own = [raw[a:b].decode() for a, b in zip(cut[before[i] : before[i + 1]], cut[before[i] + 1 : before[i + 1] + 1])]
+        assert "".join(own) == (t or "")
+        assert [p for u in own for p in find(u)] == find(t or "")
+
+
 def test_rank_queue_on_long_and_equal_pre_tokens():
     v = Vocabulary(P.path("byte_bpe_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=v.ranks, special_tokens={})

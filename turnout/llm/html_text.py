@@ -60,12 +60,12 @@ SALTS = 32
 
 
 class Region:
-    """A part of a page that says it is the article: its tag and the node it stands in."""
+    """A part of a page that says it is the article: its tag, its node and the node it stands in."""
 
-    __slots__ = ("parent", "tag")
+    __slots__ = ("node", "parent", "tag")
 
-    def __init__(self, tag: str, parent: Node):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, node: Node, parent: Node):
+        self.tag, self.node, self.parent = tag, node, parent
 
 
 class Leaf:
@@ -192,10 +192,10 @@ def parse(page: str) -> tuple[Node, list[Leaf]]:
         if tag not in ("html", "body"):
             wanted = wanted and tag not in NO_TEXT and (not words & ASIDE or tag in ("article", "main") and not words & {"comment", "reply", "teaser", "ad", "related"})
             wanted = wanted and not (tag == "header" and not article)
-        if wanted and holds and (tag in ("article", "main") or not article):
-            article = Region(tag, node)
         kid = Node(label_of(tag, words))
         node.kids.append(kid)
+        if wanted and holds and (tag in ("article", "main") or not article):
+            article = Region(tag, kid, node)
         if not attrs.endswith("/"):
             opened[tag] = opened.get(tag, 0) + 1
             stack.append((tag, kid, wanted, article))
@@ -370,16 +370,20 @@ def align(a: Node, b: Node, one_page: bool = False) -> Node:
     return root
 
 
-def template_leaves(page: Node, wrapper: Node) -> set[int]:
-    """id() of the page's leaves whose own whole text is a constant of the wrapper, where the wrapper has slots to compare with.
+def template_leaves(page: Node, wrapper: Node) -> tuple[set[int], set[int]]:
+    """What the wrapper says of a page: id() of leaves that are template, and of nodes in repeated groups.
 
-    A constant is a text that at least two pages have, and half of the host's.
+    A leaf is template if its own whole text is a constant of the wrapper, a text that at
+    least two pages have, and half of the host's, where the wrapper has slots to compare with.
     """
     found: set[int] = set()
+    repeated: set[int] = set()
     slots = 0
     left = [(page, wrapper)]
     while left:
         p, w = left.pop()
+        if w.many:
+            repeated.add(id(p))
         if p.label == "#":
             if w.const is None:
                 slots += any(x.wanted for x in p.leaves)
@@ -387,7 +391,7 @@ def template_leaves(page: Node, wrapper: Node) -> set[int]:
                 found.update(id(x) for x in p.leaves if constant(x.text) == w.const)
             continue
         left += [(x, y) for x, y in _matches(p.kids, w.kids) if x is not None and y is not None]
-    return found if slots else set()
+    return found if slots else set(), repeated
 
 
 def _linked(leaves: list[Leaf]) -> bool:
@@ -395,20 +399,24 @@ def _linked(leaves: list[Leaf]) -> bool:
     return 2 * sum(x.linked for x in leaves) > sum(sum(map(len, x.parts)) for x in leaves)
 
 
-def article_regions(regions: dict[Region, list[Leaf]], best: Region) -> set[Region]:
+def article_regions(regions: dict[Region, list[Leaf]], best: Region, repeated: set[int]) -> set[Region]:
     """Regions of the article: the largest and all others that are no teasers.
 
-    A teaser is one of several regions of a kind side by side with a line that is a link,
-    its title. Where the largest is one itself, the page is a list and all of them stay.
+    A teaser is one of several regions of a kind side by side, on this page or in a repeated
+    group of the host's wrapper, with a line that is a link, its title. Where the largest is
+    one of several itself, the page is a list and all of them stay.
     """
     kinds = Counter((r.tag, id(r.parent)) for r in regions)
-    teasers = {r for r, leaves in regions.items() if kinds[r.tag, id(r.parent)] > 1 and any(_linked([x]) for x in leaves)}
-    return set(regions) if best in teasers else set(regions) - teasers
+    titled = {r for r, leaves in regions.items() if any(_linked([x]) for x in leaves)}
+    teasers = {r for r in titled if kinds[r.tag, id(r.parent)] > 1}
+    if best in teasers:
+        return set(regions)
+    return set(regions) - teasers - {r for r in titled if id(r.node) in repeated and r is not best}
 
 
 def main_text(page: str, wrapper: Node | None) -> str:
     root, leaves = parse(page)
-    dropped = template_leaves(fold(root), wrapper) if wrapper is not None else set()
+    dropped, repeated = template_leaves(fold(root), wrapper) if wrapper is not None else (set(), set())
     left = [x for x in leaves if x.wanted and x.text and id(x) not in dropped]
     regions: dict[Region, list[Leaf]] = {}
     for x in left:
@@ -416,7 +424,7 @@ def main_text(page: str, wrapper: Node | None) -> str:
             regions.setdefault(x.article, []).append(x)
     if regions:
         best = max(regions, key=lambda r: sum(len(x.text) for x in regions[r]))
-        kept = article_regions(regions, best)
+        kept = article_regions(regions, best, repeated)
         # outside the largest region and those of its kind lists of links go
         left = [x for x in left if x.article in kept and ((x.article.tag, x.article.parent) == (best.tag, best.parent) or not _linked([x]))]
     else:  # no article is marked: lists of links go
