@@ -152,3 +152,20 @@ def test_an_unseen_show_and_an_unseen_word_can_be_scored(past):
     model = M.Forest(5).fit(past)
     odd = past.limit(3).withColumns({"city": F.lit("nowhere"), "rate_minimum": F.lit(None).cast("double"), "event_id": F.lit(-5).cast(dict(past.dtypes)["event_id"])})
     assert model.predict(odd).filter("p is not null and p between 0 and 1").count() == 3
+
+
+def test_trees_join_the_fold_loop_of_the_comparison(past):
+    """Out-of-fold rows of both, whose training frames have a fold of their own."""
+
+    class Boosted(M.BoostedTrees):
+        def __init__(self):
+            super().__init__(4)
+
+    class Few(M.Forest):
+        def __init__(self):
+            super().__init__(3)
+
+    got = M.out_of_fold([Boosted, Few], past)
+    n = past.count()
+    assert {(r["model"], r["n"]) for r in got.groupBy("model").agg(F.count("p").alias("n")).collect()} == {("M3", n), ("M4", n)}
+    assert got.filter("p < 0 or p > 1").count() == 0

@@ -330,7 +330,7 @@ class CalibratedTrees(Baseline):
 
     def rows(self, train: DataFrame, job: int = 0) -> DataFrame:
         """What a fit reads: a bounded part of `train`, with calibration folds that keep shows whole."""
-        lab = train.filter(F.col("y").isNotNull())
+        lab = train.filter(F.col("y").isNotNull()).drop("fold", "job")  # those of an outer loop
         n = lab.count()
         if n > T.SAMPLE:
             lab = lab.filter(F.pmod(F.xxhash64(F.lit("sample"), "ticket_id"), F.lit(1_000_000)) < int(1_000_000 * T.SAMPLE / n))
