@@ -229,7 +229,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     known = src.where("doc_id is not null and text is not null")
     sig = saved(known.select("doc_id", "text", "row_key").mapInArrow(frugal(_signatures(bands, rows)), "doc_id long, row_key long, s1 long, s2 long, n long, bands array<long>"))
     own = sig.groupBy("doc_id").agg(F.max(F.struct("n", "s1", "s2", "row_key")).alias("x")).select("doc_id", "x.*")
-    classes = own.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    # written before the join, so that AQE can split the side of a set that very many documents have
+    classes = saved(own.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     member = saved(own.join(classes, ["s1", "s2", "n"]).select("doc_id", "rep", "copies", "row_key"))
     reps = member.where("doc_id = rep").select("doc_id", "row_key", "copies")
     chosen = sig.join(reps, ["doc_id", "row_key"]).select(F.col("doc_id").alias("rep"), "row_key", "copies", "n", "bands")
