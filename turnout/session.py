@@ -21,8 +21,20 @@ BASE_CONF = {
 }
 
 
+def share_path() -> None:
+    """Python workers of a session made after this find the package from any folder of this machine.
+
+    A cluster gets it by spark.submit.pyFiles or an installed package.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def local_session(cpus: int | str = "*", app: str = "turnout", memory: str = "12g") -> SparkSession:
     """Session for tests and the benchmark on one machine."""
+    share_path()
     b = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     for k, v in BASE_CONF.items():
         b = b.config(k, v)
