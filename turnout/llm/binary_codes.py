@@ -32,8 +32,8 @@ from turnout.llm.common import frugal, saved
 
 K = 20
 SEED = 7
-EXPAND = 4  # bits of a code for each component
-DEVIATIONS = 3.0
+EXPAND = 6  # bits of a code for each component
+DEVIATIONS = 4.0  # a neighbour at the bound itself is missed with a chance of 3e-5
 FIRST = 4  # times k vectors are reranked to begin with
 BLOCK = 4096  # vectors of a block
 BLOCKS = 4  # blocks of a chunk
