@@ -170,3 +170,17 @@ def test_names_of_a_core_of_ten_thousand_are_not_multiplied(spark):
         tokens = sorted(["maria", word("qq", i) if i % 2 else word("ww", i)])
         assert got["maria", "[" + ", ".join(tokens) + "]"] == ((0.5, n - 1) if i % 2 else (1.0, i)), i
     pairs.unpersist()
+
+
+def test_buyers_and_users_of_near_mailboxes_are_not_multiplied(spark):
+    n = 200  # below a hot block, where each buyer once met each user
+    phone = lambda start, i: str(start + 1009 * i)
+    sales = spark.createDataFrame([(i, "ana.ruiz12@gmail.com", phone(3100000000, i), "Ana Ruiz") for i in range(n)],
+                                  "sale_id long, buyer_email string, buyer_phone string, buyer_name string")
+    users = spark.createDataFrame([(i, "ana.ruiz1@gmail.com", phone(3200000000, i), "Ana", "Ruiz") for i in range(n)],
+                                  "user_id long, email string, phone string, first_name string, last_name string")
+    profiles, known = L.buyer_profiles(L.normalise_sales(sales)), L.user_profiles(L.normalise_users(users))
+    found = [r["found"] for r in L.candidates(profiles, known, L.LinkConfig()).collect()]
+    assert len(found) == n and max(map(len, found)) <= 8
+    for x in found:  # all users score alike, so the two largest ids come first
+        assert [r["uid"] for r in sorted(x, reverse=True)][:2] == [n - 1, n - 2]
