@@ -26,7 +26,7 @@ from turnout.operators import simulate as S
 from turnout.operators import splits as SP
 from turnout.plans import experiment as X
 from turnout.plans import report as RP
-from turnout.session import frozen
+from turnout.session import frozen, stored
 from turnout.sources import tables as T
 from turnout.sources.adapter import AS_OF, star_tables
 
@@ -34,6 +34,7 @@ WEEKS = {"train": (1, 2), "val": (3,), "test": (4,)}
 NOW = "2024-01-25 15:00:00"
 MIN_P = 0.40  # the sample's courtesy rates lie below one half
 SEED = S.SEED
+SCORED = ["ticket_id", "sale_id", "event_id", "artist_name", "is_courtesy", "y", "p"]  # what simulations and decisions read
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -86,11 +87,11 @@ class Inputs:
 
     @property
     def links(self):
-        return self.once("links", lambda: frozen(L.link(self.t.sales, self.t.users)))
+        return self.once("links", lambda: stored(L.link(self.t.sales, self.t.users)))
 
     @property
     def features(self):
-        return self.once("features", lambda: frozen(FT.ticket_features(self.t, self.links, AS_OF)))
+        return self.once("features", lambda: stored(FT.ticket_features(self.t, self.links, AS_OF)))
 
     @property
     def parts(self):
@@ -106,11 +107,11 @@ class Inputs:
 
     @property
     def past3(self):
-        return self.once("past3", lambda: frozen(R.leave_show_out(self.lab)))
+        return self.once("past3", lambda: stored(R.leave_show_out(self.lab).select(*SCORED)))
 
     @property
     def fut3(self):
-        return self.once("fut3", lambda: frozen(R.TypeArtistRate().fit(self.lab).predict(self.future)))
+        return self.once("fut3", lambda: stored(R.TypeArtistRate().fit(self.lab).predict(self.future).select(*SCORED)))
 
     @property
     def test3(self):
@@ -164,7 +165,7 @@ class Inputs:
 
     @property
     def m1_held_out(self):
-        return self.once("loo", lambda: frozen(M.leave_show_out(self.features.filter("labelled"))))
+        return self.once("loo", lambda: stored(M.leave_show_out(self.features.filter("labelled"))))
 
 
 def r(col, places=6):
@@ -1050,7 +1051,7 @@ _HELD = dict(
 def oof_baselines(spark, d):
     """Out-of-fold predictions of the rate models, whole shows left out together."""
     i = Inputs.of(spark, d)
-    out = i.once("oof_base", lambda: frozen(M.out_of_fold(R.BASELINES, SP.with_split(i.base, WEEKS).filter("split in ('train', 'val')"))))
+    out = i.once("oof_base", lambda: stored(M.out_of_fold(R.BASELINES, SP.with_split(i.base, WEEKS).filter("split in ('train', 'val')"))))
     return rounded(out.select("model", "fold", "ticket_id", "p"), 9)
 
 

@@ -204,3 +204,9 @@ def test_permutation_follows_shuffled_labels(spark):
     p = L.permutation_p(spark.createDataFrame(gaps)).first()["p_value"]
     assert abs(p - (1 + (np.abs(other) >= abs(seen) - 1e-9).sum()) / 3001) < 0.05
     assert L.permutation_gap(df.filter("r > 0.5"), "y", "r", 3, 5, 0.4, 0.7).filter(F.col("gap").isNotNull()).count() == 0
+
+
+def test_scored_tickets_are_stored_with_the_columns_that_are_read(inputs):
+    from checks.catalog import SCORED
+
+    assert inputs.past3.columns == SCORED and inputs.fut3.columns == SCORED

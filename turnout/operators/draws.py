@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from turnout.functions.hashing import PRIME, hash31, hash31_of
 from turnout.functions.scalars import logit
-from turnout.session import compute_partitions
+from turnout.session import compute_partitions, stored
 
 PLACES = 12  # probabilities that agree to so many places are one cell
 CELLS = 512  # cells of a show that one task counts; a show with more is spread
@@ -140,11 +140,10 @@ def drawn(tickets: DataFrame, sigmas: DataFrame, coefficients: DataFrame, sigma_
     """
     spark = tickets.sparkSession
     shared = spark.sparkContext.broadcast(collected(coefficients))
-    made = cells(tickets, sigma_group > 0)
+    made = stored(cells(tickets, sigma_group > 0))
     sizes = made.groupBy("event_id").agg(F.ceil(F.count(F.lit(1)) / CELLS).alias("parts"))
     shows = sigmas.select("event_id", "sigma", hash31(F.lit("show"), F.col("event_id")).alias("eh")).join(sizes, "event_id")
-    keyed = made.join(shows, "event_id").select("event_id", (F.col("h") % F.col("parts")).alias("part"), logit(F.col("p")).alias("lp"), "n", "h", "gh", "sigma", "eh")
-    placed = keyed.repartition(compute_partitions(spark), "event_id", "part").sortWithinPartitions("event_id", "part", "h")
+    keyed = made.join(shows, "event_id").select("event_id", "parts", (F.col("h") % F.col("parts")).alias("part"), logit(F.col("p")).alias("lp"), "n", "h", "gh", "sigma", "eh")
     names = ["lp", "n", "h", "gh", "sigma", "eh"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,10 +169,17 @@ def drawn(tickets: DataFrame, sigmas: DataFrame, coefficients: DataFrame, sigma_
             yield made()
 
     kind = dict(tickets.dtypes)["event_id"]
-    parts = placed.mapInArrow(run, f"event_id {kind}, counts array<int>")
-    # a show has one array for CELLS cells; they are added place by place
+
+    def counts(rows: DataFrame) -> DataFrame:
+        placed = rows.drop("parts").repartition(compute_partitions(spark), "event_id", "part").sortWithinPartitions("event_id", "part", "h")
+        return placed.mapInArrow(run, f"event_id {kind}, counts array<int>")
+
+    # the array of a show counted in one task stays where it is; others have one for CELLS
+    # cells, which are added place by place
     add = lambda a, x: F.when(F.size(a) == 0, x).otherwise(F.zip_with(a, x, lambda p, q: p + q))
-    return parts.groupBy("event_id").agg(F.aggregate(F.collect_list("counts"), F.array().cast("array<int>"), add).alias("counts"))
+    spread = counts(keyed.filter("parts > 1")).groupBy("event_id").agg(
+        F.aggregate(F.collect_list("counts"), F.array().cast("array<int>"), add).alias("counts"))
+    return counts(keyed.filter("parts = 1")).unionByName(spread)
 
 
 def quantile(counts, q: float, n: int):

@@ -18,7 +18,7 @@ from turnout.operators.ordered import quantiles, running
 from turnout.operators.rates import Baseline
 from turnout.operators.side_by_side import fit as fit_side_by_side
 from turnout.operators.splits import event_folds
-from turnout.session import frozen, lookup
+from turnout.session import frozen, lookup, stored
 
 # Penalties of the segmented model.
 L2_BASE = 1e-3
@@ -365,7 +365,7 @@ class Forest(CalibratedTrees):
 def out_of_fold(models, df: DataFrame, k: int = 5) -> DataFrame:
     """Out-of-fold predictions of every model in one frame (model, fold, ticket_id, y, p, ...)."""
     keep = ["ticket_id", "event_id", "is_courtesy", "is_residency", "y"] + [c for c in ("linked",) if c in df.columns]
-    x = frozen(df.join(event_folds(df, k), "event_id"))
+    x = stored(df.join(event_folds(df, k), "event_id"))
 
     def one(job):
         make, fold = job

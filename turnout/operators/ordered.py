@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnout.session import frozen
+from turnout.session import stored
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
@@ -34,7 +34,7 @@ def running(
     by = by or []
     sums = sums or {}
     keys = [F.col(b) for b in by] + order
-    placed = frozen(
+    placed = stored(
         df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_pos", F.monotonically_increasing_id())

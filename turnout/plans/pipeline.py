@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from turnout.operators import arrival, decide, linkage, models, simulate
 from turnout.operators.features import ticket_features
 from turnout.plans import report
-from turnout.session import frozen
+from turnout.session import frozen, stored
 from turnout.sources.tables import Tables, require_no_dangling, write_csv, write_json_document
 
 # Column names of the deliverables, in order.
@@ -60,18 +60,18 @@ class Season:
 def run_season(t: Tables, s: Settings, check_keys: bool = True) -> Season:
     if check_keys:
         require_no_dangling(t)
-    links = frozen(linkage.link(t.sales, t.users))
-    features = frozen(ticket_features(t, links, s.as_of))
+    links = stored(linkage.link(t.sales, t.users))
+    features = stored(ticket_features(t, links, s.as_of))
     past, future = features.filter(F.col("y").isNotNull()), features.filter(F.col("y").isNull())
 
-    held_out = frozen(models.leave_show_out(past))
+    held_out = stored(models.leave_show_out(past))
     shock = frozen(simulate.show_shock(simulate.event_residuals(held_out)))
     tested = frozen(simulate.back_test(held_out, shock, s.n_sim_back_test, s.seed))
     model = models.SegmentedLogistic().fit(past)
     scored_past = model.predict(past)
     sigma_group = simulate.chosen_group_sigma(scored_past)
 
-    scored = frozen(model.predict(future))
+    scored = stored(model.predict(future))
     sigmas = frozen(simulate.show_sigmas(scored, shock))
     forecast = frozen(simulate.forecast(scored, sigmas, s.n_sim, s.seed, sigma_group))
 
