@@ -84,7 +84,7 @@ def run_season(t: Tables, s: Settings, check_keys: bool = True) -> Season:
 
     chosen = decide.invite_candidates(
         eligible, shows.join(t.events.select("event_id", "city"), "event_id"),
-        decide.holders(future), score,
+        decide.holders(future), score, reads=model.user_columns,
     )
     acts = frozen(decide.actions(
         decide.invite_lever(chosen, shows, t.events, s.as_of),
