@@ -210,3 +210,13 @@ def test_scored_tickets_are_stored_with_the_columns_that_are_read(inputs):
     from checks.catalog import SCORED
 
     assert inputs.past3.columns == SCORED and inputs.fut3.columns == SCORED
+
+
+def test_overselling_uses_all_tasks(spark):
+    """Shows in one file, and shows already placed by event_id in few tasks, are spread."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    one = spark.range(40).select(F.col("id").alias("event_id"), F.lit(9).alias("n")).coalesce(1)
+    assert "REPARTITION_BY_NUM" in plan(D.picks(one, 10, 1))
+    full = one.select("event_id", *[F.lit(1.0).alias(c) for c in ("capacity", "expected", "sigma")], F.array(F.lit(1)).alias("counts"), F.array(F.lit(0.5)).alias("extra"))
+    placed = full.groupBy("event_id").agg(*[F.first(c).alias(c) for c in full.columns[1:]])
+    assert "REPARTITION_BY_NUM" in plan(W.crossings(placed, S.sim_coefficients(spark, 5), 0.05))
