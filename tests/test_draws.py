@@ -47,6 +47,13 @@ def test_binomial(n):
         assert k == least([math.comb(n, j) * q**j * (1 - q) ** (n - j) for j in range(n + 1)], Fraction(x))
 
 
+def test_binomial_of_cells_side_by_side():
+    r = np.random.default_rng(5)
+    n, u, p = np.array([[1], [3], [90], [2500]]), r.random((4, 3000)), r.random((4, 3000))
+    got = W.binomial(u, n, p)
+    assert got.shape == (4, 3000) and all((got[i] == W.binomial(u[i], int(n[i, 0]), p[i])).all() for i in range(4))
+
+
 def test_binomial_of_a_large_cell():
     u = (np.arange(4000) + 0.5) / 4000
     k = W.binomial(u, 1_000_000, np.full(4000, 0.37))
