@@ -17,13 +17,16 @@ HOURS_AFTER = 3
 
 def arrival_curve(tickets: DataFrame, events: DataFrame) -> DataFrame:
     """Share of check-ins per 15-minute bin around the start: (minute, n, fraction)."""
-    came = tickets.filter(F.coalesce("checked_in", F.lit(False)) & F.col("checked_in_at").isNotNull())
+    # who did not come is a bin of its own that is dropped at the end: a filter would be
+    # pushed below the join and repeat the expressions behind both columns
+    came = F.coalesce("checked_in", F.lit(False)) & F.col("checked_in_at").isNotNull()
     bins = (
-        came.select("event_id", "checked_in_at")
+        tickets.select("event_id", F.when(came, F.col("checked_in_at")).alias("at"))
         .join(events.select("event_id", "starts_at"), "event_id")
-        .select(minute_bin(F.col("checked_in_at"), F.col("starts_at"), BIN).alias("minute"))
+        .select("at", minute_bin(F.col("at"), F.col("starts_at"), BIN).alias("minute"))
         .groupBy("minute")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count("at").alias("n"))
+        .filter("n > 0")
     )
     # the bins are few: their number depends on opening hours, not on tickets
     return bins.withColumn("fraction", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
