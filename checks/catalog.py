@@ -1051,7 +1051,7 @@ _HELD = dict(
 def oof_baselines(spark, d):
     """Out-of-fold predictions of the rate models, whole shows left out together."""
     i = Inputs.of(spark, d)
-    out = i.once("oof_base", lambda: stored(M.out_of_fold(R.BASELINES, SP.with_split(i.base, WEEKS).filter("split in ('train', 'val')"))))
+    out = i.once("oof_base", lambda: M.out_of_fold(R.BASELINES, SP.with_split(i.base, WEEKS).filter("split in ('train', 'val')")))
     return rounded(out.select("model", "fold", "ticket_id", "p"), 9)
 
 

@@ -11,6 +11,7 @@ from turnout.operators import evaluate as E
 from turnout.operators import models as M
 from turnout.operators import rates as R
 from turnout.operators import side_by_side as N
+from turnout.operators import splits as SP
 from turnout.plans import experiment as X
 from turnout.plans import report as RP
 
@@ -131,6 +132,20 @@ def test_interaction_logistic_is_optimal(inputs):
     assert np.allclose(sorted(got), sorted(p), atol=1e-9)
 
 
+def test_rates_out_of_fold_read_the_tickets_once(inputs, monkeypatch):
+    """Equal to fitting and predicting fold by fold, which is not done."""
+    dev = inputs.dev.withColumn("artist_id", F.when(F.col("artist_id") != 3, F.col("artist_id")))
+    x = dev.join(SP.event_folds(dev, 3), "event_id")
+    want = {}
+    for make in R.BASELINES:
+        for fold in (1, 2, 3):
+            p = make().fit(x.filter(F.col("fold") != fold)).predict(x.filter(F.col("fold") == fold))
+            want |= {(make.name, fold, r["ticket_id"]): r["p"] for r in p.select("ticket_id", "p").collect()}
+    monkeypatch.setattr(R, "cells", lambda train: pytest.fail("a model was fitted on tickets"))
+    got = {(r["model"], r["fold"], r["ticket_id"]): r["p"] for r in M.out_of_fold(R.BASELINES, dev, 3).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in got)
+
+
 def test_out_of_fold_never_sees_its_shows(inputs, monkeypatch):
     dev = inputs.features.filter("labelled")
     seen = []

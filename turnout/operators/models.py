@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from turnout.operators import trees as T
 from turnout.operators.ordered import quantiles, running
-from turnout.operators.rates import Baseline
+from turnout.operators.rates import BASELINES, Baseline
 from turnout.operators.side_by_side import fit as fit_side_by_side
 from turnout.operators.splits import event_folds
 from turnout.session import frozen, lookup, stored
@@ -366,7 +366,10 @@ class Forest(CalibratedTrees):
 def out_of_fold(models, df: DataFrame, k: int = 5) -> DataFrame:
     """Out-of-fold predictions of every model in one frame (model, fold, ticket_id, y, p, ...)."""
     keep = ["ticket_id", "event_id", "is_courtesy", "is_residency", "y"] + [c for c in ("linked",) if c in df.columns]
-    x = stored(df.join(event_folds(df, k), "event_id"))
+    rates, fitted = [m for m in models if m in BASELINES], [m for m in models if m not in BASELINES]
+    columns = df.columns if fitted else [*keep, "artist_id", "ticket_type"]
+    x = stored(df.select(columns).join(event_folds(df, k), "event_id"))
+    out = rates_out_of_fold(rates, x, k, keep) if rates else None
 
     def one(job):
         make, fold = job
@@ -374,10 +377,36 @@ def out_of_fold(models, df: DataFrame, k: int = 5) -> DataFrame:
         train, test = x.filter(F.col("fold") != fold), x.filter(F.col("fold") == fold)
         return m.fit(train).predict(test).select(F.lit(m.name).alias("model"), "fold", *keep, "p")
 
+    jobs = [(make, fold) for make in fitted for fold in range(1, k + 1)]
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        parts = list(pool.map(one, jobs))
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def rates_out_of_fold(models, x: DataFrame, k: int, keep: list[str]) -> DataFrame:
+    """As `out_of_fold` for rate models, whose p is that of the ticket's (artist, type).
+
+    The tickets, which have their fold, are read twice, whatever the number of models and folds:
+    once for the cells of every fold and once to give each ticket the p of all models.
+    """
+    cell = ["artist_id", "ticket_type"]
+    own = frozen(x.groupBy("fold", *cell).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("int")).alias("obs")))
+
+    def one(job):
+        make, fold = job
+        m = make()
+        others = own.filter(F.col("fold") != fold).groupBy(*cell).agg(F.sum("n").alias("n"), F.sum("obs").alias("obs"))
+        known = m.fit_cells(others).predict(own.filter(F.col("fold") == fold).select("fold", *cell))
+        return known.select("fold", *cell, F.lit(m.name).alias("model"), "p")
+
     jobs = [(make, fold) for make in models for fold in range(1, k + 1)]
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         parts = list(pool.map(one, jobs))
-    out = parts[0]
+    every = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        every = every.unionByName(p)
+    every = every.groupBy(F.col("fold").alias("of"), *[F.col(c).alias(f"c_{c}") for c in cell]).agg(F.collect_list(F.struct("model", "p")).alias("held"))
+    same = (F.col("fold") == F.col("of")) & F.col("artist_id").eqNullSafe(F.col("c_artist_id")) & F.col("ticket_type").eqNullSafe(F.col("c_ticket_type"))
+    return x.join(lookup(frozen(every)), same).select("fold", *keep, F.explode("held").alias("h")).select("h.model", "fold", *keep, "h.p")

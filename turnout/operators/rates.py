@@ -134,7 +134,11 @@ class Baseline:
 
     def fit(self, train: DataFrame) -> "Baseline":
         # one pass over the tickets; what is kept has one row per (artist, type)
-        self.cell = frozen(cells(train))
+        return self.fit_cells(frozen(cells(train)))
+
+    def fit_cells(self, cell: DataFrame) -> "Baseline":
+        """As `fit`, from the `cells` of the tickets."""
+        self.cell = cell
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -167,11 +171,11 @@ class TypeRate(Baseline):
 
 class TypeArtistRate(Baseline):
     name = "B3"
+    user_columns = []
 
     def predict(self, df):
         rated = with_type_rate(df, self.cell).join(lookup(artist_factors(self.cell)), "artist_id", "left")
         p = clip(F.col("type_rate") * F.coalesce("factor", F.lit(1.0)), 1e-6, 1 - 1e-6)
-    user_columns = []
         return rated.withColumn("p", p).drop("type_rate", "factor")
 
 
