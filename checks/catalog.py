@@ -26,7 +26,7 @@ from turnout.operators import simulate as S
 from turnout.operators import splits as SP
 from turnout.plans import experiment as X
 from turnout.plans import report as RP
-from turnout.session import frozen, stored
+from turnout.session import frozen, scratch, stored
 from turnout.sources import tables as T
 from turnout.sources.adapter import AS_OF, star_tables
 
@@ -87,11 +87,15 @@ class Inputs:
 
     @property
     def links(self):
-        return self.once("links", lambda: stored(L.link(self.t.sales, self.t.users)))
+        return self.once("links", lambda: L.link(self.t.sales, self.t.users))
 
     @property
     def features(self):
-        return self.once("features", lambda: stored(FT.ticket_features(self.t, self.links, AS_OF)))
+        def make():
+            with scratch(self.spark):
+                return stored(FT.ticket_features(self.t, self.links, AS_OF), keep=True)
+
+        return self.once("features", make)
 
     @property
     def parts(self):

@@ -1,10 +1,15 @@
 """Linkage against brute force over all pairs, also with every block treated as hot."""
 
+import glob
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from turnout.functions import keys as K
 from turnout.operators import linkage as L
+from turnout.session import CLEANUP, ensure_checkpoint_dir
 
 
 def lev(a, b):
@@ -184,3 +189,25 @@ def test_buyers_and_users_of_near_mailboxes_are_not_multiplied(spark):
     assert len(found) == n and max(map(len, found)) <= 8
     for x in found:  # all users score alike, so the two largest ids come first
         assert [r["uid"] for r in sorted(x, reverse=True)][:2] == [n - 1, n - 2]
+
+
+def test_links_leave_one_table(spark, inputs):
+    """Neither the tables between the steps nor the shuffle files of a written table outlast it."""
+    folders = {x.removeprefix("file:") for x in (ensure_checkpoint_dir(spark), ensure_checkpoint_dir(spark))}
+    seen = lambda: {x for at in folders for x in os.listdir(at)}
+    root = os.environ.get("SPARK_LOCAL_DIRS", spark.conf.get("spark.local.dir", "/tmp"))
+    shuffles = lambda: set(glob.glob(os.path.join(root, "**", "shuffle_*.data"), recursive=True))
+    before, files, setting = seen(), shuffles(), spark.conf.get(CLEANUP, None)
+    links = L.link(inputs.t.sales, inputs.t.users)
+    made = seen() - before
+    assert len(made) == 1 and made.pop().startswith("table-")
+    assert spark.conf.get(CLEANUP, None) == setting
+    left = files
+    for _ in range(50):  # files are deleted in the background
+        left = {x for x in shuffles() - files if os.path.exists(x)}
+        if not left:
+            break
+        time.sleep(0.1)
+    # counts of rows, as `lookup` makes them, leave a number for each task
+    assert sum(os.path.getsize(x) for x in left if os.path.exists(x)) < 10_000
+    assert links.count() == inputs.t.sales.count()

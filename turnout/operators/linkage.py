@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from turnout.functions import keys as K
 from turnout.functions.hashing import uniform
 from turnout.operators.draws import hypergeometric
-from turnout.session import frozen, lookup, spread_small, stored
+from turnout.session import frozen, lookup, scratch, spread_small, stored
 
 
 @dataclass(frozen=True)
@@ -70,7 +70,7 @@ def normalise_sales(sales: DataFrame) -> DataFrame:
         K.name_set(F.col("buyer_name")).alias("names"),
     )
     return _email_columns(cleaned, "sale_id", "phone", "names").withColumn(
-        "pid", F.md5(F.concat_ws("\u0001", "email", "phone", F.array_join("names", " ")))
+        "pid", F.unhex(F.md5(F.concat_ws("\u0001", "email", "phone", F.array_join("names", " "))))
     )
 
 
@@ -482,7 +482,7 @@ def candidates(profiles: DataFrame, users: DataFrame, cfg: LinkConfig) -> DataFr
     known = people.withColumn("crowd", F.lit("")).select(u_cols).unionByName(on_busy.select(u_cols))
     s_cols = ["crowd", *mailbox, "names"]
     sides = stored(everyone.filter(F.col("email") != "").select(s_cols).unionByName(crowd_of(profiles).select(s_cols)).distinct())
-    offers = reached(sides.drop("names").distinct(), known, near, cfg)
+    offers = stored(reached(sides.drop("names").distinct(), known, near, cfg))
     boxed = stored(best_two(sides.select("crowd", "email", "names"), offers, ["crowd", "email"], cfg))
 
     # placeholders: those reached by mailbox, and the two best names of the crowd without one
@@ -498,7 +498,7 @@ def candidates(profiles: DataFrame, users: DataFrame, cfg: LinkConfig) -> DataFr
     # by mailbox alone
     alone = boxed.filter("crowd = ''").select("email", "names", _found(F.col("uid"), F.col("e"), F.lit(0.0), F.col("n"), cfg).alias("x"))
     weak = weak_best(profiles, users, cfg).select("email", "names", F.struct("score", "uid", "e", "p", "n").alias("x"))
-    by_box = alone.unionByName(weak).groupBy("email", "names").agg(F.collect_list("x").alias("of_box"))
+    by_box = stored(alone.unionByName(weak).groupBy("email", "names").agg(F.collect_list("x").alias("of_box")))
 
     few = _phone_users(meets.join(hot, "u_phone", "left_anti"), users)
     keep = ["pid", "email", "names", "first_sale"]
@@ -561,14 +561,15 @@ def link(sales: DataFrame, users: DataFrame, cfg: LinkConfig | None = None) -> D
     """Linkage with evidence: one row per sale; `user_id` is NULL without a match."""
     cfg = cfg or LinkConfig()
     cfg.check()
-    # both sides feed many joins: normalise once, and keep filters out of the expressions
-    s = stored(normalise_sales(spread_small(sales)))
-    profiles = stored(buyer_profiles(s))
-    u = stored(user_profiles(normalise_users(spread_small(users))))
-    # propagation reads the decisions twice
-    decided = stored(decide(candidates(profiles, u, cfg), cfg))
-    result = propagate(decided, cfg)
-    return s.select("sale_id", "pid").join(result, "pid").drop("pid")
+    with scratch(sales.sparkSession):
+        # both sides feed many joins: normalise once, and keep filters out of the expressions
+        s = stored(normalise_sales(spread_small(sales)))
+        profiles = stored(buyer_profiles(s))
+        u = stored(user_profiles(normalise_users(spread_small(users))))
+        # propagation reads the decisions twice
+        decided = stored(decide(candidates(profiles, u, cfg), cfg))
+        result = propagate(decided, cfg)
+        return stored(s.select("sale_id", "pid").join(result, "pid").drop("pid"), keep=True)
 
 
 def coverage(links: DataFrame) -> DataFrame:

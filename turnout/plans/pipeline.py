@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from turnout.operators import arrival, decide, linkage, models, simulate
 from turnout.operators.features import ticket_features
 from turnout.plans import report
-from turnout.session import frozen, stored
+from turnout.session import frozen, scratch, stored
 from turnout.sources.tables import Tables, require_no_dangling, write_csv, write_json_document
 
 # Column names of the deliverables, in order.
@@ -60,8 +60,9 @@ class Season:
 def run_season(t: Tables, s: Settings, check_keys: bool = True) -> Season:
     if check_keys:
         require_no_dangling(t)
-    links = stored(linkage.link(t.sales, t.users))
-    features = stored(ticket_features(t, links, s.as_of))
+    links = linkage.link(t.sales, t.users)
+    with scratch(links.sparkSession):
+        features = stored(ticket_features(t, links, s.as_of), keep=True)
     past, future = features.filter(F.col("y").isNotNull()), features.filter(F.col("y").isNull())
 
     held_out = stored(models.leave_show_out(past))

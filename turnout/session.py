@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,16 +69,59 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+#: Spark's setting to delete the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _writes = threading.Lock(), {"now": 0, "before": None}
+
+
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a table that is written inside go when it is there, not when the driver next collects garbage."""
+    with _lock:
+        if not _writes["now"]:
+            _writes["before"] = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _writes["now"] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writes["now"] -= 1
+            if not _writes["now"] and _writes["before"] is None:
+                spark.conf.unset(CLEANUP)
+            elif not _writes["now"]:
+                spark.conf.set(CLEANUP, _writes["before"])
+
+
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables `stored` inside are deleted at the end. What is to last is `stored` with keep=True."""
+    folder = os.path.join(ensure_checkpoint_dir(spark), f"scratch-{uuid.uuid4().hex}")
+    token = _scratch.set(folder)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def frozen(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _shuffles_deleted(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
     """As `frozen`, for tables that grow with the input: columns compressed, and read only where used."""
-    path = os.path.join(ensure_checkpoint_dir(df.sparkSession), f"table-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    folder = ensure_checkpoint_dir(df.sparkSession)
+    path = os.path.join((not keep and _scratch.get()) or folder, f"table-{uuid.uuid4().hex}")
+    with _shuffles_deleted(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
