@@ -564,7 +564,8 @@ def m1_design_courtesy(spark, d):
 @query("m1_design_paid", q(f"""select ticket_id, cast(ticket_type = 'Preferencial' as int)::double as preferred, cast(ticket_type = 'VIP' as int)::double as vip,
    {_LAST}, {_CH} from feat where not is_courtesy and labelled"""))
 def m1_design_paid(spark, d):
-    return rounded(M.design(Inputs.of(spark, d).features.filter("labelled"), "paid").select("ticket_id", *M.PAID_DESIGN))
+    """Reads nothing of a buyer's history, so sales need no links."""
+    return rounded(M.design(Inputs.of(spark, d).lab, "paid").select("ticket_id", *M.PAID_DESIGN))
 
 
 _C = "cast(is_courtesy as int)"
