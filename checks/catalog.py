@@ -705,15 +705,26 @@ def _counts(src, sig, n=_NS):
     )
 
 
+def _tossed(src, sig, n=_NS):
+    """As `_counts`, by a draw for each ticket in each simulation."""
+    z = f"lp + sigma * {O.normal('s', 'v', 'eh')}"
+    return dict(
+        simc=O.sims(n, "tsv"),
+        keyed=f"""select event_id, {O.logit('p')} as lp, {O.h31('ticket_id')} as h, sigma, {O.h31(repr('show'), 'event_id')} as eh
+            from {src} join (select event_id, sigma from {sig}) using (event_id)""",
+        counts=f"select event_id, sim, sum(cast({O.poly('t', 'h')} < {O.sigmoid(z)} as int)) as cnt from keyed, simc group by 1, 2",
+    )
+
+
 _IV = """select c.event_id, any_value(x.n) as n, any_value(x.expected) as expected, quantile_cont(cnt, 0.1) - avg(cnt) + any_value(x.expected) as p10,
    quantile_cont(cnt, 0.9) - avg(cnt) + any_value(x.expected) as p90 from counts c join (select event_id, count(*) as n, sum(p) as expected from {src} group by 1) x
    on x.event_id = c.event_id group by 1"""
 
 
-@query("simulate_attendance", q("select event_id, sim, cnt::bigint as cnt from counts", **_counts("fut3", "sig_fut")))
+@query("simulate_attendance", q("select event_id, sim, cnt::bigint as cnt from counts", **_tossed("fut3", "sig_fut")))
 def simulate_attendance(spark, d):
     i = Inputs.of(spark, d)
-    return S.count_entries(i.fut3, S.show_sigmas(i.fut3, i.shock), _NS)
+    return S.count_entries(i.fut3, S.show_sigmas(i.fut3, i.shock), _NS, each=True)
 
 
 @query("forecast_interval", q(f"select event_id, n, round(expected, 6) as expected, round(p10, 6) as p10, round(p90, 6) as p90 from ({_IV.format(src='fut3')})", **_counts("fut3", "sig_fut")))

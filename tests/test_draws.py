@@ -227,3 +227,56 @@ def test_overselling_uses_all_tasks(spark):
     full = one.select("event_id", *[F.lit(1.0).alias(c) for c in ("capacity", "expected", "sigma")], F.array(F.lit(1)).alias("counts"), F.array(F.lit(0.5)).alias("extra"))
     placed = full.groupBy("event_id").agg(*[F.first(c).alias(c) for c in full.columns[1:]])
     assert "REPARTITION_BY_NUM" in plan(W.crossings(placed, S.sim_coefficients(spark, 5), 0.05))
+
+
+def test_draws_below_are_those_one_by_one(monkeypatch):
+    r = np.random.default_rng(2)
+    c, h, p = r.integers(0, P, (4, 700)), np.array([0, 1, P - 1, *r.integers(0, P, 300)]), r.random(700)
+    p[:3] = 0.0, 1.0, 1e-9
+    want = sum((W.uniforms(c, int(x)) < p).astype(int) for x in h)
+    for wide in (W.WIDE, 64, 1500):
+        monkeypatch.setattr(W, "WIDE", wide)
+        assert W.below(c, h, p).tolist() == want.tolist()
+
+
+def test_every_ticket_has_a_draw_of_its_own(spark, monkeypatch):
+    rows, df, sigmas, sig = shows(spark)
+    want = {}
+    for e in sig:
+        want[e] = []
+        for s in range(60):
+            eh = hashed("show", e)
+            z = sig[e] * math.sqrt(-2 * math.log(draw(7, "s", s, eh))) * math.cos(2 * math.pi * draw(7, "v", s, eh))
+            want[e].append(sum(draw(7, "t", s, hashed(t)) < 1 / (1 + math.exp(-(math.log(p / (1 - p)) + z))) for x, t, _, p, *_ in rows if x == e))
+    for tickets in (W.TICKETS, 7):  # in the second run a show is spread over several tasks
+        monkeypatch.setattr(W, "TICKETS", tickets)
+        got = {r["event_id"]: r["counts"] for r in S.counted(df.repartition(5), sigmas, 60, 7, each=True).collect()}
+        assert got == want
+    one = S.count_entries(df, sigmas, 60, 7, each=True).groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("sim", "cnt"))).alias("x")).collect()
+    assert {r["event_id"]: [x["cnt"] for x in r["x"]] for r in one} == want
+    by_show = {r["event_id"]: r for r in S.intervals(df, sigmas, 60, 7, each=True).collect()}
+    for e, c in want.items():
+        mean = sum(x[3] for x in rows if x[0] == e)
+        assert np.allclose([by_show[e]["p10"], by_show[e]["p90"]], np.quantile(c, [0.1, 0.9]) - np.mean(c) + mean)
+
+
+def test_group_shock_without_cells(spark):
+    rows = [(1, f"t{i:04}", i // 4, 0.5) for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id int, ticket_id string, sale_id int, p double")
+    sig = spark.createDataFrame([(1, 0.0)], "event_id int, sigma double")
+    v = [np.var(S.counted(df, sig, 1500, sigma_group=g, each=True).first()["counts"]) for g in (0.0, 1.5)]
+    z = np.linspace(-8, 8, 4001)
+    shared = np.average((1 / (1 + np.exp(-1.5 * z)) - 0.5) ** 2, weights=np.exp(-z * z / 2))
+    assert abs(v[0] / 100 - 1) < 0.12 and abs(v[1] / (100 * (4 * 0.25 + 12 * shared)) - 1) < 0.12
+
+
+@pytest.mark.parametrize("name", ["simulate_attendance"])
+def test_registered_simulations_draw_tickets(inputs, name, monkeypatch):
+    """Neither the query nor its SQL draws a count for several tickets at once."""
+    from checks.catalog import QUERIES, SQL
+
+    calls = []
+    monkeypatch.setattr(W, "_count", lambda *a: calls.append(a))
+    monkeypatch.setattr(W, "drawn", lambda *a, real=W.drawn: calls.append(a[4]) or real(*a))
+    QUERIES[name](inputs.spark, inputs.folder)
+    assert calls == [True] and "list_reduce" not in SQL[name]

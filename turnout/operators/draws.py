@@ -25,6 +25,8 @@ CELLS = 512  # cells of a show that one task counts; a show with more is spread
 SINGLES = 32  # cells of one ticket drawn side by side
 BLOCK = 8192  # draws that step side by side; their arrays stay in a core's cache
 TAIL = 8.0  # deviations below the mean where summing masses begins; less than 1e-13 lies below
+WIDE = 65_536  # draws of single tickets side by side; each needs few arrays and no loop
+TICKETS = 16_384  # tickets of a show that one task draws one by one; a show with more is spread
 
 
 def log_factorial(n: np.ndarray) -> np.ndarray:
@@ -135,6 +137,40 @@ def uniforms(c: np.ndarray, h) -> np.ndarray:
     return (x + 0.5) / PRIME
 
 
+def below(c: np.ndarray, hashes: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """In every simulation how many of some entities have a draw (as `uniforms`) below that simulation's p."""
+    prime, bits = np.uint64(PRIME), np.uint64(31)
+    c, hashes = c.astype(np.uint64), hashes.astype(np.uint64)
+    # (x + 0.5) / PRIME < p as a limit of the whole number x
+    limit = np.clip(np.ceil(p * float(PRIME) - 0.5), 0, PRIME).astype(np.uint64)
+    out = np.zeros(len(p), np.int64)
+    side = max(1, WIDE // max(1, len(p)))  # small vectors are drawn side by side
+    for lo in range(0, len(p), WIDE):
+        at = slice(lo, lo + WIDE)
+        for first in range(0, len(hashes), 255 * side):
+            some = np.zeros((side, len(out[at])), np.uint8)  # at most 255 of a row are added
+            for i in range(first, min(first + 255 * side, len(hashes)), side):
+                h = hashes[i : i + side, None]
+                y = c[3, at] * h
+                high = np.empty_like(y)
+                for k in (2, 1, 0):
+                    y += c[k, at]
+                    # the halves' sum leaves the remainder by 2**31 - 1; below 2**33 after three times, so products stay below 2**64
+                    np.right_shift(y, bits, out=high)
+                    y &= prime
+                    y += high
+                    if k:
+                        y *= h
+                np.right_shift(y, bits, out=high)
+                y &= prime
+                y += high
+                if y.max() >= prime:
+                    y %= prime
+                some[: len(y)] += y < limit[at]
+            out[at] += some.sum(axis=0, dtype=np.int64)
+    return out
+
+
 def normals(c: dict[str, np.ndarray], streams: str, h) -> np.ndarray:
     return np.sqrt(-2.0 * np.log(uniforms(c[streams[0]], h))) * np.cos(2.0 * math.pi * uniforms(c[streams[1]], h))
 
@@ -153,6 +189,26 @@ def cells(tickets: DataFrame, by_sale: bool = False) -> DataFrame:
     return made.select("event_id", "p", "n", "h", group.alias("gh"))
 
 
+def singles(tickets: DataFrame) -> DataFrame:
+    """As `cells`, one for each ticket, with h made of its own id."""
+    group = hash31(F.lit("sale"), F.col("event_id"), F.col("sale_id")) if "sale_id" in tickets.columns else F.lit(0).cast("bigint")
+    return tickets.select("event_id", "p", F.lit(1).cast("bigint").alias("n"), hash31(F.col("ticket_id")).alias("h"), group.alias("gh"))
+
+
+def _tossed(c: dict[str, np.ndarray], rows: dict[str, np.ndarray], sigma: float, eh: int, sigma_group: float) -> np.ndarray:
+    """Used tickets of one show in every simulation, each ticket by a draw of its own."""
+    shock = sigma * normals(c, "sv", eh)
+    out = np.zeros(len(shock), np.int64)
+    gh = rows["gh"] if sigma_group > 0 else np.zeros_like(rows["gh"])
+    order = np.lexsort((gh, rows["lp"]))
+    lp, gh, h = rows["lp"][order], gh[order], rows["h"][order]
+    cut = [0, *(np.flatnonzero((np.diff(lp) != 0) | (np.diff(gh) != 0)) + 1).tolist(), len(h)]
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):  # tickets of equal chance, drawn one by one
+        z = lp[lo] + shock
+        out += below(c["t"], h[lo:hi], expit(z + sigma_group * normals(c, "gw", gh[lo]) if sigma_group > 0 else z))
+    return out
+
+
 def _count(c: dict[str, np.ndarray], rows: dict[str, np.ndarray], sigma: float, eh: int, sigma_group: float) -> np.ndarray:
     """Used tickets of some cells of one show in every simulation."""
     shock = sigma * normals(c, "sv", eh)
@@ -174,16 +230,18 @@ def _count(c: dict[str, np.ndarray], rows: dict[str, np.ndarray], sigma: float,
     return out
 
 
-def drawn(tickets: DataFrame, sigmas: DataFrame, coefficients: DataFrame, sigma_group: float = 0.0) -> DataFrame:
+def drawn(tickets: DataFrame, sigmas: DataFrame, coefficients: DataFrame, sigma_group: float = 0.0, each: bool = False) -> DataFrame:
     """(event_id, counts): used tickets of every show in every simulation, as one array.
 
     `tickets` has event_id, ticket_id, sale_id, p; `sigmas` has event_id, sigma. With a group
     shock cells don't cross sales. Tickets whose p agrees to PLACES places count as equal.
+    With `each` there are no cells: every ticket has a draw of its own in every simulation.
     """
     spark = tickets.sparkSession
     shared = spark.sparkContext.broadcast(collected(coefficients))
-    made = stored(cells(tickets, sigma_group > 0))
-    sizes = made.groupBy("event_id").agg(F.ceil(F.count(F.lit(1)) / CELLS).alias("parts"))
+    made = stored(singles(tickets) if each else cells(tickets, sigma_group > 0))
+    count, most = (_tossed, TICKETS) if each else (_count, CELLS)
+    sizes = made.groupBy("event_id").agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
     shows = sigmas.select("event_id", "sigma", hash31(F.lit("show"), F.col("event_id")).alias("eh")).join(sizes, "event_id")
     keyed = made.join(shows, "event_id").select("event_id", "parts", (F.col("h") % F.col("parts")).alias("part"), logit(F.col("p")).alias("lp"), "n", "h", "gh", "sigma", "eh")
     names = ["lp", "n", "h", "gh", "sigma", "eh"]
@@ -205,7 +263,7 @@ def drawn(tickets: DataFrame, sigmas: DataFrame, coefficients: DataFrame, sigma_
                     yield made()
                     total = None
                 held, event = (ids[lo], part[lo]), b.column(0).slice(lo, 1)
-                own = _count(c, {x: v[lo:hi] for x, v in rows.items()}, float(rows["sigma"][lo]), int(rows["eh"][lo]), sigma_group)
+                own = count(c, {x: v[lo:hi] for x, v in rows.items()}, float(rows["sigma"][lo]), int(rows["eh"][lo]), sigma_group)
                 total = own if total is None else total + own
         if total is not None:
             yield made()
@@ -216,8 +274,8 @@ def drawn(tickets: DataFrame, sigmas: DataFrame, coefficients: DataFrame, sigma_
         placed = rows.drop("parts").repartition(compute_partitions(spark), "event_id", "part").sortWithinPartitions("event_id", "part", "h")
         return placed.mapInArrow(run, f"event_id {kind}, counts array<int>")
 
-    # the array of a show counted in one task stays where it is; others have one for CELLS
-    # cells, which are added place by place
+    # the array of a show counted in one task stays where it is; others have one for each
+    # part, which are added place by place
     add = lambda a, x: F.when(F.size(a) == 0, x).otherwise(F.zip_with(a, x, lambda p, q: p + q))
     spread = counts(keyed.filter("parts > 1")).groupBy("event_id").agg(
         F.aggregate(F.collect_list("counts"), F.array().cast("array<int>"), add).alias("counts"))

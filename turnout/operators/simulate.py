@@ -30,18 +30,21 @@ def sim_coefficients(spark, n_sim: int, seed: int = SEED) -> DataFrame:
     return spark.range(n_sim).select(F.col("id").alias("sim"), *cols)
 
 
-def counted(tickets: DataFrame, sigmas: DataFrame, n_sim: int, seed: int = SEED, sigma_group: float = 0.0) -> DataFrame:
-    """(event_id, counts): raw simulated counts of a show as one array, by simulation."""
-    return draws.drawn(tickets, sigmas, sim_coefficients(tickets.sparkSession, n_sim, seed), sigma_group)
+def counted(tickets: DataFrame, sigmas: DataFrame, n_sim: int, seed: int = SEED, sigma_group: float = 0.0, each: bool = False) -> DataFrame:
+    """(event_id, counts): raw simulated counts of a show as one array, by simulation.
+
+    With `each` every ticket is drawn by itself, otherwise tickets of one probability as a binomial count.
+    """
+    return draws.drawn(tickets, sigmas, sim_coefficients(tickets.sparkSession, n_sim, seed), sigma_group, each)
 
 
 def count_entries(tickets: DataFrame, sigmas: DataFrame, n_sim: int, seed: int = SEED,
-                  sigma_group: float = 0.0) -> DataFrame:
+                  sigma_group: float = 0.0, each: bool = False) -> DataFrame:
     """(event_id, sim, cnt): raw simulated counts.
 
     `tickets` has event_id, ticket_id, sale_id, p; `sigmas` has event_id, sigma.
     """
-    rows = counted(tickets, sigmas, n_sim, seed, sigma_group)
+    rows = counted(tickets, sigmas, n_sim, seed, sigma_group, each)
     return rows.select("event_id", F.posexplode("counts").alias("sim", "cnt")).select("event_id", F.col("sim").cast("bigint").alias("sim"), F.col("cnt").cast("bigint").alias("cnt"))
 
 
@@ -59,9 +62,9 @@ def simulate(tickets: DataFrame, sigmas: DataFrame, n_sim: int, seed: int = SEED
 
 
 def intervals(tickets: DataFrame, sigmas: DataFrame, n_sim: int, seed: int = SEED,
-              sigma_group: float = 0.0, lo: float = 0.1, hi: float = 0.9) -> DataFrame:
+              sigma_group: float = 0.0, lo: float = 0.1, hi: float = 0.9, each: bool = False) -> DataFrame:
     """(event_id, expected, p10, p90). Recentring moves quantiles by a constant per show."""
-    counts = counted(tickets, sigmas, n_sim, seed, sigma_group)
+    counts = counted(tickets, sigmas, n_sim, seed, sigma_group, each)
     mean = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x) / F.lit(n_sim)
     q = counts.select("event_id", mean.alias("mean_cnt"), F.sort_array("counts").alias("s")).select(
         "event_id", "mean_cnt", draws.quantile(F.col("s"), lo, n_sim).alias("q_lo"), draws.quantile(F.col("s"), hi, n_sim).alias("q_hi")
@@ -208,9 +211,9 @@ def chosen_group_sigma(tickets: DataFrame, **kw) -> float:
 
 
 def back_test(scored: DataFrame, shock: DataFrame, n_sim: int = 4000, seed: int = SEED,
-              sigma_group: float = 0.0) -> DataFrame:
+              sigma_group: float = 0.0, each: bool = False) -> DataFrame:
     """Per past show: interval from held-out probabilities against what happened."""
-    iv = intervals(scored, show_sigmas(scored, shock), n_sim, seed, sigma_group)
+    iv = intervals(scored, show_sigmas(scored, shock), n_sim, seed, sigma_group, each=each)
     facts = scored.groupBy("event_id").agg(
         F.sum(F.col("y").cast("int")).alias("obs"), F.avg(F.col("is_courtesy").cast("int")).alias("courtesy_share")
     )
