@@ -727,10 +727,10 @@ def simulate_attendance(spark, d):
     return S.count_entries(i.fut3, S.show_sigmas(i.fut3, i.shock), _NS, each=True)
 
 
-@query("forecast_interval", q(f"select event_id, n, round(expected, 6) as expected, round(p10, 6) as p10, round(p90, 6) as p90 from ({_IV.format(src='fut3')})", **_counts("fut3", "sig_fut")))
+@query("forecast_interval", q(f"select event_id, n, round(expected, 6) as expected, round(p10, 6) as p10, round(p90, 6) as p90 from ({_IV.format(src='fut3')})", **_tossed("fut3", "sig_fut")))
 def forecast_interval(spark, d):
     i = Inputs.of(spark, d)
-    return rounded(S.intervals(i.fut3, S.show_sigmas(i.fut3, i.shock), _NS))
+    return rounded(S.intervals(i.fut3, S.show_sigmas(i.fut3, i.shock), _NS, each=True))
 
 
 _TESTED = f"""select i.*, f.obs, f.courtesy_share, f.obs between p10 and p90 as inside, p90 - p10 as width,
