@@ -751,10 +751,10 @@ _W = "round(avg(cast(obs between lo and hi as int)), 6) as coverage, round(avg(h
 
 @query("winkler", q(f"""select kind, {_W} from (select 'simulated' as kind, p10 as lo, p90 as hi, obs from tested union all select 'zero_to_sold', 0, n, obs from tested
    union all select 'half', expected * 0.5, expected * 1.5, obs from tested union all select 'fifth', expected * 0.8, expected * 1.2, obs from tested) group by 1""",
-   tested=_TESTED, **_counts("past3", "sig_past", _NS_BACK)))
+   tested=_TESTED, **_tossed("past3", "sig_past", _NS_BACK)))
 def winkler(spark, d):
     i = Inputs.of(spark, d)
-    return rounded(E.interval_scores(S.interval_kinds(S.back_test(i.past3, i.shock, _NS_BACK))))
+    return rounded(E.interval_scores(S.interval_kinds(S.back_test(i.past3, i.shock, _NS_BACK, each=True))))
 
 
 @query("zero_show_rate", q("""select count(*) as n_sales, round(avg(cast(any_in = 0 as int)), 6) as observed_zero, round(avg(exp(log_none)), 6) as independent_zero

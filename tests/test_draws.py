@@ -270,7 +270,7 @@ def test_group_shock_without_cells(spark):
     assert abs(v[0] / 100 - 1) < 0.12 and abs(v[1] / (100 * (4 * 0.25 + 12 * shared)) - 1) < 0.12
 
 
-@pytest.mark.parametrize("name", ["simulate_attendance", "forecast_interval"])
+@pytest.mark.parametrize("name", ["simulate_attendance", "forecast_interval", "winkler"])
 def test_registered_simulations_draw_tickets(inputs, name, monkeypatch):
     """Neither the query nor its SQL draws a count for several tickets at once."""
     from checks.catalog import QUERIES, SQL
