@@ -280,3 +280,36 @@ def test_registered_simulations_draw_tickets(inputs, name, monkeypatch):
     monkeypatch.setattr(W, "drawn", lambda *a, real=W.drawn: calls.append(a[4]) or real(*a))
     QUERIES[name](inputs.spark, inputs.folder)
     assert calls == [True] and "list_reduce" not in SQL[name]
+
+
+def test_labels_are_dealt_ticket_by_ticket(spark, monkeypatch):
+    """Every replicate orders all tickets by a draw of their own; nothing is drawn for a group at once."""
+    rng = random.Random(3)
+    ids = rng.sample(range(1000, 9999), 150)
+    rows = [(f"t{i}", round(rng.random(), 3), rng.random() < 0.55) for i in ids] + [("t1", None, True), ("t2", 0.5, None)]
+    df = spark.createDataFrame(rows, "ticket_id string, r double, y boolean").repartition(5)
+    full = sorted(x for x in rows if x[1] is not None and x[2] is not None)
+    mean = lambda x: sum(x) / len(x)
+    want = {}
+    for rep in range(41):
+        c = [hashed(5, rep, f"c{k}") for k in range(4)]
+        at = lambda h: (((c[3] * h + c[2]) * h + c[1]) * h + c[0]) % P
+        ys = [y for _, _, y in (sorted(full, key=lambda x: (at(hashed(x[0])), x[0])) if rep else full)]
+        want[rep] = round(mean([y for y, x in zip(ys, full) if x[1] > 0.7]) - mean([y for y, x in zip(ys, full) if x[1] <= 0.4]), 9)
+    for packed in (L._PACKED, 40):
+        monkeypatch.setattr(L, "_PACKED", packed)
+        got = {r["rep"]: r["gap"] for r in L.permutation_gap(df, "y", "r", 40, 5, 0.4, 0.7).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+
+
+def test_ranges_of_draws_are_sorted_one_after_the_other(monkeypatch):
+    r = np.random.default_rng(1)
+    h, y, kind = r.integers(0, P, 5000).astype(np.uint32), r.random(5000) < 0.4, r.random(5000) < 0.3
+    h[::7] = h[0]  # equal draws
+    want = W.dealt(9, 4, h, y, [kind, ~kind])
+    c = [hashed(9, 4, f"c{k}") for k in range(4)]
+    at = [(((c[3] * int(v) + c[2]) * int(v) + c[1]) * int(v) + c[0]) % P for v in h]
+    order = sorted(range(5000), key=lambda i: (at[i], i))
+    assert want == [int((y[order] & k).sum()) for k in (kind, ~kind)]
+    monkeypatch.setattr(W, "SORTED", 700)
+    assert W.dealt(9, 4, h, y, [kind, ~kind]) == want

@@ -137,9 +137,29 @@ def uniforms(c: np.ndarray, h) -> np.ndarray:
     return (x + 0.5) / PRIME
 
 
+def whole(c: list | np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The polynomial of `uniforms` as a whole number below PRIME; c and h are of uint64 and fit each other."""
+    prime, bits = np.uint64(PRIME), np.uint64(31)
+    y = c[3] * h
+    high = np.empty_like(y)
+    for k in (2, 1, 0):
+        y += c[k]
+        # the halves' sum leaves the remainder by 2**31 - 1; below 2**33 after three times, so products stay below 2**64
+        np.right_shift(y, bits, out=high)
+        y &= prime
+        y += high
+        if k:
+            y *= h
+    np.right_shift(y, bits, out=high)
+    y &= prime
+    y += high
+    if len(y) and y.max() >= prime:
+        y %= prime
+    return y
+
+
 def below(c: np.ndarray, hashes: np.ndarray, p: np.ndarray) -> np.ndarray:
     """In every simulation how many of some entities have a draw (as `uniforms`) below that simulation's p."""
-    prime, bits = np.uint64(PRIME), np.uint64(31)
     c, hashes = c.astype(np.uint64), hashes.astype(np.uint64)
     # (x + 0.5) / PRIME < p as a limit of the whole number x
     limit = np.clip(np.ceil(p * float(PRIME) - 0.5), 0, PRIME).astype(np.uint64)
@@ -150,23 +170,8 @@ def below(c: np.ndarray, hashes: np.ndarray, p: np.ndarray) -> np.ndarray:
         for first in range(0, len(hashes), 255 * side):
             some = np.zeros((side, len(out[at])), np.uint8)  # at most 255 of a row are added
             for i in range(first, min(first + 255 * side, len(hashes)), side):
-                h = hashes[i : i + side, None]
-                y = c[3, at] * h
-                high = np.empty_like(y)
-                for k in (2, 1, 0):
-                    y += c[k, at]
-                    # the halves' sum leaves the remainder by 2**31 - 1; below 2**33 after three times, so products stay below 2**64
-                    np.right_shift(y, bits, out=high)
-                    y &= prime
-                    y += high
-                    if k:
-                        y *= h
-                np.right_shift(y, bits, out=high)
-                y &= prime
-                y += high
-                if y.max() >= prime:
-                    y %= prime
-                some[: len(y)] += y < limit[at]
+                x = whole(c[:, at], hashes[i : i + side, None])
+                some[: len(x)] += x < limit[at]
             out[at] += some.sum(axis=0, dtype=np.int64)
     return out
 
@@ -290,6 +295,33 @@ def quantile(counts, q: float, n: int):
     return a + (b - a) * F.lit(part)
 
 
+# ----------------------------------------------------------------------------------- permutations
+SORTED = 1 << 20  # draws sorted at once
+
+
+def dealt(seed: int, rep: int, h: np.ndarray, y: np.ndarray, kinds: list[np.ndarray]) -> list[int]:
+    """How many positive labels `y` come to the rows of each kind when the labels change their places.
+
+    Place k gets the label of the row whose draw, by its hash and the replicate, is the k-th
+    smallest; equal draws keep the order of the rows. A range of draws is sorted at a time.
+    """
+    c = [np.uint64(hash31_of(seed, rep, f"c{k}")) for k in range(4)]
+    x = np.empty(len(h), np.uint32)
+    for lo in range(0, len(h), SORTED):
+        x[lo : lo + SORTED] = whole(c, h[lo : lo + SORTED].astype(np.uint64))
+    parts = max(1, -(-len(h) // SORTED))
+    edges = [PRIME * q // parts for q in range(parts + 1)]
+    got, first = [0] * len(kinds), 0
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        at = np.flatnonzero((x >= lo) & (x < hi)) if parts > 1 else np.arange(len(x))
+        key = (x[at].astype(np.uint64) << np.uint64(32)) | at.astype(np.uint64)
+        key.sort()
+        label = y[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        got = [g + int(np.count_nonzero(label & kind[first : first + len(at)])) for g, kind in zip(got, kinds, strict=True)]
+        first += len(at)
+    return got
+
+
 # ---------------------------------------------------------------------------------- over-selling
 def first_crossing(c: dict[str, np.ndarray], event, capacity: float, expected: float, sigma: float, counts: np.ndarray, extra: list[float], risk: float) -> tuple:
     """(risk now, first number of extra tickets above the limit or None, risk before it, risk at it).

@@ -24,13 +24,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnout.functions import keys as K
-from turnout.functions.hashing import uniform
-from turnout.operators.draws import hypergeometric
+from turnout.functions.hashing import hash31
+from turnout.operators.draws import dealt
+from turnout.operators.ordered import running
 from turnout.session import frozen, lookup, scratch, spread_small, stored
 
 
@@ -645,36 +647,52 @@ def key_quality(sales: DataFrame, users: DataFrame) -> DataFrame:
 def permutation_gap(linked: DataFrame, label: str, rate: str, reps: int, seed: int, low: float, high: float) -> DataFrame:
     """Permutation test of the history signal: attendance gap between high and low rates.
 
-    Dealing the labels anew changes the gap only through how many of the positive ones fall
-    to the rows with high and with low rates. So a replicate is two hypergeometric numbers,
-    each by one uniform draw, and after one aggregation nothing depends on the number of
-    rows. One row per replicate, replicate 0 being the observed pairing; the gap is null
-    where one of the sides has no rows.
+    Each replicate pairs the labels with the rates of another row: the rates stay in the order of
+    the ticket ids, the labels come in a hashed order of the replicate's own. Tickets are ranked
+    once and packed, by five bytes each; a task holds them packed and deals replicate after
+    replicate, so no replicate of a ticket becomes a row. One row per replicate, replicate 0
+    being the observed pairing; the gap is null where one of the sides has no rows.
     """
-    base = linked.filter(F.col(rate).isNotNull() & F.col(label).isNotNull()).select(F.col(rate).alias("r"), F.col(label).cast("int").alias("y"))
-    is_high, is_low = F.col("r") > high, F.col("r") <= low
-    sums = frozen(base.agg(
-        F.count(F.lit(1)).alias("total"), F.coalesce(F.sum("y"), F.lit(0)).alias("good"), F.count_if(is_high).alias("n_high"), F.count_if(is_low).alias("n_low"),
-        F.count_if(is_high & (F.col("y") == 1)).alias("x_high"), F.count_if(is_low & (F.col("y") == 1)).alias("x_low"),
-    ))
-    known = ["total", "good", "n_high", "n_low", "x_high", "x_low"]
-    drawn = linked.sparkSession.range(reps + 1).select(
-        F.col("id").alias("rep"), uniform(F.lit(seed), F.lit("high"), F.col("id")).alias("u"), uniform(F.lit(seed), F.lit("low"), F.col("id")).alias("v"),
-        *[sums.select(c).scalar().alias(c) for c in known],
-    )
+    spark = linked.sparkSession
+    base = linked.filter(F.col(rate).isNotNull() & F.col(label).isNotNull()).select(
+        "ticket_id", F.col(label).cast("boolean").alias("y"), (F.col(rate) > high).alias("high"), (F.col(rate) <= low).alias("low"))
+    ranked = running(base, [F.col("ticket_id").asc_nulls_last()], rank="k")
+    row = F.struct("k", hash31(F.col("ticket_id")).alias("h"), "y", "high", "low")
+    block = F.floor((F.col("k") - 1) / F.lit(_PACKED)).cast("int").alias("block")
+    blocks = stored(ranked.groupBy(block).agg(F.collect_list(row).alias("rows")).mapInArrow(_packed, "block int, h binary, kinds binary"))
+    tasks = min(reps + 1, 2 * spark.sparkContext.defaultParallelism)
+    shared = blocks.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
         for b in batches:
-            rep, u, v, total, good, n_high, n_low, x_high, x_low = (c.to_numpy() for c in b.columns)
-            a = hypergeometric(u, total, good, n_high)
-            z = hypergeometric(v, total - n_high, good - a, n_low)
-            first = rep == 0
-            a[first], z[first] = x_high[first], x_low[first]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(a), pa.array(z), b.column(5), b.column(6)], ["rep", "a", "z", "n_high", "n_low"])
-
-    counts = drawn.mapInArrow(run, "rep long, a long, z long, n_high long, n_low long")
-    rate_of = lambda x, n: F.when(F.col(n) > 0, F.col(x) / F.col(n))
-    return counts.select("rep", F.round(rate_of("a", "n_high") - rate_of("z", "n_low"), 9).alias("gap"))
+            for task, h, kinds in zip(b.column("task").to_pylist(), b.column("h"), b.column("kinds"), strict=True):
+                held.setdefault(task, []).append((np.frombuffer(h.as_py(), np.uint32), np.frombuffer(kinds.as_py(), np.uint8)))
+        for task in list(held):
+            h, kinds = (np.concatenate(x) for x in zip(*held.pop(task), strict=True))
+            y, of = (kinds & 1).astype(bool), [(kinds & 2).astype(bool), (kinds & 4).astype(bool)]
+            sizes = [int(np.count_nonzero(x)) for x in of]
+            for rep in range(task, reps + 1, tasks):
+                got = dealt(seed, rep, h, y, of) if rep else [int(np.count_nonzero(y & x)) for x in of]
+                gap = got[0] / sizes[0] - got[1] / sizes[1] if all(sizes) else None
+                yield pa.RecordBatch.from_arrays([pa.array([rep], pa.int64()), pa.array([gap], pa.float64())], ["rep", "gap"])
+
+    placed = shared.repartitionById(tasks, F.col("task")).sortWithinPartitions("task", "block")
+    return placed.mapInArrow(run, "rep long, gap double").select("rep", F.round("gap", 9).alias("gap"))
+
+
+_PACKED = 65_536  # tickets of a packed block
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tickets of a block in order: their hashes, and label, high and low as bits."""
+    for b in batches:
+        for i in range(b.num_rows):
+            rows = b.column(1).slice(i, 1).flatten()
+            order = np.argsort(rows.field(0).to_numpy())
+            bits = [rows.field(j).to_numpy(zero_copy_only=False).astype(np.uint8) for j in (2, 3, 4)]
+            packed = rows.field(1).to_numpy()[order].astype(np.uint32), (bits[0] | bits[1] << 1 | bits[2] << 2)[order]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), *(pa.array([x.tobytes()], pa.binary()) for x in packed)], ["block", "h", "kinds"])
 
 
 def permutation_p(gaps: DataFrame) -> DataFrame:
