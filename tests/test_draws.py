@@ -313,3 +313,9 @@ def test_ranges_of_draws_are_sorted_one_after_the_other(monkeypatch):
     assert want == [int((y[order] & k).sum()) for k in (kind, ~kind)]
     monkeypatch.setattr(W, "SORTED", 700)
     assert W.dealt(9, 4, h, y, [kind, ~kind]) == want
+
+
+def test_the_permutation_sql_has_tickets():
+    from checks.catalog import SQL
+
+    assert all("list_reduce" not in SQL[n] and "row_number" in SQL[n] for n in ("linkage_permutation", "linkage_p_value"))
