@@ -319,3 +319,13 @@ def test_the_permutation_sql_has_tickets():
     from checks.catalog import SQL
 
     assert all("list_reduce" not in SQL[n] and "row_number" in SQL[n] for n in ("linkage_permutation", "linkage_p_value"))
+
+
+def test_counts_of_shows_are_not_broadcast(spark, monkeypatch):
+    """Neither arrays of all simulations nor extra tickets are, whatever size the planner guesses."""
+    _, df, sigmas, _ = shows(spark)
+    events = spark.createDataFrame([(1, 75), (2, 24), (3, 0), (4, 60)], "event_id int, capacity int")
+    plans = []
+    monkeypatch.setattr(D, "crossings", lambda x, *a, real=W.crossings: plans.append(x._jdf.queryExecution().optimizedPlan().toString()) or real(x, *a))
+    D.overbooking(df, sigmas, events, n_sim=20, max_extra=5).collect()
+    assert plans[0].count("leftHint=(strategy=merge), rightHint=(strategy=merge)") == 2

@@ -14,7 +14,7 @@ from turnout.operators.draws import crossings
 from turnout.operators.ordered import running
 from turnout.operators.rates import observed_rates
 from turnout.operators.simulate import SEED, counted, expected, sim_coefficients
-from turnout.session import compute_partitions, frozen
+from turnout.session import compute_partitions, frozen, lookup
 
 # Fixed values of the levers.
 INVITE_MIN_HISTORY = 2
@@ -227,12 +227,14 @@ def overbooking(
     usable = live.filter("capacity > 0")
     base = counted(tickets.join(usable.select("event_id"), "event_id", "left_semi"), sigmas, n_sim, seed)
     ranked = running(tickets.select("event_id", "ticket_id", "p"), [F.col("ticket_id")], by=["event_id"], rank="pos")
-    extra = (
-        picks(usable, max_extra, seed)
-        .join(ranked.select("event_id", "pos", "p"), ["event_id", "pos"])
-        .groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "p"))), lambda x: x["p"]).alias("extra"))
-    )
-    shows = usable.select("event_id", "capacity", "expected", "sigma").join(base, "event_id").join(extra, "event_id")
+    # what a show unfolds into is far larger than the planner takes it for, so none of it may be broadcast;
+    # picks come placed by event_id, and what one ticket is picked for is gathered before it moves
+    wanted = picks(usable, max_extra, seed).groupBy("event_id", "pos").agg(F.collect_list("j").alias("js")).hint("merge")
+    taken = wanted.join(ranked.select("event_id", "pos", "p").hint("merge"), ["event_id", "pos"])
+    of_j = F.flatten(F.transform(F.collect_list(F.struct("js", "p")), lambda x: F.transform(x["js"], lambda j: F.struct(j.alias("j"), x["p"].alias("p")))))
+    extra = taken.groupBy("event_id").agg(F.transform(F.array_sort(of_j), lambda x: x["p"]).alias("extra"))
+    arrays = base.hint("merge").join(extra.hint("merge"), "event_id")
+    shows = arrays.join(lookup(usable.select("event_id", "capacity", "expected", "sigma")), "event_id")
     at = frozen(crossings(shows, sim_coefficients(tickets.sparkSession, n_sim, seed), risk))
     facts = tickets.groupBy("event_id").agg(
         F.first("artist_name").alias("artist_name"),
