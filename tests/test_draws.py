@@ -329,3 +329,26 @@ def test_counts_of_shows_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(D, "crossings", lambda x, *a, real=W.crossings: plans.append(x._jdf.queryExecution().optimizedPlan().toString()) or real(x, *a))
     D.overbooking(df, sigmas, events, n_sim=20, max_extra=5).collect()
     assert plans[0].count("leftHint=(strategy=merge), rightHint=(strategy=merge)") == 2
+
+
+def test_group_shock_makes_no_row_for_a_node(spark, monkeypatch):
+    """Sales of any size, of equal and of own chances; classes are summed where they are."""
+    rng = random.Random(12)
+    rows = [(s, 0.5 if s % 3 else rng.random(), rng.random() < 0.5) for s in range(50) for _ in range(rng.choice([1, 2, 5]))] + [(99, rng.random(), False) for _ in range(30)]
+    df = spark.createDataFrame([(f"t{i}", s, p, y) for i, (s, p, y) in enumerate(rows)] + [("n1", None, 0.4, True), ("n2", None, 0.41, True)], "ticket_id string, sale_id int, p double, y boolean").repartition(4)
+    sales = {}
+    for s, p, y in rows:
+        sales.setdefault(s, []).append((p, y))
+    sales = [x for x in sales.values() if len(x) > 1]
+    z = np.linspace(-10, 10, 8001)
+    w = np.exp(-z * z / 2)
+    want = {s: np.mean([np.average(np.prod([1 / (1 + np.exp(math.log(p / (1 - p)) + s * z)) for p, _ in x], axis=0), weights=w) for x in sales]) for s in (0.0, 1.5)}
+    seen = np.mean([not any(y for _, y in x) for x in sales])
+    for members in (S._MEMBERS, 4):
+        monkeypatch.setattr(S, "_MEMBERS", members)
+        out = S.group_shock(df, [0.0, 1.5])
+        got = {r["sigma"]: r for r in out.collect()}
+        assert all(abs(got[s]["zero_rate"] - want[s]) < 1e-8 and abs(got[s]["gap"] - abs(want[s] - seen)) < 1e-8 for s in want)
+    # the rows of the grid are the only ones that are made
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    assert S.group_shock(df.filter("sale_id = 0 and p < 0"), [0.0]).count() == 0

@@ -7,16 +7,18 @@ Tickets of a show with one probability are drawn together, as a binomial count (
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnout.functions.hashing import coefficients, hash31
+from turnout.functions.hashing import coefficients
 from turnout.functions.scalars import band, clip, logit, sigmoid
 from turnout.operators import draws
 from turnout.operators.ordered import quantiles
 from turnout.operators.rates import MIX_BANDS
-from turnout.session import compute_partitions, frozen
 
 SEED = 20260801
 
@@ -173,37 +175,61 @@ def group_shock(tickets: DataFrame, grid: list[float] | None = None) -> DataFram
     depends only on the multiset of probabilities: equal multisets are one class.
     """
     grid = grid or [i * 0.25 for i in range(13)]
-    prints = tickets.groupBy("sale_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(hash31(F.col("p"))).alias("f1"),
-        F.sum(hash31(F.lit("b"), F.col("p"))).alias("f2"),
-        F.max(F.col("y").cast("int")).alias("any_in"),
-    ).filter("n >= 2")
-    classes = frozen(prints.groupBy("n", "f1", "f2").agg(
+    sales = tickets.groupBy("sale_id").agg(
+        F.array_sort(F.collect_list(logit(F.col("p")))).alias("lps"), F.max(F.col("y").cast("int")).alias("any_in")
+    ).filter(F.size("lps") >= 2)
+    classes = sales.groupBy("lps").agg(
         F.min("sale_id").alias("sale_id"), F.count(F.lit(1)).alias("weight"), F.count_if(F.col("any_in") == 0).alias("away")
-    ))
-    members = tickets.join(classes.select("sale_id"), "sale_id", "left_semi").groupBy("sale_id", "p").agg(
-        F.count(F.lit(1)).alias("k")
-    )
-    # placed by sale once: the products per (sale, node) need no further shuffle
-    keyed = members.select("sale_id", "k", logit(F.col("p")).alias("lp")).repartition(compute_partitions(tickets.sparkSession), "sale_id")
-    nodes = F.array(*[F.struct(F.lit(z).alias("z"), F.lit(w).alias("w")) for z, w in normal_nodes()])
-    spread = keyed.select("sale_id", "k", "lp", F.explode(nodes).alias("node")).select("sale_id", "k", "lp", "node.z", "node.w")
-    stay = [
-        F.exp(F.sum(F.col("k") * F.log1p(-sigmoid(F.col("lp") + F.lit(float(s)) * F.col("z"))))).alias(f"g{i}") for i, s in enumerate(grid)
-    ]
-    per_node = spread.groupBy("sale_id", "z", "w").agg(*stay)
-    per_sale = per_node.groupBy("sale_id").agg(*[F.sum(F.col(f"g{i}") * F.col("w")).alias(f"g{i}") for i in range(len(grid))])
-    weighted = per_sale.join(classes.select("sale_id", "weight", "away"), "sale_id").agg(
-        *[(F.sum(F.col(f"g{i}") * F.col("weight")) / F.sum("weight")).alias(f"g{i}") for i in range(len(grid))],
-        (F.sum("away") / F.sum("weight")).alias("observed"),
-    )
+    ).filter(F.col("sale_id").isNotNull())
+    # a class is summed over all nodes where it is, and leaves nothing but its part of the totals
+    names = [f"g{i}" for i in range(len(grid))]
+    parts = classes.select("lps", "weight", "away").mapInArrow(_stayed([float(s) for s in grid]), ", ".join(f"{c} double" for c in (*names, "weight", "away")))
+    weighted = parts.agg(*[(F.sum(c) / F.sum("weight")).alias(c) for c in names], (F.sum("away") / F.sum("weight")).alias("observed"))
     pairs = F.array(*[F.struct(F.lit(float(s)).alias("sigma"), F.col(f"g{i}").alias("zero_rate")) for i, s in enumerate(grid)])
     rates = weighted.select("observed", F.explode(pairs).alias("r")).select("r.*", "observed").filter(F.col("zero_rate").isNotNull())
     gap = F.abs(F.col("zero_rate") - F.col("observed"))
     return rates.select("sigma", "zero_rate", gap.alias("gap")).orderBy(F.round("gap", 12), "sigma")
 
 
+_MEMBERS = 256  # tickets whose chances at all nodes are held at once; a sale with more is multiplied up by parts
+
+
+def _stayed(grid: list[float]):
+    """Sums over classes of sales, for each sigma: the chance that nobody comes, times the weight; then the weights and those away."""
+    nodes = normal_nodes()
+    z, w = (np.array(x) for x in zip(*nodes, strict=True))
+    shift = np.exp(np.outer(grid, z)).ravel()
+    low, high = math.exp(-30.0), math.exp(30.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column(0)
+            size = np.diff(lists.offsets.to_numpy())
+            odds = np.exp(lists.flatten().to_numpy())
+            of = np.repeat(np.arange(b.num_rows), size)
+            weight, total = b.column(1).to_numpy().astype(float), np.zeros(len(grid))
+            first, stay = 0, None  # the chances of the class that the last part may have cut
+            for lo in range(0, len(odds), _MEMBERS):
+                at = of[lo : lo + _MEMBERS]
+                chance = 1.0 / (1.0 + np.clip(odds[lo : lo + _MEMBERS, None] * shift, low, high))
+                starts = np.flatnonzero(np.diff(at, prepend=-1))
+                product = np.multiply.reduceat(chance, starts, axis=0)
+                if stay is not None and at[0] == first:
+                    product[0] *= stay
+                elif stay is not None:
+                    total += weight[first] * (stay.reshape(len(grid), len(w)) @ w)
+                done = product[:-1].reshape(len(starts) - 1, len(grid), len(w)) @ w
+                total += weight[at[starts[:-1]]] @ done
+                first, stay = at[-1], product[-1]
+            total += weight[first] * (stay.reshape(len(grid), len(w)) @ w)
+            sums = [*total, weight.sum(), float(b.column(2).to_numpy().sum())]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], [*(f"g{i}" for i in range(len(grid))), "weight", "away"])
+
+    return run
+
+
 def chosen_group_sigma(tickets: DataFrame, **kw) -> float:
     """0 when no sale has two tickets."""
     first = group_shock(tickets, **kw).limit(1).collect()
