@@ -169,3 +169,25 @@ def test_trees_join_the_fold_loop_of_the_comparison(past):
     n = past.count()
     assert {(r["model"], r["n"]) for r in got.groupBy("model").agg(F.count("p").alias("n")).collect()} == {("M3", n), ("M4", n)}
     assert got.filter("p < 0 or p > 1").count() == 0
+
+
+def test_a_fit_takes_all_labelled_rows(past, monkeypatch):
+    """Whatever the size of a trial; the counts of a node are added up by parts of its rows."""
+    n = past.count()
+    seen = []
+    monkeypatch.setattr(T, "SAMPLE", n // 4)
+    monkeypatch.setattr(T, "train", lambda rows, *a, real=T.train: seen.append(rows.count()) or real(rows, *a))
+    for make in (M.BoostedTrees, M.Forest):
+        model = make(3).fit(past)
+        assert seen.pop() == n and len(model.models) == model.folds
+
+
+def test_parts_of_rows_add_up(monkeypatch):
+    x, words, y = data()
+    c = T.Columns().fit(x, words)
+    bins, pos, neg = T.cells(c.bins(x, words), y)
+    whole = T.boost(bins, c.categories, pos, neg, 5)[0], T.forest(bins, c.categories, pos, neg, 5)
+    monkeypatch.setattr(T, "ROWS", 100)
+    parts = T.boost(bins, c.categories, pos, neg, 5)[0], T.forest(bins, c.categories, pos, neg, 5)
+    for a, b in zip(whole, parts):
+        assert a.feature == b.feature and a.at == b.at and np.allclose(a.value, b.value)
